@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, exact_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,16 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 @query("op7_decontamination", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, sha256({LOWER.format('text')}) AS s FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
+FROM d
+"""
+
+
+@query("op6_exact_dedup", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
