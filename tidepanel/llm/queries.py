@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,32 @@ FROM d
 @query("op6_exact_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 2), lambda p: concat_ws(' ', w[p], w[p + 1], w[p + 2])) END) AS s
+  FROM w
+), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY 1, 2
+), link AS (SELECT a, b FROM pair WHERE 100 * i >= 90 * (na + nb - i)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  WITH RECURSIVE r(node, seen) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT edge.b, r.seen FROM r JOIN edge ON edge.a = r.node AND r.seen < edge.b
+  ) SELECT node, min(seen) AS least FROM r GROUP BY 1
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, reach.least AS component_id
+FROM s JOIN reach ON reach.node = s.doc_id
+"""
+
+
+@query("op3_ngram_join", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, sf_dir, "documents"))

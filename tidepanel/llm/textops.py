@@ -169,7 +169,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             more = left > i
             y[more] = mix(y[more] * U64(0x2545F4914F6CDD1D) + h[at[more] + i] + U64(1))
         x, row = np.concatenate([x, y]), np.concatenate([row, short])
-    order = np.lexsort((x, row))
+    order = by_row(row, x, words.rows)
     x, row = x[order], row[order]
     if len(x):
         keep = np.empty(len(x), dtype=bool)
@@ -179,6 +179,13 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, x
 
 
+def by_row(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """Order of (row, key); the row numbers are radix sorted where they are small."""
+    order = np.argsort(key)
+    small = row[order].astype(np.uint16) if rows <= 1 << 16 else row[order]
+    return order[np.argsort(small, kind="stable")]
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ..., for each start its length numbers."""
     length = np.asarray(length, np.int64)
