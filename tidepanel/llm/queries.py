@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import decontaminate, exact_dedup, ngram_join, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,19 @@ FROM s JOIN reach ON reach.node = s.doc_id
 @query("op3_ngram_join", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components_of(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS d FROM pages
+), k AS (SELECT d, n, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY 1, 2)
+SELECT page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
