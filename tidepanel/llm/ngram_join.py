@@ -152,10 +152,11 @@ class RTree:
     def query(self, point: np.ndarray, size: int) -> np.ndarray:
         """Numbers of the points whose bound reaches the overlap they need, best bound first."""
         at = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
-        for top, least in reversed(self.levels):
+        for i in reversed(range(len(self.levels))):
+            top, least = self.levels[i]
             bound = np.minimum(top[at], point).sum(axis=1)
             at = at[bound >= need(size, least[at], self.percent)]
-            below = self.levels[self.levels.index((top, least)) - 1][1] if top is not self.levels[0][0] else self.sizes
+            below = self.levels[i - 1][1] if i else self.sizes
             at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             at = at[at < len(below)]
         if not len(at):
