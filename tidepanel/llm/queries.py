@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, warc
+from . import decontaminate, exact_dedup, ngram_join, packing, warc
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +119,8 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n = k.n
 @query("op10_warc", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), TOKENIZER)
