@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: state on disk; deltas are checkpointed, and no file is allocated ahead of its content
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: digests of hit groups that may be broadcast (64 bytes each); beyond it they are joined by a shuffle
 BROADCAST_DIGESTS = 500_000
 
@@ -53,8 +57,9 @@ def keyed_state(spark: SparkSession, ledger_path: str, schema, files_per_batch:
     """Run the ledger through the stateful stream; the last state of each digest."""
     classes = runtime.new_path(spark, "classes")
     log = runtime.new_path(spark, "stream")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(ledger_path)
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
@@ -68,10 +73,8 @@ def keyed_state(spark: SparkSession, ledger_path: str, schema, files_per_batch:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     batches = spark.read.schema(f"digest string, keep struct<doc_id: {schema['doc_id'].dataType.simpleString()}, locator: struct<file: string, row: bigint>>, group_size bigint, batch int").parquet(classes)
     # a digest that later batches touch again has one row a batch; counts only grow
     last = F.max_by(F.struct("keep", "group_size"), "batch").alias("s")
