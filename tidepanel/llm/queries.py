@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join, packing, warc
+from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -124,3 +124,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op5_bloom_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"))

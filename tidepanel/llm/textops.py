@@ -33,7 +33,7 @@ ALNUM[0x80:] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
-    x = np.asarray(x, dtype=U64)
+    x = np.atleast_1d(np.asarray(x, dtype=U64))  # arrays wrap around silently
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
