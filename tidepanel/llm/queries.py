@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, warc
+from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -129,3 +129,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bloom_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
