@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, warc
+from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -134,3 +134,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
