@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, toxicity, warc
+from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -139,3 +139,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT doc_id, p, sha256(lower(hex(b))[2 * p + 1 : 2 * p + 200]) AS s
+  FROM (SELECT doc_id, b, unnest(generate_series(0, octet_length(b) - 100)) AS p FROM d WHERE octet_length(b) >= 100)
+), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
+g AS (
+  SELECT doc_id, p, p > coalesce(max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) + 100 AS fresh
+  FROM r WHERE again
+), n AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z FROM n GROUP BY 1, 2),
+gap AS (
+  SELECT span.doc_id, k, z, coalesce(lead(a) OVER (PARTITION BY span.doc_id ORDER BY a), octet_length(b)) AS next_a FROM span JOIN d USING (doc_id)
+), kept AS (
+  SELECT d.doc_id, CASE WHEN count(gap.k) = 0 THEN any_value(hex(b))
+    ELSE any_value(hex(b)[1 : 2 * f.a]) || string_agg(hex(b)[2 * z + 1 : 2 * next_a], '' ORDER BY gap.k) END AS h
+  FROM d LEFT JOIN gap ON gap.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(a) AS a FROM span GROUP BY 1) f ON f.doc_id = d.doc_id GROUP BY 1
+), s AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op1_suffix_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
