@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from . import bloom_lm, decontaminate, exact_dedup, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -168,3 +168,8 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN s USING (doc_id)
 @query("op1_suffix_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
