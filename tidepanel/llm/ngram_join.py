@@ -166,27 +166,6 @@ class RTree:
         return self.order[at[ok][np.argsort(-bound[ok], kind="stable")]]
 
 
-class Forest:
-    """Union-find with smaller roots."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def count_points(sets: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray:
     out = np.zeros((len(sets), dimensions), np.int32)
     for i, s in enumerate(sets):
@@ -194,29 +173,39 @@ def count_points(sets: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.nda
     return out
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
+def join_sets(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, asking: int | None = None, every: bool = False) -> list[tuple[int, int]]:
+    """Verified links; unless ``every``, only those that join components anew.
 
-def join_sets(sets: list[np.ndarray], percent: int, forest: Forest | None = None, queries: range | None = None, every: bool = False) -> list[tuple[int, int]]:
-    """Verified links; unless ``every``, only those that join components anew."""
+    label: components known before; asking: only the first so many sets ask.
+    """
+    if not sets:
+        return []
     sizes = np.array([len(s) for s in sets], np.int64)
     points = count_points(sets)
     tree = RTree(points, sizes, percent)
-    forest = forest or Forest(len(sets))
+    label = np.arange(len(sets)) if label is None else label.copy()
+    asking = len(sets) if asking is None else asking
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    own = np.zeros(int(flat.max()) + 1, dtype=np.int32)
     links = []
-    for q in queries if queries is not None else range(len(sets)):
-        for p in tree.query(points[q], int(sizes[q])).tolist():
-            if p == q or (every and p < q and (queries is None or p in queries)) or (not every and forest.root(p) == forest.root(q)):
-                continue
-            i = overlap(sets[p], sets[q])
-            if 100 * i >= percent * (sizes[p] + sizes[q] - i):
-                forest.join(p, q)
-                links.append((q, p))
+    for q in range(asking):
+        c = tree.query(points[q], int(sizes[q]))
+        c = c[(c > q) | (c >= asking)] if every else c[label[c] != label[q]]
+        c = c[c != q]
+        if not len(c):
+            continue
+        mine = flat[start[q] : start[q] + sizes[q]]
+        own[mine] = 1
+        both = np.add.reduceat(own[flat[X.ranges(start[c], sizes[c])]], np.cumsum(sizes[c]) - sizes[c])
+        own[mine] = 0
+        c = c[100 * both >= percent * (sizes[c] + sizes[q] - both)]
+        if not every and len(c):
+            # one link to each component that is met
+            met, first = np.unique(label[c], return_index=True)
+            c = c[first]
+            label[np.isin(label, met)] = label[q]
+        links += [(q, int(p)) for p in c]
     return links
 
 
@@ -228,18 +217,18 @@ def _sets(k: int, buf, offs):
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(doc_id, n_shingles, ref): ref names the set."""
+    """(doc_id, tie, n_shingles, ref): ref names the set, tie the text."""
 
     def run(batches):
         for b in batches:
-            buf, offs = X.column(b, 1)
+            buf, offs = X.column(b, 2)
             for i, j in X.slices(offs):
                 _, _, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(ref)], names=["doc_id", "n_shingles", "ref"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(ref)], names=["doc_id", "tie", "n_shingles", "ref"])
         X.release_powers()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, ref bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, tie bigint, n_shingles bigint, ref bigint")
 
 
 def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -358,38 +347,46 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
     found, _ = runtime.written(found, "members")
     edges, _ = runtime.written(found.groupBy("grp", "chunk").applyInArrow(alone, "a bigint, b bigint"), "links")
     large = found.filter("chunk > 0").select("grp").distinct()
+    large, _ = runtime.written(large, "large")
     if large.isEmpty():
         return edges
-    # groups of several chunks: components so far, then representatives, then the exact rest
-    large, _ = runtime.written(large, "large")
-    rest = found.join(F.broadcast(large) if large.count() < 100_000 else large, "grp", "left_semi").dropDuplicates(["grp", "ref"])
+    # groups of several chunks: components so far, then representatives, then the exact rest;
+    # identifiers find out what is left to do before any sets travel
+    rest, _ = runtime.written(found.join(large, "grp", "left_semi").dropDuplicates(["grp", "ref"]), "large_members")
+    ids = rest.select("grp", "chunk", "ref")
 
     def labelled(e):
         comp = runtime.components(e)
-        return rest.join(comp, rest["ref"] == comp["node"], "left").select("grp", "chunk", "ref", "blob", F.coalesce("root", "ref").alias("root"))
+        return ids.join(comp, ids["ref"] == comp["node"], "left").select("grp", "chunk", "ref", F.coalesce("root", "ref").alias("root"))
 
+    lab = ids.withColumn("root", F.col("ref"))
     if not every:
+        before = None
         for _ in range(8):
-            lab = labelled(edges)
-            reps = lab.filter("ref = root").drop("root")
-            counts = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-            dealt = reps.join(counts, "grp").filter("size > 1").withColumn("chunk", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)"))
-            more, _ = runtime.written(dealt.groupBy("grp", "chunk").applyInArrow(alone, "a bigint, b bigint"), "links")
+            lab, _ = runtime.written(labelled(edges), "labelled")
+            counts = lab.filter("ref = root").groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            now = tuple(counts.agg(F.count(F.lit(1)), F.sum("size")).collect()[0])
+            if not now[0] or now == before:
+                break
+            before = now
+            dealt = lab.filter("ref = root").join(counts, "grp").select("grp", "ref", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)").alias("deal"))
+            reps = rest.join(dealt, ["grp", "ref"]).select("grp", F.col("deal").alias("chunk"), "ref", "blob")
+            more, _ = runtime.written(reps.groupBy("grp", "chunk").applyInArrow(alone, "a bigint, b bigint"), "links")
             if more.isEmpty():
                 break
             edges = edges.unionAll(more)
-    lab, _ = runtime.written(labelled(edges) if not every else rest.withColumn("root", F.col("ref")), "labelled")
     sizes = lab.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("grp").agg(F.max_by("root", "size").alias("main"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    lab = lab.join(main, "grp")
+    lab, _ = runtime.written(lab.join(main, "grp").select("grp", "ref", "root", "main", "total"), "apart")
+    if lab.isEmpty():
+        return edges
+    lab = rest.join(lab, ["grp", "ref"])
     # those outside a group's largest component are asked against all its other members, block by block
-    asks = lab.filter("root != main").withColumn("block", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil((total) / {chunk}) as bigint)) as int)"))
+    asks = lab.filter("root != main").withColumn("block", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(total / {chunk}) as bigint)) as int)"))
     blocks = F.expr(f"cast(ceil(total / {chunk}) as int)")
     asked = lab.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(False)).select("grp", "chunk", "block", "ref", "blob", "root", "asks")
-    chunks = lab.select("grp", "chunk").distinct()
-    asks = asks.drop("chunk").join(chunks, "grp").withColumn("asks", F.lit(True)).select("grp", "chunk", "block", "ref", "blob", "root", "asks")
-    busy = asks.select("grp", "block").distinct()
-    asked = asked.join(busy, ["grp", "block"], "left_semi")
+    chunks = ids.distinct().groupBy("grp").agg(F.collect_set("chunk").alias("chunk"))
+    asks = asks.drop("chunk").join(chunks, "grp").withColumn("chunk", F.explode("chunk")).withColumn("asks", F.lit(True)).select("grp", "chunk", "block", "ref", "blob", "root", "asks")
 
     def across(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False)
@@ -400,11 +397,7 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
         asking = int(asks[keep].sum())
         blobs = group.column("blob")
         sets = [np.frombuffer(blobs[int(i)].as_buffer(), U64) for i in keep]
-        forest = Forest(len(keep))
-        first_of: dict[int, int] = {}
-        for i, r in enumerate(root[keep].tolist()):
-            forest.join(first_of.setdefault(r, i), i)
-        return _edges(ref[keep], join_sets(sets, percent, forest, range(asking), every=every))
+        return _edges(ref[keep], join_sets(sets, percent, root[keep], asking, every=every))
 
     last = asked.unionAll(asks).groupBy("grp", "chunk", "block").applyInArrow(across, "a bigint, b bigint")
     last, _ = runtime.written(last, "links")
@@ -419,12 +412,31 @@ def link_classes(docs: DataFrame, *, text: str = "text", k: int = 3, percent: in
     return joined(found, percent, every, chunk)
 
 
-def components_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def rooted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, tie, n_shingles, root) of every row; equal roots: one component."""
     sets, _ = runtime.written(classes(docs, doc_id, text, k), "classes")
     links = link_classes(docs, text=text, k=k, percent=percent, chunk=chunk)
     comp = runtime.components(links)
-    rooted = sets.join(comp, sets["ref"] == comp["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "ref").alias("root"))
-    rooted, _ = runtime.written(rooted, "rooted")
-    least = rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.join(comp, sets["ref"] == comp["node"], "left").select("doc_id", "tie", "n_shingles", F.coalesce("root", "ref").alias("root"))
+    return runtime.written(out, "rooted")[0]
+
+
+def components_of(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows = rooted(docs, **options)
+    least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each component, in docs' own columns: the one with the smallest doc_id.
+
+    Rows that repeat id and text are one document; of different texts with one
+    id a hash of the text decides; rows without an id are the largest.  Rows
+    without shingles stay.
+    """
+    rows = rooted(docs, doc_id=doc_id, text=text, **options).filter("n_shingles > 0")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    least = rows.groupBy("root").agg(F.min(name).alias("least"), F.count_distinct(name).alias("n")).filter("n > 1")
+    gone = rows.join(least, "root").filter(~name.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_tie"]), "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +56,38 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: edges that one task solves; more are solved by shuffles
+ONE_TASK_EDGES = 1_000_000
+
+
+def _union(batches):
+    """Components of all edges of one task by pointer jumping."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of an undirected graph of long vertex ids.
 
-    Alternating large-star and small-star steps over the edge table; each step
-    is a pair of shuffles over edges only, and each round is checkpointed.
+    Up to ``one_task`` distinct edges are solved in a single task.  Beyond it
+    large-star and small-star steps alternate over the edge table; each step is
+    a pair of shuffles over edges only, and each round is checkpointed.
     Every vertex that has an edge is returned once as (node, root), root being
     the smallest id of its component.
     """
@@ -69,6 +98,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct()
     )
     e = checkpointed(e)
+    if e.count() <= one_task:
+        return checkpointed(e.coalesce(1).mapInArrow(_union, "node bigint, root bigint"))
     before = None
     for _ in range(max_rounds):
         # large star: each node sends its larger neighbours to its smallest neighbour or itself
