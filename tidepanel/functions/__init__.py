@@ -1 +1 @@
-"""Package."""
+"""Formula language, distributions and small linear algebra."""

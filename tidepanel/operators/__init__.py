@@ -1 +1 @@
-"""Package."""
+"""Distributed operators: panel transforms, instruments, moments."""

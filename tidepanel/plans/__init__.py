@@ -1 +1 @@
-"""Package."""
+"""Estimation, diagnostics, reports and registered queries."""

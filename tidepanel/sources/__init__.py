@@ -1 +1 @@
-"""Package."""
+"""Tables in and out."""

@@ -1 +1,5 @@
-"""Package."""
+"""Panel estimation reads whole tables: no operator of it is a streaming one.
+
+The package keeps the place of stream operators in the library's layout; the
+stateful stream of the exact deduplication lives with its own subpackage.
+"""
