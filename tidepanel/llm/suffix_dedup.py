@@ -361,7 +361,7 @@ def _unpack(blob) -> tuple[np.ndarray, np.ndarray]:
 
 def marks(found: DataFrame, length: int, block: int) -> DataFrame:
     """(home, blob): windows of documents that are repeats, by the shard of their document."""
-    homes = 4 * runtime.shuffle_partitions(found.sparkSession)
+    homes = runtime.shuffle_partitions(found.sparkSession)
 
     def decide(group: pa.Table) -> pa.Table:
         done = [swell(m.as_buffer(), np.int64).reshape(4, -1) for m in group.column("marks") if len(m.as_buffer())]
