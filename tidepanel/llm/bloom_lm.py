@@ -298,17 +298,30 @@ def build_filter(pairs: DataFrame, shards: int, lowest: int) -> LogBloom:
 def context_mass(pairs: DataFrame, shards: int, lowest: int, n_ids: int) -> np.ndarray:
     """Per id the sum of (decoded count - D) over its pairs, as float32; at most CONTEXTS of them."""
 
+    def pack(parts):
+        ids, mass = (np.concatenate(x) for x in zip(*parts))
+        u, back = np.unique(ids, return_inverse=True)
+        mass = np.bincount(back, weights=mass, minlength=len(u))
+        where = u * shards // max(1, n_ids)
+        at = np.searchsorted(where, np.arange(shards + 1))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(u[at[s] : at[s + 1]]) for s in some], pa.binary()), pa.array([squeeze(mass[at[s] : at[s + 1]]) for s in some], pa.binary())], names=["shard", "ids", "mass"])
+
     def part(batches):
+        # a task's shards are added up before they are dealt out by context
+        parts, size = [], 0
         for b in batches:
             for keys, n in zip(b.column(1), b.column(2)):
                 k, j = np.cumsum(swell(keys.as_buffer(), np.int64)), level(swell(n.as_buffer(), np.int64))
                 ok = j >= lowest
                 u, back = np.unique(k[ok] >> 32, return_inverse=True)
-                mass = np.bincount(back, weights=decoded(j[ok]) - DISCOUNT, minlength=len(u))
-                where = u * shards // max(1, n_ids)
-                at = np.searchsorted(where, np.arange(shards + 1))
-                some = np.flatnonzero(at[1:] > at[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([squeeze(u[at[s] : at[s + 1]]) for s in some], pa.binary()), pa.array([squeeze(mass[at[s] : at[s + 1]]) for s in some], pa.binary())], names=["shard", "ids", "mass"])
+                parts.append((u, np.bincount(back, weights=decoded(j[ok]) - DISCOUNT, minlength=len(u))))
+                size += len(u)
+                if size >= 4 * FLUSH:
+                    yield pack(parts)
+                    parts, size = [], 0
+        if size:
+            yield pack(parts)
 
     def total(group: pa.Table) -> pa.Table:
         u = np.concatenate([swell(x.as_buffer(), np.int64) for x in group.column("ids")])
@@ -353,7 +366,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
     size = levels * np.arange(64)
     lowest = next(j for j in range(1, 65) if size[j:].sum() * BITS_PER_KEY / 8e6 <= FILTER_MB)
     filter_ = build_filter(pairs, shards, lowest)
-    mass = context_mass(pairs, shards, lowest, n_ids)
+    mass = context_mass(pairs, runtime.shuffle_partitions(spark), lowest, n_ids)
     shared = spark.sparkContext.broadcast((filter_, mass))
 
     def run(batches):
