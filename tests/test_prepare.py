@@ -61,7 +61,7 @@ def test_invalid_inputs(spark):
     ]
     for data, i, t, formula in bad:
         if isinstance(data, dict) and None in data.get("x", []):
-            data = spark.createDataFrame([tuple(r) for r in zip(*data.values())], "id long, t long, y double, x double")
+            data = spark.createDataFrame([(i, t, float(y), x and float(x)) for i, t, y, x in zip(*data.values())], "id long, t long, y double, x double")
         with pytest.raises(ValueError):
             tp.prepare(data, i, t, formula, spec)
     with pytest.raises(TypeError):
