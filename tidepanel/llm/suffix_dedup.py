@@ -77,7 +77,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return row[first], start[first], start[last], g[a[first]]
+    # least hashes crowd at the low end: mixed again, they spread over the shards
+    return row[first], start[first], start[last], X.mix(g[a[first]] ^ U64(0x9E3779B97F4A7C15))
 
 
 def repeated_anchors(docs: DataFrame, text: str, length: int, shards: int) -> DataFrame:
