@@ -9,8 +9,9 @@ travel, and a signature that many classes share leaves one star of candidate
 edges, never all pairs.  Connected candidates are then joined: shingles hashed
 to ``DIMENSIONS`` groups give a point of group counts, the points go into a bulk
 loaded R-tree, a node or point whose summed coordinate minima with the query
-fall short of the needed overlap is passed over, and surviving pairs are
-verified on the sets.  Large candidate groups are dealt into chunks; chunks are
+fall short of the needed overlap is passed over; what this bound does not
+connect is parted before any sets travel, and surviving pairs are verified on
+the sets.  Large candidate groups are dealt into chunks; chunks are
 joined alone, then their components through representatives, then whatever is
 still apart, exactly.
 
@@ -34,8 +35,10 @@ from . import exchange, runtime
 from . import textops as X
 
 U64 = np.uint64
-DIMENSIONS = 24
+DIMENSIONS = 96
 FANOUT = 16
+#: classes of one candidate group that the bound alone parts further in one task
+PARTED = 20_000
 #: members of one candidate group that are joined in one task
 CHUNK = 2000
 #: classes in candidate groups whose labels are broadcast (16 bytes each)
@@ -78,6 +81,11 @@ def set_hash(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return n, X.mix(h + n.astype(U64))
 
 
+def with_level(key: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The key with its size level in the last byte; levels above it share their last byte."""
+    return (key & ~U64(255)) | (level.astype(U64) & U64(255))
+
+
 def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     """(document row, key) of every non-empty group of each document at its two levels."""
     rows = len(n)
@@ -101,30 +109,30 @@ def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) ->
         owner = np.repeat(np.arange(rows), g)
         number = np.arange(total) - np.repeat(base, g)
         salt = X.mix((level[owner].astype(U64) << U64(32)) + number.astype(U64))
-        key = X.mix(X.mix(lo) + (hi << U64(1)) + salt)
+        key = with_level(X.mix(X.mix(lo) + (hi << U64(1)) + salt), level[owner])
         full = count > 0
         keys.append(key[full])
         owners.append(owner[full])
         empty = g - np.bincount(owner[full], minlength=rows)
         sparse = np.flatnonzero(live & (empty > spare))
         if len(sparse):
-            keys.append(X.mix(level[sparse].astype(U64) + U64(0x5851F42D4C957F2D)))
+            keys.append(with_level(X.mix(level[sparse].astype(U64) + U64(0x5851F42D4C957F2D)), level[sparse]))
             owners.append(sparse)
     if not keys:
         return np.empty(0, np.int64), np.empty(0, U64)
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their smallest ref, and edges from it to the key's others."""
+def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their smallest ref; and edges (ref, ref, level) from it to the key's others."""
     order = np.lexsort((refs, keys))
     keys, refs = keys[order], refs[order]
     first = np.ones(len(keys), dtype=bool)
     first[1:] = keys[1:] != keys[:-1]
     lead = refs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else refs
     differ = lead != refs
-    edges = np.unique(np.stack([lead[differ], refs[differ]]), axis=1)
-    return keys[first], refs[first], edges[0], edges[1]
+    edges = np.stack([lead[differ], refs[differ], (keys[differ] & U64(255)).astype(np.int64)])
+    return keys[first], refs[first], np.unique(edges, axis=1)
 
 
 class RTree:
@@ -217,33 +225,41 @@ def _sets(k: int, buf, offs):
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(doc_id, tie, n_shingles, ref): ref names the set, tie the text."""
+    """(doc_id, tie, n_shingles, ref, point): ref names the set, tie the text; point: group counts where sets can differ and link."""
 
     def run(batches):
         for b in batches:
             buf, offs = X.column(b, 2)
             for i, j in X.slices(offs):
-                _, _, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(ref)], names=["doc_id", "tie", "n_shingles", "ref"])
+                row, x, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                end = np.cumsum(n)
+                for p in range(0, j - i, 4096):
+                    q = min(p + 4096, j - i)
+                    a, z = int(end[p] - n[p]), int(end[q - 1])
+                    at = (row[a:z] - p) * DIMENSIONS + (X.mix(x[a:z]) % U64(DIMENSIONS)).astype(np.int64)
+                    point = np.bincount(at, minlength=(q - p) * DIMENSIONS).astype(np.int32).reshape(q - p, DIMENSIONS)
+                    points = [point[r].tobytes() if n[p + r] > 1 else None for r in range(q - p)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i + p, q - p), b.column(1).slice(i + p, q - p), pa.array(n[p:q]), pa.array(ref[p:q]), pa.array(points, pa.binary())], names=["doc_id", "tie", "n_shingles", "ref", "point"])
         X.release_powers()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, tie bigint, n_shingles bigint, ref bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, tie bigint, n_shingles bigint, ref bigint, point binary")
 
 
 def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Candidate edges (a, b) between classes that share a group signature."""
+    """Candidate edges (a, b, lev) between classes that share a group signature of a size level."""
     shards = 4 * runtime.shuffle_partitions(docs.sparkSession)
     layout = Layout(percent)
 
     def emit(keys, refs):
-        key, ref, a, b = stars(np.concatenate(keys), np.concatenate(refs))
+        key, ref, (a, b, lev) = stars(np.concatenate(keys), np.concatenate(refs))
         at = exchange.cuts(key, shards)
         # an edge goes wherever its first end's shard is; edges need no order
         where = exchange.shard_of(X.mix(a.view(U64) ^ (b.view(U64) << U64(1))), shards)
         order = np.argsort(where, kind="stable")
-        a, b, edge_at = a[order], b[order], np.searchsorted(where[order], np.arange(shards + 1))
-        out = [(s, exchange.pack(key[at[s] : at[s + 1]], ref[at[s] : at[s + 1]], a[edge_at[s] : edge_at[s + 1]], b[edge_at[s] : edge_at[s + 1]])) for s in range(shards) if at[s + 1] > at[s] or edge_at[s + 1] > edge_at[s]]
+        a, b, lev, edge_at = a[order], b[order], lev[order], np.searchsorted(where[order], np.arange(shards + 1))
+        own = lambda x, cut, s: x[cut[s] : cut[s + 1]]
+        out = [(s, exchange.pack(own(key, at, s), own(ref, at, s), own(a, edge_at, s), own(b, edge_at, s), own(lev, edge_at, s))) for s in range(shards) if at[s + 1] > at[s] or edge_at[s + 1] > edge_at[s]]
         return exchange.rows([s for s, _ in out], [x for _, x in out])
 
     def run(batches):
@@ -264,26 +280,59 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
         X.release_powers()
 
     def meet(group: pa.Table) -> pa.Table:
-        parts = [exchange.unpack(x.as_buffer(), (U64, np.int64, np.int64, np.int64)) for x in group.column("blob")]
-        keys, refs, a, b = (np.concatenate(p) for p in zip(*parts))
-        _, _, c, d = stars(keys, refs)
-        pairs = np.unique(np.stack([np.concatenate([a, c]), np.concatenate([b, d])]), axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        parts = [exchange.unpack(x.as_buffer(), (U64, np.int64, np.int64, np.int64, np.int64)) for x in group.column("blob")]
+        keys, refs, a, b, lev = (np.concatenate(p) for p in zip(*parts))
+        _, _, more = stars(keys, refs)
+        pairs = np.unique(np.concatenate([np.stack([a, b, lev]), more], axis=1), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64()), "lev": pa.array(pairs[2], pa.int64())})
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, exchange.SCHEMA).groupBy("shard").applyInArrow(meet, "a bigint, b bigint, lev bigint")
+
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, exchange.SCHEMA).groupBy("shard").applyInArrow(meet, "a bigint, b bigint")
+def grouped(pairs: DataFrame) -> DataFrame:
+    """(ref, lev, grp): classes that candidate edges of one level connect."""
+    pairs, _ = runtime.written(pairs.distinct(), "pairs")
+    node = lambda c: F.xxhash64(c, "lev")
+    comp = runtime.components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("ref"), "lev").distinct().withColumn("node", node("ref"))
+    return ends.join(comp, "node").select("ref", "lev", F.col("root").alias("grp"))
+
+
+def parted(groups: DataFrame, sets: DataFrame, percent: int, most: int = PARTED) -> DataFrame:
+    """(ref, grp): groups cut into what the bound on overlaps connects; classes without a partner fall out.
+
+    A group of more than ``most`` classes stays as it is.
+    """
+    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
+    points = sets.filter("point is not null").groupBy("ref").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+
+    def part(group: pa.Table) -> pa.Table:
+        ref, n = group.column("ref").to_numpy(), group.column("n").to_numpy()
+        p = np.frombuffer(b"".join(x.as_buffer() for x in group.column("point")), np.int32).reshape(len(ref), DIMENSIONS)
+        tree, label = RTree(p, n, percent), np.arange(len(ref))
+        for q in range(len(ref)):
+            met = np.unique(label[tree.query(p[q], int(n[q]))])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+        count = np.bincount(label, minlength=len(ref))
+        keep = count[label] > 1
+        least = np.full(len(ref), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ref)
+        grp = X.mix(least[label].view(U64) + U64(group.column("lev")[0].as_py())).view(np.int64)
+        return pa.table({"ref": pa.array(ref[keep]), "grp": pa.array(grp[keep])})
+
+    small = sized.filter(F.col("size") <= most).join(points, "ref").groupBy("grp").applyInArrow(part, "ref bigint, grp bigint")
+    return small.unionAll(sized.filter(F.col("size") > most).select("ref", "grp"))
 
 
 _MEMBER = "grp bigint, chunk int, ref bigint, blob binary"
 
 
 def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -> DataFrame:
-    """(grp, chunk, ref, blob) of every class in a candidate group; a class may come once a task."""
+    """(grp, chunk, ref, blob) of every class in each of its candidate groups; a class may come once a task."""
     spark = docs.sparkSession
-    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = labels.join(sizes, "root").select(
-        F.col("node").alias("ref"), F.col("root").alias("grp"),
-        F.expr(f"cast(pmod(xxhash64(node), cast(ceil(size / {chunk}) as bigint)) as int)").alias("chunk"),
-    )
+    sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    placed = labels.join(sizes, "grp").select("ref", "grp", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)").alias("chunk"))
     placed, _ = runtime.written(placed, "placed")
     total = placed.count()
     few = total <= BROADCAST_LABELS
@@ -310,8 +359,13 @@ def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(name)
+                    own = x[start[r] : start[r] + n[r]].tobytes()
                     p = int(at[r])
-                    out.append((int(grp[p]) if known is not None else 0, int(ch[p]) if known is not None else 0, name, x[start[r] : start[r] + n[r]].tobytes()))
+                    if known is None:
+                        out.append((0, 0, name, own))
+                    while known is not None and p < len(known) and known[p] == name:
+                        out.append((int(grp[p]), int(ch[p]), name, own))
+                        p += 1
                 if out:
                     g, c, f, blob = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int32()), pa.array(f, pa.int64()), pa.array(blob, pa.binary())], names=["grp", "chunk", "ref", "blob"])
@@ -404,18 +458,20 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
     return edges.unionAll(last)
 
 
-def link_classes(docs: DataFrame, *, text: str = "text", k: int = 3, percent: int = 90, every: bool = False, chunk: int = CHUNK) -> DataFrame:
+def link_classes(docs: DataFrame, *, text: str = "text", k: int = 3, percent: int = 90, every: bool = False, chunk: int = CHUNK, sets: DataFrame | None = None, parted_most: int = PARTED) -> DataFrame:
     """Verified links (a, b) between set classes (refs)."""
-    pairs = candidates(docs, text, k, percent)
-    labels, _ = runtime.written(runtime.components(pairs), "candidates")
+    if sets is None:
+        sets, _ = runtime.written(classes(docs, text, text, k), "classes")
+    groups, _ = runtime.written(grouped(candidates(docs, text, k, percent)), "candidates")
+    labels, _ = runtime.written(parted(groups, sets, percent, parted_most), "parted")
     found = members(docs, text, k, labels, chunk)
     return joined(found, percent, every, chunk)
 
 
-def rooted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
+def rooted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, **options) -> DataFrame:
     """(doc_id, tie, n_shingles, root) of every row; equal roots: one component."""
     sets, _ = runtime.written(classes(docs, doc_id, text, k), "classes")
-    links = link_classes(docs, text=text, k=k, percent=percent, chunk=chunk)
+    links = link_classes(docs, text=text, k=k, percent=percent, sets=sets, **options)
     comp = runtime.components(links)
     out = sets.join(comp, sets["ref"] == comp["node"], "left").select("doc_id", "tie", "n_shingles", F.coalesce("root", "ref").alias("root"))
     return runtime.written(out, "rooted")[0]
