@@ -42,8 +42,8 @@ LENGTH = 100
 GRAM = 24
 #: broadcast filter of repeated anchor strings; above it the corpus is read in several passes
 FILTER_MB = 64
-#: bytes of snippets in one suffix array
-BLOCK = 1 << 20
+#: bytes of snippets in one suffix array, and that are decided together
+BLOCK = 1 << 19
 FLUSH = 4 << 20
 _POSITION = U64((1 << 30) - 1)
 
@@ -360,6 +360,48 @@ def _unpack(blob) -> tuple[np.ndarray, np.ndarray]:
     return swell(view[8 : 8 + n], np.int64).reshape(5, -1), view[8 + n :]
 
 
+def _decide(head: np.ndarray, text: np.ndarray, length: int, block: int) -> list[np.ndarray]:
+    """(document, tie, first, last) of repeated windows among snippets that hold all of their anchors' strings."""
+    h, doc, tie, start, more = head
+    size = more + length
+    begin = np.cumsum(size) - size
+    key = X.span_hash(text, begin, begin + size)
+    order = np.lexsort((start, tie, doc, key, size, h))
+    lead = np.ones(len(order), dtype=bool)
+    x = np.stack([h[order], size[order], key[order].view(np.int64)])
+    lead[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+    rep = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    copy = np.flatnonzero(~lead)
+    same = np.zeros(len(order), dtype=bool)
+    if len(copy):
+        cut = np.cumsum(size[order[copy]]) - size[order[copy]]
+        differ = np.add.reduceat((text[X.ranges(begin[order[copy]], size[order[copy]])] != text[X.ranges(begin[rep[copy]], size[rep[copy]])]).astype(np.int64), cut)
+        same[copy[differ == 0]] = True
+    twin = (doc[order] == doc[rep]) & (tie[order] == tie[rep]) & (start[order] == start[rep])
+    again = order[same & ~twin]
+    done = [np.stack([doc[again], tie[again], start[again], start[again] + more[again]])]
+    left = order[~same]  # by anchor, its different snippets together
+    several = np.zeros(len(left), dtype=bool)
+    eq = h[left][1:] == h[left][:-1]
+    several[1:] |= eq
+    several[:-1] |= eq
+    left = left[several]
+    if len(left):
+        flags = repeats(text[X.ranges(begin[left], size[left])], size[left], more[left] + 1, h[left], (doc[left], tie[left], start[left]), length, block)
+        # maximal runs of marked windows in each snippet
+        string = np.repeat(np.arange(len(left)), more[left] + 1)
+        number = X.ranges(np.zeros(len(left), np.int64), more[left] + 1)
+        p = np.flatnonzero(flags)
+        if len(p):
+            new = np.ones(len(p), dtype=bool)
+            new[1:] = (np.diff(p) != 1) | (string[p][1:] != string[p][:-1])
+            a = p[new]
+            z = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
+            s = left[string[a]]
+            done.append(np.stack([doc[s], tie[s], start[s] + number[a], start[s] + number[z]]))
+    return done
+
+
 def marks(found: DataFrame, length: int, block: int) -> DataFrame:
     """(home, blob): windows of documents that are repeats, by the shard of their document."""
     homes = runtime.shuffle_partitions(found.sparkSession)
@@ -373,45 +415,18 @@ def marks(found: DataFrame, length: int, block: int) -> DataFrame:
                 heads.append(head)
                 data.append(np.frombuffer(pa.decompress(pa.py_buffer(packed), int((head[4] + length).sum()), "zstd", asbytes=True), np.uint8))
         if heads:
-            head = np.concatenate(heads, axis=1)
-            text = np.concatenate(data)
-            h, doc, tie, start, more = head
-            size = more + length
+            head, text = np.concatenate(heads, axis=1), np.concatenate(data)
+            size = head[4] + length
             begin = np.cumsum(size) - size
-            key = X.span_hash(text, begin, begin + size)
-            order = np.lexsort((start, tie, doc, key, size, h))
-            lead = np.ones(len(order), dtype=bool)
-            x = np.stack([h[order], size[order], key[order].view(np.int64)])
-            lead[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-            rep = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-            copy = np.flatnonzero(~lead)
-            same = np.zeros(len(order), dtype=bool)
-            if len(copy):
-                cut = np.cumsum(size[order[copy]]) - size[order[copy]]
-                differ = np.add.reduceat((text[X.ranges(begin[order[copy]], size[order[copy]])] != text[X.ranges(begin[rep[copy]], size[rep[copy]])]).astype(np.int64), cut)
-                same[copy[differ == 0]] = True
-            twin = (doc[order] == doc[rep]) & (tie[order] == tie[rep]) & (start[order] == start[rep])
-            again = order[same & ~twin]
-            done.append(np.stack([doc[again], tie[again], start[again], start[again] + more[again]]))
-            left = order[~same]  # by anchor, its different snippets together
-            several = np.zeros(len(left), dtype=bool)
-            eq = h[left][1:] == h[left][:-1]
-            several[1:] |= eq
-            several[:-1] |= eq
-            left = left[several]
-            if len(left):
-                flags = repeats(text[X.ranges(begin[left], size[left])], size[left], more[left] + 1, h[left], (doc[left], tie[left], start[left]), length, block)
-                # maximal runs of marked windows in each snippet
-                string = np.repeat(np.arange(len(left)), more[left] + 1)
-                number = X.ranges(np.zeros(len(left), np.int64), more[left] + 1)
-                p = np.flatnonzero(flags)
-                if len(p):
-                    new = np.ones(len(p), dtype=bool)
-                    new[1:] = (np.diff(p) != 1) | (string[p][1:] != string[p][:-1])
-                    a = p[new]
-                    z = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
-                    s = left[string[a]]
-                    done.append(np.stack([doc[s], tie[s], start[s] + number[a], start[s] + number[z]]))
+            by_anchor = np.argsort(head[0], kind="stable")
+            total = np.cumsum(size[by_anchor])
+            i = 0
+            while i < len(by_anchor):  # whole anchors, a bounded number of bytes at a time
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + block)))
+                j = int(np.searchsorted(head[0][by_anchor], head[0][by_anchor[min(j, len(by_anchor)) - 1]], side="right"))
+                own = by_anchor[i:j]
+                done += _decide(head[:, own], text[X.ranges(begin[own], size[own])], length, block)
+                i = j
         if not done:
             return pa.table({"home": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         m = np.concatenate(done, axis=1)
