@@ -24,6 +24,7 @@ smallest while another is there.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,10 +36,10 @@ from . import exchange, runtime
 from . import textops as X
 
 U64 = np.uint64
-DIMENSIONS = 96
+DIMENSIONS = 64
 FANOUT = 16
-#: classes of one candidate group that the bound alone parts further in one task
-PARTED = 20_000
+#: classes of one candidate group that ask in one task what the bound alone connects
+PARTED = 4000
 #: members of one candidate group that are joined in one task
 CHUNK = 2000
 #: classes in candidate groups whose labels are broadcast (16 bytes each)
@@ -62,12 +63,26 @@ class Layout:
         # nudged down: on an edge the lower level is as right, as neighbours meet anyway
         return np.floor(np.log(np.maximum(n, 1)) / self.step + 1e-9).astype(np.int64)
 
-    def groups(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of groups, empty ones allowed) where sizes are below the upper edge."""
-        top = np.ceil(np.exp((level + 1) * self.step) + 1)
-        differ = np.floor(2 * top * (100 - self.percent) / (100 + self.percent)).astype(np.int64)
-        spare = 1 + differ // 100
-        return differ + 1 + spare, spare
+    def groups(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By level: number of groups, groups that may differ, and the least shingles of a group that is sent."""
+        levels, back = np.unique(level, return_inverse=True)
+        out = np.array([self._plan(int(v)) for v in levels], np.int64).reshape(-1, 3)[back]
+        return out[:, 0], out[:, 1], out[:, 2]
+
+    @functools.lru_cache(4096)  # noqa: B019
+    def _plan(self, level: int) -> tuple[int, int, int]:
+        # sizes below the upper edge; of more groups than can differ some are the same, and of those
+        # not all are small unless both sets have that many small groups
+        top = math.ceil(math.exp((level + 1) * self.step) + 1)
+        differ = 2 * top * (100 - self.percent) // (100 + self.percent)
+        for least in (6, 5, 4, 3, 2):
+            for ratio in (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4):
+                groups = math.ceil(differ * ratio) + 1
+                mean = math.exp((level - 0.5) * self.step) / groups
+                small = groups * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
+                if small + 1.5 * math.sqrt(small) <= groups - differ - 1:
+                    return groups, differ, least
+        return differ + 2, differ, 1
 
 
 def set_hash(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +102,17 @@ def with_level(key: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """(document row, key) of every non-empty group of each document at its two levels."""
+    """(document row, key) of the groups of each document at its two levels.
+
+    Small groups, which chance makes equal most often, are left out unless a
+    document has so many that all groups it shares could be small ones.
+    """
     rows = len(n)
     keys, owners = [], []
     for up in (0, 1):
         level = layout.level(n) + up
-        groups, spare = layout.groups(level)
-        live = (n > 0) & (groups - spare > 1)  # else only equal sets can link
+        groups, differ, least = layout.groups(level)
+        live = (n > 0) & (differ > 0)  # else only equal sets can link
         g = np.where(live, groups, 0)
         base = np.cumsum(g) - g
         ok = live[row]
@@ -110,11 +129,13 @@ def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) ->
         number = np.arange(total) - np.repeat(base, g)
         salt = X.mix((level[owner].astype(U64) << U64(32)) + number.astype(U64))
         key = with_level(X.mix(X.mix(lo) + (hi << U64(1)) + salt), level[owner])
-        full = count > 0
-        keys.append(key[full])
-        owners.append(owner[full])
-        empty = g - np.bincount(owner[full], minlength=rows)
-        sparse = np.flatnonzero(live & (empty > spare))
+        sent = count >= np.maximum(least, 1)[owner]
+        few = g - np.bincount(owner[sent], minlength=rows)
+        sent |= (count > 0) & (few >= groups - differ)[owner]
+        keys.append(key[sent])
+        owners.append(owner[sent])
+        empty = g - np.bincount(owner[count > 0], minlength=rows)
+        sparse = np.flatnonzero(live & (empty >= groups - differ))
         if len(sparse):
             keys.append(with_level(X.mix(level[sparse].astype(U64) + U64(0x5851F42D4C957F2D)), level[sparse]))
             owners.append(sparse)
@@ -237,7 +258,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                     q = min(p + 4096, j - i)
                     a, z = int(end[p] - n[p]), int(end[q - 1])
                     at = (row[a:z] - p) * DIMENSIONS + (X.mix(x[a:z]) % U64(DIMENSIONS)).astype(np.int64)
-                    point = np.bincount(at, minlength=(q - p) * DIMENSIONS).astype(np.int32).reshape(q - p, DIMENSIONS)
+                    point = np.bincount(at, minlength=(q - p) * DIMENSIONS).reshape(q - p, DIMENSIONS)
+                    point[(point > 65535).any(axis=1)] = 65535  # more than fits: the bound lets it pass
+                    point = point.astype(np.uint16)
                     points = [point[r].tobytes() if n[p + r] > 1 else None for r in range(q - p)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i + p, q - p), b.column(1).slice(i + p, q - p), pa.array(n[p:q]), pa.array(ref[p:q]), pa.array(points, pa.binary())], names=["doc_id", "tie", "n_shingles", "ref", "point"])
         X.release_powers()
@@ -301,28 +324,27 @@ def grouped(pairs: DataFrame) -> DataFrame:
 def parted(groups: DataFrame, sets: DataFrame, percent: int, most: int = PARTED) -> DataFrame:
     """(ref, grp): groups cut into what the bound on overlaps connects; classes without a partner fall out.
 
-    A group of more than ``most`` classes stays as it is.
+    Every task has the points of one group, and up to ``most`` of its classes ask there.
     """
     sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
     points = sets.filter("point is not null").groupBy("ref").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    slices = F.expr(f"cast(ceil(size / {most}) as int)")
+    dealt = sized.join(points, "ref").withColumn("mine", F.expr("cast(pmod(xxhash64(ref), {0}) as int)".format(f"cast(ceil(size / {most}) as bigint)"))).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
 
-    def part(group: pa.Table) -> pa.Table:
+    def ask(group: pa.Table) -> pa.Table:
         ref, n = group.column("ref").to_numpy(), group.column("n").to_numpy()
-        p = np.frombuffer(b"".join(x.as_buffer() for x in group.column("point")), np.int32).reshape(len(ref), DIMENSIONS)
+        p = np.frombuffer(b"".join(x.as_buffer() for x in group.column("point")), np.uint16).reshape(len(ref), DIMENSIONS).astype(np.int32)
         tree, label = RTree(p, n, percent), np.arange(len(ref))
-        for q in range(len(ref)):
+        for q in np.flatnonzero(group.column("mine").to_numpy() == group.column("slice")[0].as_py()).tolist():
             met = np.unique(label[tree.query(p[q], int(n[q]))])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
-        count = np.bincount(label, minlength=len(ref))
-        keep = count[label] > 1
-        least = np.full(len(ref), np.iinfo(np.int64).max)
-        np.minimum.at(least, label, ref)
-        grp = X.mix(least[label].view(U64) + U64(group.column("lev")[0].as_py())).view(np.int64)
-        return pa.table({"ref": pa.array(ref[keep]), "grp": pa.array(grp[keep])})
-
-    small = sized.filter(F.col("size") <= most).join(points, "ref").groupBy("grp").applyInArrow(part, "ref bigint, grp bigint")
-    return small.unionAll(sized.filter(F.col("size") > most).select("ref", "grp"))
+        b = np.flatnonzero(label != np.arange(len(ref)))
+        lev = np.full(len(b), group.column("lev")[0].as_py())
+        return pa.table({"a": pa.array(ref[label[b]]), "b": pa.array(ref[b]), "lev": pa.array(lev, pa.int64())})
+
+    edges = dealt.groupBy("grp", "slice").applyInArrow(ask, "a bigint, b bigint, lev bigint")
+    return grouped(edges).select("ref", "grp")
 
 
 _MEMBER = "grp bigint, chunk int, ref bigint, blob binary"
