@@ -58,10 +58,14 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\d.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{3,4}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-]))"
-    rf"|(?P<name>\b(?P<title>(?:{'|'.join(n for names in TITLES.values() for n in names)})\.?[ ])?(?P<given>{'|'.join(n for names in GIVEN.values() for n in names)}|{_CAPITAL})(?P<gap>[ ])?(?P<family>{_CAPITAL}(?:-{_CAPITAL})?)?)"
 )
-#: the same without names, for texts that hold neither a title nor a given name
-NUMBERS = re.compile(PATTERN.pattern.split("|(?P<name>")[0])
+_TITLE = "|".join(n for names in TITLES.values() for n in names)
+_KNOWN = "|".join(x for names in GIVEN.values() for n in names for x in (n, n.upper()))
+#: a title and one or two names, or a listed given name and a family name
+NAMES = re.compile(
+    rf"\b(?:(?P<title>{_TITLE})\.?[ ](?P<given>{_CAPITAL})(?:[ ](?P<family>{_CAPITAL}(?:-{_CAPITAL})?))?"
+    rf"|(?P<first>{_KNOWN})[ ](?P<last>{_CAPITAL}(?:-{_CAPITAL})?))(?![\w@])"
+)
 
 
 def _mac(key: bytes, *parts: str) -> bytes:
@@ -176,8 +180,7 @@ def _digits_like(digits: str, shape: str) -> str:
 def mentions(text: str, names: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order."""
     out = []
-    for m in (PATTERN if names else NUMBERS).finditer(text):
-        kind = m.lastgroup
+    for m in PATTERN.finditer(text):
         if m["email"]:
             out.append((*m.span("email"), "email", m["email"].lower()))
         elif m["secret"]:
@@ -186,26 +189,29 @@ def mentions(text: str, names: bool = True) -> list[tuple[int, int, str, str]]:
             out.append((*m.span("card"), "card", re.sub(r"\D", "", m["card"])))
         elif m["ip"]:
             out.append((*m.span("ip"), "ip", ".".join(str(int(x)) for x in m["ip"].split("."))))
-        elif m["phone"]:
+        else:
             start = m.start("phone")
             prefix = re.match(r"\+\d{1,3}[ .(-]", m["phone"])
             start += prefix.end() - (prefix.group()[-1] == "(") if prefix else 0
             national = re.sub(r"\D", "", text[start : m.end()])
             if 7 <= len(national) <= 12:
                 out.append((start, m.end(), "phone", national))
-        elif names and kind:
-            given, family = m["given"], m["family"] if m["gap"] else None
-            known = _names.get(given.lower())
-            if known and family:
-                out.append((*m.span("given"), "given", f"{known[0]}/{known[1]}/{given.lower()}"))
-            if m["title"] and not known:
-                family = family if family and m["gap"] else None
-                out.append((*m.span("given"), "family", f"{_script(given)}//{given.lower()}"))
-            elif m["title"] and not family:
-                out.append((*m.span("given"), "given", f"{known[0]}/{known[1]}/{given.lower()}"))
-            if family and (known or m["title"]):
-                out.append((*m.span("family"), "family", f"{_script(family)}//{family.lower()}"))
-    return out
+    if not names:
+        return out
+    taken = [(a, z) for a, z, *_ in out]
+    for m in NAMES.finditer(text):
+        if any(a < m.end() and m.start() < z for a, z in taken):
+            continue
+        given, family = ("given", "family") if m["title"] else ("first", "last")
+        known = _names.get(m[given].lower())
+        if known:
+            out.append((*m.span(given), "given", f"{known[0]}/{known[1]}/{m[given].lower()}"))
+        else:
+            # after a title alone stands a family name
+            out.append((*m.span(given), "family", f"{_script(m[given])}//{m[given].lower()}"))
+        if m[family]:
+            out.append((*m.span(family), "family", f"{_script(m[family])}//{m[family].lower()}"))
+    return sorted(out)
 
 
 def dressed(shape: str, kind: str, canon: str) -> str:
