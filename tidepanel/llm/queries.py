@@ -144,7 +144,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 w AS (
-  SELECT doc_id, p, sha256(lower(hex(b))[2 * p + 1 : 2 * p + 200]) AS s
+  SELECT doc_id, p, sha256(array_slice(b, p + 1, p + 100)) AS s
   FROM (SELECT doc_id, b, unnest(generate_series(0, octet_length(b) - 100)) AS p FROM d WHERE octet_length(b) >= 100)
 ), r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
 g AS (
