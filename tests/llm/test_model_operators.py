@@ -155,6 +155,18 @@ def test_bloom_levels():
     assert (bloom_lm.decoded(j) <= counts).all() and (bloom_lm.decoded(j) * bloom_lm.BASE > counts * 0.999).all()
 
 
+def test_language_model_in_passes(spark, monkeypatch):
+    """Filters and contexts beyond what is broadcast at once change no score."""
+    docs = spark.createDataFrame([(i, prose(i % 40, 50)) for i in range(200)] + [(200, None), (7, prose(7, 50))], "doc_id bigint, text string").repartition(3)
+    order = ["doc_id", "base_score", "score"]
+    whole = bloom_lm.score(docs).toPandas().sort_values(order, ignore_index=True)
+    monkeypatch.setattr(bloom_lm, "FILTER_MB", 0.006)
+    monkeypatch.setattr(bloom_lm, "CONTEXTS", 250)
+    cut = bloom_lm.score(docs).toPandas().sort_values(order, ignore_index=True)
+    pd.testing.assert_frame_equal(cut, whole, rtol=1e-12)
+    assert bloom_lm.runs(np.array([3, 1, 1, 9, 1]), 4) == [(0, 2), (2, 3), (3, 4), (4, 5)] and bloom_lm.runs(np.zeros(2), 4) == [(0, 2)]
+
+
 # operator 8
 
 

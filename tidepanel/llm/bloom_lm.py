@@ -14,11 +14,11 @@ do not sum to more than one but for false positives.
     P(w | u) = max(q(uw) - D, 0) / c(u) + (1 - sum_x (q(ux) - D) / c(u)) P(w)
 
 P(w) is the add-0.1 unigram with exact counts; the weight left to it is kept as
-one float a context.  Filter and weights are broadcast and bounded: ``least`` is
-raised to the smallest count at which the filter has at most ``FILTER_MB``, and
-ids are given from the smallest count that leaves at most ``CONTEXTS`` of them.
-Both bounds only smooth the model; unigram counts, and the rows scored, are
-always all.
+one float a context.  Filter and weights are broadcast, at most ``FILTER_MB`` of
+the one and ``CONTEXTS`` of the other at a time: beyond that the bundles are
+scored in several passes, one a range of filter shards and of contexts, each
+token in the pass that holds its pair and context, and the passes' sums are added
+up.  The model is the same at any number of passes.
 
 Tokens: runs of everything but ASCII white space, A-Z lower-cased, and an end
 token a text.  Null texts are empty: one end token.  A null doc_id hashes as
@@ -27,6 +27,8 @@ the empty string.  Rows that repeat are scored (and counted) each.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -279,24 +281,43 @@ class LogBloom:
         return out
 
 
-def build_filter(pairs: DataFrame, shards: int, lowest: int) -> LogBloom:
+def runs(sizes: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Ranges of neighbours whose sizes sum to at most ``most`` (a larger one is alone), covering all."""
+    out, first, sum_ = [], 0, 0.0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and sum_ + size > most:
+            out.append((first, i))
+            first, sum_ = i, 0.0
+        sum_ += size
+    return [*out, (first, len(sizes))]
+
+
+def segments(pairs: DataFrame, ends: np.ndarray) -> DataFrame:
+    """(shard, bits, size, run): the filter's segments, in a folder a run of shards; ends: where each run ends."""
+
     def build(batches):
         for b in batches:
             for shard, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 k, j = np.cumsum(swell(keys.as_buffer(), np.int64)), level(swell(n.as_buffer(), np.int64))
-                ok = j >= lowest
-                bits, size = LogBloom.segment(_shard_key(k[ok]), j[ok])
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([size], pa.int64())], names=["shard", "bits", "size"])
+                bits, size = LogBloom.segment(_shard_key(k), j)
+                run = int(np.searchsorted(ends, shard, side="right"))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([size], pa.int64()), pa.array([run], pa.int32())], names=["shard", "bits", "size", "run"])
 
+    made = pairs.select("shard", "pairs", "counts").mapInArrow(build, "shard int, bits binary, size bigint, run int")
+    return runtime.written(made, "filter", ["run"])[0]
+
+
+def load_filter(made: DataFrame, run: int, shards: int) -> LogBloom:
+    """The filter of one run's shards; the others' segments are empty."""
     bits, sizes = [np.empty(0, np.uint8)] * shards, [0] * shards
-    made = pairs.select("shard", "pairs", "counts").mapInArrow(build, "shard int, bits binary, size bigint").toArrow()
-    for shard, b, size in zip(made.column(0).to_pylist(), made.column(1), made.column(2).to_pylist()):
+    own = made.filter(F.col("run") == run).select("shard", "bits", "size").toArrow()
+    for shard, b, size in zip(own.column(0).to_pylist(), own.column(1), own.column(2).to_pylist()):
         bits[shard], sizes[shard] = np.frombuffer(b.as_buffer(), np.uint8), size
     return LogBloom(bits, sizes)
 
 
-def context_mass(pairs: DataFrame, shards: int, lowest: int, n_ids: int) -> np.ndarray:
-    """Per id the sum of (decoded count - D) over its pairs, as float32; at most CONTEXTS of them."""
+def context_mass(pairs: DataFrame, shards: int, n_ids: int) -> DataFrame:
+    """(shard, ids, mass): per id the sum of (decoded count - D) over its pairs, as float32, in shards that are ranges of ids."""
 
     def pack(parts):
         ids, mass = (np.concatenate(x) for x in zip(*parts))
@@ -313,9 +334,8 @@ def context_mass(pairs: DataFrame, shards: int, lowest: int, n_ids: int) -> np.n
         for b in batches:
             for keys, n in zip(b.column(1), b.column(2)):
                 k, j = np.cumsum(swell(keys.as_buffer(), np.int64)), level(swell(n.as_buffer(), np.int64))
-                ok = j >= lowest
-                u, back = np.unique(k[ok] >> 32, return_inverse=True)
-                parts.append((u, np.bincount(back, weights=decoded(j[ok]) - DISCOUNT, minlength=len(u))))
+                u, back = np.unique(k >> 32, return_inverse=True)
+                parts.append((u, np.bincount(back, weights=decoded(j) - DISCOUNT, minlength=len(u))))
                 size += len(u)
                 if size >= 4 * FLUSH:
                     yield pack(parts)
@@ -327,12 +347,18 @@ def context_mass(pairs: DataFrame, shards: int, lowest: int, n_ids: int) -> np.n
         u = np.concatenate([swell(x.as_buffer(), np.int64) for x in group.column("ids")])
         m = np.concatenate([swell(x.as_buffer(), np.float64) for x in group.column("mass")])
         ids, back = np.unique(u, return_inverse=True)
-        return pa.table({"ids": pa.array([squeeze(ids.astype(np.uint32))], pa.binary()), "mass": pa.array([squeeze(np.bincount(back, weights=m).astype(np.float32))], pa.binary())})
+        return pa.table({"shard": group.column("shard")[:1], "ids": pa.array([squeeze(ids.astype(np.uint32))], pa.binary()), "mass": pa.array([squeeze(np.bincount(back, weights=m).astype(np.float32))], pa.binary())})
+
+    made = pairs.select("shard", "pairs", "counts").mapInArrow(part, "shard int, ids binary, mass binary").groupBy("shard").applyInArrow(total, "shard int, ids binary, mass binary")
+    return runtime.written(made, "mass")[0]
+
 
-    out = np.zeros(n_ids, np.float32)
-    rows = pairs.select("shard", "pairs", "counts").mapInArrow(part, "shard int, ids binary, mass binary").groupBy("shard").applyInArrow(total, "ids binary, mass binary").toArrow()
-    for ids, mass in zip(rows.column(0), rows.column(1)):
-        out[swell(ids.as_buffer(), np.uint32)] = swell(mass.as_buffer(), np.float32)
+def load_mass(made: DataFrame, first: int, end: int, ids: tuple[int, int]) -> np.ndarray:
+    """Mass of each id of a range, which shards first to end hold."""
+    out = np.zeros(ids[1] - ids[0], np.float32)
+    rows = made.filter(F.col("shard").between(first, end - 1)).select("ids", "mass").toArrow()
+    for u, mass in zip(rows.column(0), rows.column(1)):
+        out[swell(u.as_buffer(), np.uint32).astype(np.int64) - ids[0]] = swell(mass.as_buffer(), np.float32)
     return out
 
 
@@ -348,8 +374,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
     for r in answers.filter("bundle < 0").select("shard", "counts").collect():  # one row a shard
         stats[r["shard"]] = swell(r["counts"], np.int64)
     n_train, n_distinct = int(stats[:, 0].sum()), int(stats[:, 1].sum())
-    least_id = next((t for t in range(LEAST, 64) if stats[:, 2 + t :].sum() <= CONTEXTS), 63)
-    given = stats[:, 2 + least_id :].sum(axis=1)
+    given = stats[:, 2 + LEAST :].sum(axis=1)
     n_ids = int(given.sum())
     rows, _ = runtime.written(resolved(raw, answers, given), "resolved")
     runtime.delete_path(spark, raw_path)
@@ -362,42 +387,92 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
         at = swell(first[0]["seq"], np.uint32)[swell(first[0]["sizes"], np.int64)[0] - 1]
         end_id, end_count = int(swell(first[0]["ids"], np.int64)[at]), int(swell(first[0]["counts"], np.int64)[at])
     pairs, _ = runtime.written(pair_counts(rows, shards, end_id), "pairs")
-    levels = np.sum([np.zeros(64, np.int64)] + [np.array(r["levels"]) for r in pairs.select("levels").collect()], axis=0)  # one row a shard
-    size = levels * np.arange(64)
-    lowest = next(j for j in range(1, 65) if size[j:].sum() * BITS_PER_KEY / 8e6 <= FILTER_MB)
-    filter_ = build_filter(pairs, shards, lowest)
-    mass = context_mass(pairs, runtime.shuffle_partitions(spark), lowest, n_ids)
-    shared = spark.sparkContext.broadcast((filter_, mass))
-
-    def run(batches):
-        filter_, mass = shared.value
-        unknown = n_train + PSEUDO * (n_distinct + 1)
-        for b in batches:
-            for doc_ids, held, sizes, seq, counts, ids in zip(*(b.column(c) for c in range(6))):
-                n = swell(sizes.as_buffer(), np.int64)
-                seq = swell(seq.as_buffer(), np.uint32)
-                c = swell(counts.as_buffer(), np.int64)[seq]
-                token = swell(ids.as_buffer(), np.int64)[seq]
-                p = (c + PSEUDO) / unknown
-                start = np.cumsum(n) - n
-                key = _pairs(token, n, end_id)
-                has = np.flatnonzero(key >= 0)
-                k, back = np.unique(key[has], return_inverse=True)
-                h = _shard_key(k)
-                q = np.zeros(len(key))
-                q[has] = decoded(filter_.levels(h, exchange.shard_of(h, shards)))[back]
-                before_c = np.empty(len(c), np.int64)
-                before_c[1:] = c[:-1]
-                before_id = np.empty(len(c), np.int64)
-                before_id[1:] = token[:-1]
-                before_c[start], before_id[start] = end_count, end_id
-                known = before_id >= 0
-                left = np.ones(len(c))
-                left[known] = np.maximum(1 - mass[before_id[known]] / before_c[known], 1e-6)
-                smooth = np.where(known, np.maximum(q - DISCOUNT, 0) / np.maximum(before_c, 1), 0.0) + left * p
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.values, pa.array(swell(held.as_buffer(), np.uint8).astype(bool)), pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), start)), pa.array(np.full(len(n), n_train)), pa.array(np.add.reduceat(np.log10(p), start)), pa.array(np.add.reduceat(np.log10(np.minimum(smooth, 1.0)), start))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    size = np.zeros(shards)
+    for r in pairs.select("shard", "levels").collect():  # one row a shard
+        size[r["shard"]] = np.dot(r["levels"], np.arange(64)) * BITS_PER_KEY / 8e6
+    filter_runs = runs(size, FILTER_MB)
+    filters = segments(pairs, np.array([z for _, z in filter_runs]))
+    mass_shards = max(runtime.shuffle_partitions(spark), -(-2 * n_ids // CONTEXTS))
+    masses = context_mass(pairs, mass_shards, n_ids)
+    bounds = -(-np.arange(mass_shards + 1) * max(1, n_ids) // mass_shards)
+    mass_runs = runs(np.diff(bounds), CONTEXTS)
+    passes = [(f, m) for m in range(len(mass_runs)) for f in range(len(filter_runs))]
+
+    def scored(f: int, m: int):
+        """Broadcast and rows of one pass: a bundle's sums, and what does not depend on the filter with the first pass."""
+        here, ids_here = filter_runs[f], tuple(int(bounds[x]) for x in mass_runs[m])
+        shared = spark.sparkContext.broadcast((load_filter(filters, f, shards), load_mass(masses, *mass_runs[m], ids_here)))
+
+        def run(batches):
+            filter_, mass = shared.value
+            unknown = n_train + PSEUDO * (n_distinct + 1)
+            for b in batches:
+                for bundle, doc_ids, held, sizes, seq, counts, ids in zip(b.column(0).to_pylist(), *(b.column(c) for c in range(1, 7))):
+                    n = swell(sizes.as_buffer(), np.int64)
+                    seq = swell(seq.as_buffer(), np.uint32)
+                    counts = swell(counts.as_buffer(), np.int64)
+                    c, token = counts[seq], swell(ids.as_buffer(), np.int64)[seq]
+                    start = np.cumsum(n) - n
+                    before_c = np.empty(len(c), np.int64)
+                    before_c[1:] = c[:-1]
+                    before_id = np.empty(len(c), np.int64)
+                    before_id[1:] = token[:-1]
+                    before_c[start], before_id[start] = end_count, end_id
+                    key = _pairs(token, n, end_id)
+                    # what has no pair counts to the first shard, what has no context to the first id
+                    mine = np.ones(len(key), dtype=bool)
+                    if len(filter_runs) > 1:
+                        shard = np.where(key >= 0, exchange.shard_of(_shard_key(key), shards), 0)
+                        mine &= (shard >= here[0]) & (shard < here[1])
+                    if len(mass_runs) > 1:
+                        context = np.maximum(before_id, 0)
+                        mine &= (context >= ids_here[0]) & (context < ids_here[1])
+                    own = np.flatnonzero(mine)
+                    key, known = key[own], before_id[own] >= 0
+                    has = np.flatnonzero(key >= 0)
+                    k, back = np.unique(key[has], return_inverse=True)
+                    h = _shard_key(k)
+                    q = np.zeros(len(key))
+                    q[has] = decoded(filter_.levels(h, exchange.shard_of(h, shards)))[back]
+                    left = np.ones(len(own))
+                    left[known] = np.maximum(1 - mass[before_id[own[known]] - ids_here[0]] / before_c[own[known]], 1e-6)
+                    smooth = np.where(known, np.maximum(q - DISCOUNT, 0) / np.maximum(before_c[own], 1), 0.0) + left * (c[own] + PSEUDO) / unknown
+                    sums = np.bincount(np.repeat(np.arange(len(n)), n)[own], weights=np.log10(np.minimum(smooth, 1.0)), minlength=len(n))
+                    head = [None] * 4
+                    if (f, m) == passes[0]:
+                        numbers = np.concatenate([n, np.add.reduceat((c > 0).astype(np.int64), start)])
+                        head = [doc_ids.as_py(), held.as_py(), squeeze(numbers), squeeze(np.add.reduceat(np.log10((c + PSEUDO) / unknown), start))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bundle], pa.int64()), pa.array([head[0]], b.column(1).type), *(pa.array([x], pa.binary()) for x in head[1:]), pa.array([squeeze(sums)], pa.binary())],
+                        names=["bundle", "doc_ids", "held", "numbers", "base", "sums"],
+                    )
+
+        def whole(batches):
+            # the only pass ends in the worker that scores: a second Python stage would hold its memory again
+            for part in run(batches):
+                yield from add(pa.Table.from_batches([part])).to_batches()
+
+        own = rows.select("bundle", "doc_ids", "held", "sizes", "seq", "counts", "ids")
+        if len(passes) == 1:
+            return shared, own.mapInArrow(whole, schema)
+        return shared, own.mapInArrow(run, f"bundle bigint, doc_ids array<{kind}>, held binary, numbers binary, base binary, sums binary")
+
+    def add(group: pa.Table) -> pa.Table:
+        """Scores of a bundle's documents from its rows of all passes."""
+        at = int(np.flatnonzero(group.column("held").is_valid().to_numpy())[0])
+        sums = np.sum([swell(x.as_buffer(), np.float64) for x in group.column("sums")], axis=0)
+        numbers = swell(group.column("numbers")[at].as_buffer(), np.int64).reshape(2, -1)
+        held = swell(group.column("held")[at].as_buffer(), np.uint8).astype(bool)
+        return pa.table(
+            [group.column("doc_ids")[at].values, pa.array(held), pa.array(numbers[0]), pa.array(numbers[1]), pa.array(np.full(len(held), n_train)), pa.array(swell(group.column("base")[at].as_buffer(), np.float64)), pa.array(sums)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
-    return rows.select("doc_ids", "held", "sizes", "seq", "counts", "ids").mapInArrow(run, schema)
+    if len(passes) == 1:
+        return scored(*passes[0])[1]
+    parts = []
+    for x in passes:
+        shared, part = scored(*x)
+        parts.append(runtime.written(part, "sums")[0])
+        shared.destroy()
+    return functools.reduce(DataFrame.unionAll, parts).groupBy("bundle").applyInArrow(add, schema)
