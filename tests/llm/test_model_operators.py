@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import reference as ref
 from conftest import prose
@@ -56,6 +57,17 @@ def test_surrogates_are_checked(spark, hard, nothing, monkeypatch):
     assert got.columns == [*hard.columns, "found"] and got.count() == hard.count() and pii.report(nothing).count() == 0
 
 
+def test_prefilter_keeps_all_that_is_found():
+    texts = ["„Frau Schneider“ kam", "“Dr Schmidt” said", "«Madame Dupont» parle", "well—Mr Brown left", "ИВАН ПЕТРОВ", "«Иван Петров»", "JOHN SMITH", "Mr. Brown", "éAnna Maria Meier", "password: AbCdEfGhIjKlMnOpQr", "ſecret: AbCdEfGhIjKlMnOpQr"]
+    texts += ["٢١٢ ٥٥٥ ٠١٢٣", "call 212-555-0123", "a@b.example", "Mr", "Brown Mr", None, "", "plain words only", "schöne Grüße", "Mr ", "Brown"]
+    kept = {r: (t, named) for r, t, named in pii._texts(pa.array(texts))}
+    for r, t in enumerate(texts):
+        found = pii.mentions(t or "")
+        assert found == (pii.mentions(*kept[r]) if r in kept else []), t
+        assert bool(found) == (r < 14), t
+    assert len(kept) < len(texts)
+
+
 # operator 4
 
 

@@ -227,26 +227,51 @@ def dressed(shape: str, kind: str, canon: str) -> str:
     return canon
 
 
-_WORDS = np.unique(np.concatenate([X.Words(np.frombuffer(n.encode(), np.uint8), np.array([0, len(n.encode())]), X.ALNUM).hash for n in [*(n for g in GIVEN.values() for n in g), *(n for g in TITLES.values() for n in g)]]))
+#: every kind of PATTERN holds one of these: an address its @, a secret = or :, the others digits
 _SIGNS = np.zeros(256, dtype=bool)
-_SIGNS[[*range(0x30, 0x3A), 0x40, 0x3D]] = True
+_SIGNS[[*range(0x30, 0x3A), 0x40, 0x3D, 0x3A]] = True
+#: what NAMES begins with, a title or a given name as listed or in capitals: the last bytes, at most eight, by their number
+_ENDINGS = {
+    n: np.unique(np.array([int.from_bytes(x[-n:], "big") for x in found], np.uint64))
+    for n, found in ((n, [x for x in map(str.encode, f"{_TITLE}|{_KNOWN}".split("|")) if min(len(x), 8) == n]) for n in range(1, 9))
+    if found
+}
+#: digits beyond ASCII, which \d takes too, and the first bytes that they can have
+_DIGITS = re.compile(r"[^\D0-9]")
+_WIDE = np.arange(256) >= 0xD9
+_WIDE[0xE2] = False
+
+
+def _named(buf: np.ndarray) -> np.ndarray:
+    """Positions of blanks that follow a title or given name, whatever stands before it."""
+    at = np.flatnonzero(buf == 0x20)
+    end = at - (buf[at - 1] == 0x2E)
+    key = np.zeros(len(at), np.uint64)
+    for j in range(8):
+        key |= np.where(end > j, buf[end - 1 - j], 0).astype(np.uint64) << np.uint64(8 * j)
+    hit = np.zeros(len(at), dtype=bool)
+    for n, known in _ENDINGS.items():
+        hit |= X.lookup(known, key & np.uint64((1 << (8 * n)) - 1)) >= 0
+    return at[hit]
 
 
 def _texts(column):
-    """(row, text, may hold names) of the rows that may hold an entity."""
+    """(row, text, may hold names) of the rows that may hold an entity: all that ``mentions`` finds are in them."""
     batch = pa.RecordBatch.from_arrays([column], names=["t"])
     buf_all, offs_all = X.column(batch, 0)
     for i, j in X.slices(offs_all):
         buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
-        w = X.Words(buf, offs, X.ALNUM)
+        raw = buf.tobytes()
         named = np.zeros(j - i, dtype=bool)
-        named[w.row[X.lookup(_WORDS, w.hash) >= 0]] = True
-        at = np.flatnonzero(_SIGNS[buf])
+        named[np.searchsorted(offs, _named(buf), side="right") - 1] = True
         some = named.copy()
-        some[np.searchsorted(offs, at, side="right") - 1] = True
-        raw = buf.tobytes()
-        for r in np.flatnonzero(some).tolist():
-            yield i + r, raw[offs[r] : offs[r + 1]].decode(), bool(named[r])
+        some[np.searchsorted(offs, np.flatnonzero(_SIGNS[buf]), side="right") - 1] = True
+        wide = np.zeros(j - i, dtype=bool)
+        wide[np.searchsorted(offs, np.flatnonzero(_WIDE[buf]), side="right") - 1] = True
+        for r in np.flatnonzero(some | wide).tolist():
+            text = raw[offs[r] : offs[r + 1]].decode()
+            if some[r] or _DIGITS.search(text):
+                yield i + r, text, bool(named[r])
 
 
 def entities(docs: DataFrame, text: str) -> DataFrame:
