@@ -89,6 +89,22 @@ def test_quality(spark, nothing, hard):
     assert quality.keep_good(hard, none).columns == hard.columns and quality.keep_good(nothing, none).count() == 0
 
 
+def test_thresholds_cover_all_trusted(spark):
+    """A small training sample leaves every language its own threshold, from all other trusted documents."""
+    docs = spark.createDataFrame([(i, prose(i, 40), "de" if i % 4 == 0 else "en") for i in range(480)], "doc_id bigint, text string, lang string")
+    fitted = quality.fit(docs, docs.selectExpr("doc_id", "1 AS quality"), sample=40)
+    assert set(fitted.thresholds) == set(fitted.means) == {"de", "en", None}
+
+
+def test_quantiles(spark):
+    r = np.random.default_rng(4)
+    data = {"a": r.normal(3, 1, 700), "b": np.repeat([1.5, 2.5], [60, 40]), None: np.array([7.25])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "lang string, v double")
+    for q in (0.0, 0.37, 0.6, 0.99, 1.0):
+        assert quality.quantiles(rows, q) == pytest.approx({k: float(np.quantile(v, q)) for k, v in data.items()})
+    assert quality.quantiles(rows.limit(0), 0.5) == {}
+
+
 def test_kneser_ney_probabilities(spark):
     """Every context's probabilities sum to one, and equal a dense computation."""
     texts = [prose(i, 12, 30) for i in range(12)]
