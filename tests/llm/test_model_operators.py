@@ -96,6 +96,13 @@ def test_thresholds_cover_all_trusted(spark):
     assert set(fitted.thresholds) == set(fitted.means) == {"de", "en", None}
 
 
+def test_threshold_is_tight(spark):
+    """The worst trusted document is at the threshold but for a small margin."""
+    docs, labels, good, _ = labelled(spark)
+    worst = max(r["excess"] for r in quality.report(docs, labels).collect() if r["doc_id"] in good)
+    assert -0.051 <= worst < 0.099
+
+
 def test_quantiles(spark):
     r = np.random.default_rng(4)
     data = {"a": r.normal(3, 1, 700), "b": np.repeat([1.5, 2.5], [60, 40]), None: np.array([7.25])}
