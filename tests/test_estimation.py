@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -116,3 +118,12 @@ def test_results_without_data():
     assert tp.diff_hansen_test(result(), result(n_instruments=11, j_stat=9.0)).pvalue == 1.0
     with pytest.raises(tp.PanelError):
         result(coef_names=["a"])
+
+
+def test_qq_has_every_residual(spark):
+    m = tp.fit(tp.DifferenceGMM(), spark.createDataFrame(simulate(400, 6, 5)).repartition(7), exog=["x"], **ARGS)
+    e = np.sort([r["residual"] for r in tp.residuals(m).select("residual").collect()])
+    points = tp.plot_data(m, "qq")["points"].toPandas().sort_values("theoretical")
+    assert len(points) == len(e) > 1000
+    assert points["sample"].to_numpy() == pytest.approx((e - e.mean()) / e.std(ddof=1))
+    assert points["theoretical"].to_numpy() == pytest.approx([NormalDist().inv_cdf((i + 0.5) / len(e)) for i in range(len(e))])
