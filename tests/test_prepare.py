@@ -1,9 +1,11 @@
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import tidepanel as tp
-from tidepanel.operators.instruments import block, lag_block, layout, usable
-from tidepanel.operators.moments import h_matrix
+from tidepanel.operators.instruments import by_period, equations, lag_block, layout, usable, whole_individuals
+from tidepanel.operators.moments import by_cluster, weighted_sum
 
 FX1 = {"id": [1] * 4 + [2] * 4, "t": [1, 2, 3, 4] * 2, "y": [1.0, 2, 3, 4, 10, 11, 12, 13], "x": [10.0, 20, 30, 40, 100, 110, 120, 130]}
 POS = {"id": [1] * 5 + [2] * 5, "t": [1, 2, 3, 4, 5] * 2, "y": [float(i) for i in range(2, 12)], "x": [float(i) for i in range(12, 22)]}
@@ -82,58 +84,103 @@ def frame(periods=4, exog=(), stacked=False):
     return tp.PanelFrame(None, ["x"], list(exog), list(range(1, periods + 1)), 2, "fd", stacked, "")
 
 
-def test_instrument_blocks():
-    import numpy as np
+def laid_out(lay, y, t=(1, 2, 3, 4), stacked=False, clusters=None):
+    """Equations of rows at the given periods; differences of neighbours."""
+    y, t = np.array(y, float), np.array(t)
+    cluster = np.zeros(len(t), int) if clusters is None else np.array(clusters)
+    first = np.r_[True, cluster[1:] != cluster[:-1]]
+    rn = np.arange(len(t)) - np.maximum.accumulate(np.where(first, np.arange(len(t)), 0)) + 1
+    dy = np.where(first, np.nan, np.r_[np.nan, np.diff(y)])
+    x = np.zeros((len(t), 1))
+    # as with y ~ lag(y): equations from the third row of an individual on
+    return equations(lay, by_period(lay), int(t.max()), stacked, cluster, t, t.astype(float), y, x, dy, x, rn >= 2, rn >= 3)
+
 
-    levels, diffs = {1: 10.0, 2: 20, 3: 30, 4: 40}, {2: 10.0, 3: 10, 4: 10}
+def test_instrument_blocks():
+    y = [10, 20, 30, 40]
     lay = layout(tp.DifferenceGMM(), frame())
-    z = block(lay, [3, 4], [False, False], np.zeros((2, 1)), levels, diffs)
     # shallowest first within a period
-    assert z.tolist() == [[10, 0, 0], [0, 20, 10]]
+    assert laid_out(lay, y).z.tolist() == [[0, 0, 0], [10, 0, 0], [0, 20, 10]]
     assert layout(tp.DifferenceGMM(), frame(), min_lag=3).width == 1 and layout(tp.DifferenceGMM(), frame(), max_lag=2).width == 2
-    z = block(layout(tp.DifferenceGMM(), frame(), collapse=True), [3, 4], [False] * 2, np.zeros((2, 1)), levels, diffs)
-    assert z.tolist() == [[10, 0], [20, 10]]
+    assert laid_out(layout(tp.DifferenceGMM(), frame(), collapse=True), y).z.tolist() == [[0, 0], [10, 0], [20, 10]]
     assert layout(tp.DifferenceGMM(), frame(), max_lags=1).width == 2
     lay = layout(tp.SystemGMM(), frame(stacked=True))
-    z = block(lay, [3, 4, 3, 4], [False, False, True, True], np.zeros((4, 1)), levels, diffs)
-    assert lay.width == 5 and z[2, 3] == 10 and z[3, 4] == 10 and not z[2:, :3].any()
-    z = block(layout(tp.AndersonHsiao(), frame()), [3, 4], [False] * 2, np.zeros((2, 1)), levels, diffs)
-    assert z.ravel().tolist() == [10, 20]
+    e = laid_out(lay, y, stacked=True)
+    assert lay.width == 5 and e.is_level.tolist() == [False] * 3 + [True] * 2
+    assert e.z[3, 3] == 10 and e.z[4, 4] == 10 and not e.z[3:, :3].any()
+    assert laid_out(layout(tp.AndersonHsiao(), frame()), y).z.ravel().tolist() == [0, 10, 20]
+    # a period that is absent, and one individual's levels, are not another's instruments
+    z = laid_out(layout(tp.AndersonHsiao(), frame(5)), [1, 2, 3, 7, 8, 9], t=[1, 3, 5, 2, 3, 4], clusters=[0, 0, 0, 1, 1, 1]).z
+    assert z.ravel().tolist() == [1, 2, 0, 7]
     for spec in (tp.DifferenceGMM(), tp.SystemGMM()):
         assert layout(spec, frame(2)).width == 0
     assert [layout(s, frame(exog=[0])).width for s in (tp.DifferenceGMM(), tp.AndersonHsiao(), tp.SystemGMM())] == [4, 2, 7]
     for kw in (dict(min_lag=5, max_lag=3), dict(max_lags=0)):
         with pytest.raises(tp.PanelError):
             lag_block(4, "fd", **kw)
-    assert not usable(float("nan")) and not usable(0.0) and not usable(None) and usable(-1.0)
-
-
-def test_h_matrix():
-    import numpy as np
-
-    one = np.ones(3)
-    flat = np.zeros(3, bool)
-    assert 2 * (one @ h_matrix(np.array([2, 3, 4]), flat) @ one) == 4.0
-    assert sum(np.ones(2) @ h_matrix(np.array(t), np.zeros(2, bool)) @ np.ones(2) for t in ([2, 3], [2, 4])) == 6.0
-    assert not h_matrix(np.array([2, 3]), np.ones(2, bool)).any()
-
-
-def test_instrument_rows_equal_blocks(spark):
+    assert usable(np.array([np.nan, 0.0, -1.0, np.inf])).tolist() == [0, 0, -1, np.inf]
+
+
+def test_moments_of_individuals():
+    lay = layout(tp.DifferenceGMM(), frame(5), collapse=True)
+    r = np.random.default_rng(1)
+    t = [1, 2, 3, 5, 1, 2, 3, 4, 5]
+    e = laid_out(lay, r.normal(size=9), t, clusters=[0] * 4 + [1] * 5)
+    want_m, want_s = [], 0
+    for c in (0, 1):
+        own = e.cluster == c
+        z, at = e.z[own], e.t[own]
+        h = 2 * np.eye(len(at)) - (np.abs(at[:, None] - at[None, :]) == 1)
+        want_s = want_s + z.T @ h @ z
+        want_m.append(z.T @ e.y[own])
+    assert weighted_sum(e) == pytest.approx(want_s) and by_cluster(e)[1] == pytest.approx(np.array(want_m))
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_tables_hold_whole_individuals(most):
+    rn = [1, 2, 3, 1, 2, 1, 2, 3, 4, 1]
+    table = pa.table({"rn": rn, "v": list(range(10))})
+    for cut in (1, 4, 10):
+        parts = list(whole_individuals(iter(table.to_batches(max_chunksize=cut)), most))
+        assert [v for p in parts for v in p.column("v").to_pylist()] == list(range(10))
+        assert all(p.column("rn")[0].as_py() == 1 for p in parts)
+
+
+def test_instrument_rows_equal_lookup(spark):
     d = pd.DataFrame(POS).query("not (id == 2 and t == 3)")
     f = tp.prepare(d, "id", "t", "y ~ lag(y) + x", tp.SystemGMM(), exog=["x"])
     z, lay = tp.build_instruments(tp.SystemGMM(), f)
     got = {(r.id, r.t, r.is_level, r.col): r.val for r in z.toPandas().itertuples()}
-    import numpy as np
-
+    panel = {(r.id, r.tidx): r for r in f.panel.toPandas().itertuples()}
     want = {}
-    panel = f.panel.toPandas()
-    for i, g in rows(f).groupby("id"):
-        p = panel[panel.id == i]
-        b = block(lay, g.tidx.tolist(), g.is_level.tolist(), np.stack(g.x), dict(zip(p.tidx, p.y)), dict(zip(p[p.ok_diff].tidx, p[p.ok_diff].dy)))
-        for n, r in enumerate(g.itertuples()):
-            for c in np.flatnonzero(b[n]):
-                want[i, r.t, r.is_level, c] = b[n, c]
-    assert got == pytest.approx(want)
+    for r in rows(f).itertuples():
+        if not r.is_level:
+            want |= {(r.id, r.t, False, c): panel[r.id, p - o].y for (p, o), c in lay.lags.columns.items() if p == r.tidx and (r.id, p - o) in panel}
+            want[r.id, r.t, False, lay.lags.width] = r.x[1]
+        else:
+            before = panel.get((r.id, r.tidx - 1))
+            if before is not None and before.ok_diff:
+                want[r.id, r.t, True, lay.level_start + lay.level_columns[r.tidx]] = before.dy
+            want[r.id, r.t, True, lay.level_start + lay.level_width] = r.x[1]
+    assert got == pytest.approx({k: v for k, v in want.items() if v})
+
+
+def test_the_source_is_read_once(spark):
+    """Checks, counts, moments and residuals start from one persisted exchange."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = spark.createDataFrame(pd.DataFrame(POS)).mapInArrow(count, "id bigint, t bigint, y double, x double")
+    m = tp.fit(tp.DifferenceGMM(), source, formula="y ~ x", id_col="id", time_col="t")
+    tp.residuals(m).count()
+    assert seen.value == 10
+    plan = m.rows._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    m.release()
 
 
 def test_tables(spark, tmp_path):

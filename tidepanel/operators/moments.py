@@ -1,9 +1,12 @@
 """Moments of individuals: one Arrow pass over the panel, and everything later over its small rows.
 
-Per individual the pass keeps Z'X and Z'y; per partition it adds up Z'Z or
+A task takes the panel's rows as they lie, by id and time, and works on many
+individuals at a time with array operations.  Per individual the pass keeps Z'X
+and Z'y, packed a block of individuals a row; per partition it adds up Z'Z or
 Z'HZ and keeps the triangles of X and Z.  Since Z'u = Z'y - Z'X b, clustered
 weights, second steps and corrections never read rows or instruments again.
-Sums over partitions are folded on executors into at most ``FOLDS`` pieces.
+Partial sums are folded on executors, ``FAN`` to a task and round by round, until
+one row of each kind is left for the driver.
 """
 
 from __future__ import annotations
@@ -12,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import triangle
-from .instruments import Layout, block
+from .instruments import CELLS, Equations, Layout, by_period, kernel_rows, of_table, whole_individuals
 from .prepare import PanelFrame
 
-FOLDS = 16
+#: partial rows that one task folds; each holds up to a dense square of the instruments
+FAN = 16
 _SCHEMA = "slot int, kind string, a binary, b binary"
 
 
@@ -33,45 +37,52 @@ def _array(blob, *shape) -> np.ndarray:
     return np.frombuffer(blob.as_buffer() if hasattr(blob, "as_buffer") else blob, np.float64).reshape(*shape)
 
 
-def fold(partial: DataFrame, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
-    """Sum partial rows of each kind; kinds 'r…' are triangles, which are stacked and reduced."""
+def fold(partial: DataFrame, shapes: dict[str, tuple], parts: int, fan: int = FAN) -> dict[str, np.ndarray]:
+    """Sum partial rows of each kind; kinds 'r…' are triangles, which are stacked and reduced.
+
+    parts: a bound on the number of partials of a kind, whose slots are below it.
+    """
 
     def add(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
-        parts = group.column("a")
-        if kind.startswith("r"):
-            p = shapes[kind][1]
-            total = triangle(np.concatenate([_array(x, -1, p) for x in parts]))
-        else:
-            total = np.sum([_array(x, -1) for x in parts], axis=0)
-        return pa.table({"kind": [kind], "a": pa.array([total.tobytes()], pa.binary())})
-
-    pieces = partial.select((F.col("slot") % FOLDS).alias("slot"), "kind", "a").groupBy("kind", "slot").applyInArrow(add, "kind string, a binary").collect()
-    out: dict[str, np.ndarray] = {}
-    for kind, shape in shapes.items():
-        own = sorted((r["a"] for r in pieces if r["kind"] == kind))
-        if kind.startswith("r"):
-            out[kind] = triangle(np.concatenate([_array(x, -1, shape[1]) for x in own])) if own else np.zeros((0, shape[1]))
-        else:
-            out[kind] = np.sum([_array(x, *shape) for x in own], axis=0) if own else np.zeros(shape)
-    return out
-
-
-def h_matrix(t: np.ndarray, is_level: np.ndarray) -> np.ndarray:
-    """2 on the diagonal and -1 where one row's period follows the other's, transformed rows only."""
-    h = np.zeros((len(t), len(t)))
-    d = ~is_level
-    gap = t[:, None] - t[None, :]
-    both = d[:, None] & d[None, :]
-    h[both & (np.abs(gap) == 1)] = -1
-    h[both & np.eye(len(t), dtype=bool)] = 2
-    return h
-
-
-def clusters(frame: PanelFrame) -> DataFrame:
-    """One row an individual, its periods in order; the window's partitioning is reused."""
-    one = F.struct("rn", F.col("t").cast("double").alias("t"), "tidx", "y", "x", "dy", "dx", "ok_diff", "ok_level")
-    return frame.panel.groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("c"))
+        total = None
+        # in the order of slots, so that the same input gives the same sum
+        order = np.argsort(group.column("slot").to_numpy(), kind="stable")
+        for x in (group.column("a")[int(i)] for i in order):
+            if kind.startswith("r"):
+                x = _array(x, -1, shapes[kind][1])
+                total = x if total is None else triangle(np.concatenate([total, x]))
+            else:
+                total = _array(x, -1) + (0 if total is None else total)
+        return pa.table({"slot": pa.array(group.column("goal")[:1].to_pylist(), pa.int32()), "kind": [kind], "a": pa.array([total.tobytes()], pa.binary())})
+
+    left = partial.select("slot", "kind", "a")
+    while True:
+        parts = -(-parts // fan)
+        left = left.withColumn("goal", F.expr(f"cast(slot % {parts} as int)")).groupBy("kind", "goal").applyInArrow(add, "slot int, kind string, a binary")
+        if parts == 1:
+            break
+    found = {r["kind"]: r["a"] for r in left.collect()}  # one row a kind
+    return {kind: _array(found[kind], *((-1, shape[1]) if kind.startswith("r") else shape)) if kind in found else np.zeros(shape) for kind, shape in shapes.items()}
+
+
+def weighted_sum(e: Equations) -> np.ndarray:
+    """Sum over individuals of Z'HZ; H has 2 on the diagonal and -1 where one row's period follows the other's, transformed rows only."""
+    d = np.flatnonzero(~e.is_level)
+    z = e.z[d]
+    # rows lie by individual and period: a period's successor can only be the next row
+    next_ = np.flatnonzero((e.cluster[d][1:] == e.cluster[d][:-1]) & (e.t[d][1:] - e.t[d][:-1] == 1))
+    cross = z[next_].T @ z[next_ + 1]
+    return 2 * (z.T @ z) - cross - cross.T
+
+
+def by_cluster(e: Equations) -> tuple[np.ndarray, np.ndarray]:
+    """(Z'X, Z'y) of each individual that has rows."""
+    order = np.argsort(e.cluster, kind="stable")
+    cluster, z, x, y = e.cluster[order], e.z[order], e.x[order], e.y[order]
+    start = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+    m = np.stack([np.add.reduceat(z * x[:, [j]], start, axis=0) for j in range(x.shape[1])], axis=2)
+    return m, np.add.reduceat(z * y[:, None], start, axis=0)
 
 
 @dataclass
@@ -86,83 +97,68 @@ class Moments:
     n_obs: int
     each: DataFrame
     shape: tuple[int, int]
+    parts: int
+    cache: DataFrame
 
-    def weighed(self, beta: np.ndarray, keep: list[int]) -> np.ndarray:
-        """Sum over individuals of (Z'u)(Z'u)'."""
+    def _over(self, shape: tuple, add) -> np.ndarray:
+        """Sum of add(M, g) over blocks of individuals."""
         width, k = self.shape
 
         def run(batches):
-            total, slot = np.zeros((len(keep), len(keep))), 0
+            total = np.zeros(shape)
             for b in batches:
-                for s, a, z in zip(b.column(0), b.column(2), b.column(3)):
-                    g = (_array(z, width) - _array(a, width, k) @ beta)[keep]
-                    total += np.outer(g, g)
-                    slot = s.as_py()
-            yield _rows([(slot, "s", total.tobytes(), b"")])
+                for a, z in zip(b.column(2), b.column(3)):
+                    total += add(_array(a, -1, width, k), _array(z, -1, width))
+            yield _rows([(TaskContext.get().partitionId(), "s", total.tobytes(), b"")])
+
+        return fold(self.each.mapInArrow(run, _SCHEMA), {"s": shape}, self.parts)["s"]
+
+    def weighed(self, beta: np.ndarray, keep: list[int]) -> np.ndarray:
+        """Sum over individuals of (Z'u)(Z'u)'."""
+
+        def add(m, g):
+            g = (g - m @ beta)[:, keep]
+            return g.T @ g
 
-        return fold(self.each.mapInArrow(run, _SCHEMA), {"s": (len(keep), len(keep))})["s"]
+        return self._over((len(keep), len(keep)), add)
 
     def correction(self, beta: np.ndarray, c: np.ndarray, keep: list[int]) -> np.ndarray:
         """Minus the sum of (g c) M + g (M'c)', g at the first step's residuals."""
-        width, k = self.shape
 
-        def run(batches):
-            total, slot = np.zeros((len(keep), k)), 0
-            for b in batches:
-                for s, a, z in zip(b.column(0), b.column(2), b.column(3)):
-                    m = _array(a, width, k)
-                    g = (_array(z, width) - m @ beta)[keep]
-                    m = m[keep]
-                    total -= (g @ c) * m + np.outer(g, m.T @ c)
-                    slot = s.as_py()
-            yield _rows([(slot, "s", total.tobytes(), b"")])
+        def add(m, g):
+            g, m = (g - m @ beta)[:, keep], m[:, keep]
+            return -np.einsum("i,ilk->lk", g @ c, m) - g.T @ np.einsum("ilk,l->ik", m, c)
+
+        return self._over((len(keep), self.shape[1]), add)
 
-        return fold(self.each.mapInArrow(run, _SCHEMA), {"s": (len(keep), k)})["s"]
+    def release(self) -> None:
+        self.cache.unpersist()
 
 
 def collect_moments(frame: PanelFrame, lay: Layout, difference_weight: bool) -> Moments:
     """The one pass over the data."""
-    width, k, stacked = lay.width, len(frame.coef_names), frame.stacked
+    width, k, stacked, periods, cells = lay.width, len(frame.coef_names), frame.stacked, len(frame.valid_times), by_period(lay)
+    most = max(1, CELLS // max(1, width + k))
 
     def run(batches):
         sums = {"m": np.zeros((width, k)), "y": np.zeros(width), "s": np.zeros((width, width)), "n": np.zeros(1)}
-        stack_x: list[np.ndarray] = []
-        stack_z: list[np.ndarray] = []
-        slot = None
-        for b in batches:
-            out = []
-            for c in b.column(1).to_pylist():
-                if slot is None:
-                    slot = hash((len(c), c[0]["y"])) & 0xFFFF
-                diff = [r for r in c if r["ok_diff"]]
-                lev = [r for r in c if r["ok_level"]] if stacked else []
-                rows = diff + lev
-                if not rows:
-                    continue
-                flag = np.array([False] * len(diff) + [True] * len(lev))
-                tidx = [r["tidx"] for r in rows]
-                x = np.array([r["dx"] for r in diff] + [r["x"] for r in lev], float).reshape(len(rows), k)
-                y = np.array([r["dy"] for r in diff] + [r["y"] for r in lev], float)
-                z = block(lay, tidx, flag, x, {r["tidx"]: r["y"] for r in c}, {r["tidx"]: r["dy"] for r in diff})
-                m, g = z.T @ x, z.T @ y
-                out.append((slot, "i", m.tobytes(), g.tobytes()))
-                sums["m"] += m
-                sums["y"] += g
-                sums["n"] += len(rows)
-                if difference_weight:
-                    h = h_matrix(np.array([r["t"] for r in rows]), flag)
-                    sums["s"] += z.T @ h @ z
-                else:
-                    sums["s"] += z.T @ z
-                stack_x.append(x)
-                stack_z.append(z)
-                if sum(map(len, stack_z)) > 4 * width + 1000:
-                    stack_x, stack_z = [triangle(np.concatenate(stack_x))], [triangle(np.concatenate(stack_z))]
-            if out:
-                yield _rows(out)
-        if slot is not None and stack_x:
-            yield _rows([(slot, kind, v.tobytes(), b"") for kind, v in sums.items()] + [(slot, "rx", triangle(np.concatenate(stack_x)).tobytes(), b""), (slot, "rz", triangle(np.concatenate(stack_z)).tobytes(), b"")])
-
-    out = clusters(frame).mapInArrow(run, _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    total = fold(out.filter("kind != 'i'"), {"m": (width, k), "y": (width,), "s": (width, width), "n": (1,), "rx": (0, k), "rz": (0, width)})
-    return Moments(total["m"], total["y"], total["s"], total["rx"], total["rz"], int(total["n"][0]), out.filter("kind = 'i'"), (width, k))
+        r_x, r_z = np.empty((0, k)), np.empty((0, width))
+        slot = TaskContext.get().partitionId()
+        for table in whole_individuals(batches, most):
+            e = of_table(lay, cells, periods, stacked, k, table)
+            if not len(e.row):
+                continue
+            m, g = by_cluster(e)
+            yield _rows([(slot, "i", m.tobytes(), g.tobytes())])
+            sums["m"] += m.sum(axis=0)
+            sums["y"] += g.sum(axis=0)
+            sums["n"] += len(e.row)
+            sums["s"] += weighted_sum(e) if difference_weight else e.z.T @ e.z
+            r_x, r_z = triangle(np.concatenate([r_x, e.x])), triangle(np.concatenate([r_z, e.z]))
+        if sums["n"][0]:
+            yield _rows([(slot, kind, v.tobytes(), b"") for kind, v in sums.items()] + [(slot, "rx", r_x.tobytes(), b""), (slot, "rz", r_z.tobytes(), b"")])
+
+    out = kernel_rows(frame).mapInArrow(run, _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, int(out.agg(F.max("slot").alias("s")).collect()[0]["s"] or 0) + 1)
+    total = fold(out.filter("kind != 'i'"), {"m": (width, k), "y": (width,), "s": (width, width), "n": (1,), "rx": (0, k), "rz": (0, width)}, parts)
+    return Moments(total["m"], total["y"], total["s"], total["rx"], total["rz"], int(total["n"][0]), out.filter("kind = 'i'"), (width, k), parts, out)

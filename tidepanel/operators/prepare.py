@@ -1,14 +1,17 @@
 """Panel preparation: validation, lagged regressors, transformed and level rows.
 
-All windows share one partitioning and order, by id and time, so preparation is
-one exchange and one sort.  Missing values are NaN, never NULL, from the first
-projection on.
+The source is read once: its columns go by id and time, in one exchange and one
+sort, into a persisted base that everything later starts from.  All windows share
+that partitioning and order.  One aggregation of the base by period gives the
+periods, the counts and the checks.  Missing values are NaN, never NULL, from the
+first projection on.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,12 @@ class PanelFrame:
     stacked: bool
     formula: str
     n_obs: int = 0
+    base: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the persisted base; what still needs it is computed from the source again."""
+        if self.base is not None:
+            self.base.unpersist()
 
     def rows(self) -> DataFrame:
         """(id, t, tidx, is_level, row_seq, y, x): transformed rows, then level rows of each id."""
@@ -97,30 +106,36 @@ def resolve(df: DataFrame, id_col: str, time_col: str, formula, spec: Spec, exog
     return y, xs, positions
 
 
-def validate(df: DataFrame, id_col: str, time_col: str, specs: list[TermSpec]) -> tuple[int, list]:
-    """(number of ids, ordered periods) after one pass over the data and one over the periods."""
-    pairs = df.groupBy(id_col, time_col).agg(F.count(F.lit(1)).alias("n"), *(
-        F.sum(F.when(bad, 1).otherwise(0)).alias(f"bad{i}") for i, (bad, _) in enumerate(_defects(specs))
-    ))
-    ids = pairs.groupBy(id_col).agg(F.sum("n").alias("n"), F.max("n").alias("most"), *(F.sum(f"bad{i}").alias(f"bad{i}") for i in range(len(_defects(specs)))))
-    s = ids.agg(F.count(F.lit(1)).alias("ids"), F.sum("n").alias("rows"), F.max("most").alias("most"), *(F.sum(f"bad{i}").alias(f"bad{i}") for i in range(len(_defects(specs))))).collect()[0]
-    if not s["rows"]:
+def based(df: DataFrame, id_col: str, time_col: str, specs: list[TermSpec]) -> DataFrame:
+    """(id, t, v_…, rn, n_t, again): the columns in use by id and time, persisted; again: the period is the row before's."""
+    w = Window.partitionBy("id").orderBy("t")
+    # variables under private names: ids and times may be variables too
+    held = df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), *(F.col(v).alias(f"v_{v}") for v in dict.fromkeys(s.var for s in specs)))
+    counted = held.select("*", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("id")).cast("int").alias("n_t"), ((F.row_number().over(w) > 1) & F.col("t").eqNullSafe(F.lag("t").over(w))).alias("again"))
+    return counted.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def validate(base: DataFrame, specs: list[TermSpec]) -> tuple[int, list]:
+    """(number of ids, ordered periods) from one aggregation by period."""
+    defects = _defects(specs)
+    bad = [F.sum(F.when(c, 1).otherwise(0)).alias(f"bad{i}") for i, (c, _) in enumerate(defects)]
+    found = base.groupBy("t").agg(F.sum((F.col("rn") == 1).cast("long")).alias("ids"), F.sum(F.col("again").cast("long")).alias("again"), *bad).collect()  # a row a period: few by nature
+    if not found:
         raise PanelError("the table is empty")
-    if s["most"] > 1:
+    if sum(r["again"] for r in found):
         raise PanelError("some id has a period twice; id and time must identify a row")
-    for i, (_, message) in enumerate(_defects(specs)):
-        if s[f"bad{i}"]:
+    for i, (_, message) in enumerate(defects):
+        if sum(r[f"bad{i}"] for r in found):
             raise PanelError(message)
-    times = [r[0] for r in df.select(time_col).distinct().orderBy(time_col).collect()]  # periods: few by nature
-    return s["ids"], times
+    return sum(r["ids"] for r in found), sorted((r["t"] for r in found if r["t"] is not None))
 
 
 def _defects(specs: list[TermSpec]) -> list[tuple[Column, str]]:
     out = []
     for name in dict.fromkeys(s.var for s in specs):
-        out.append((F.col(name).isNull(), f"variable '{name}' has missing values"))
+        out.append((F.col(f"v_{name}").isNull(), f"variable '{name}' has missing values"))
     for s in dict.fromkeys((s.var, s.fn) for s in specs if s.fn in ("log", "log10", "log2", "sqrt")):
-        out.append((F.col(s[0]).cast("double") < 0, f"{s[1]}({s[0]}) of a negative number"))
+        out.append((F.col(f"v_{s[0]}").cast("double") < 0, f"{s[1]}({s[0]}) of a negative number"))
     return out
 
 
@@ -128,41 +143,44 @@ def prepare(data, id_col: str, time_col: str, formula, spec: Spec, *, exog=(), t
     """Validate and lay out the equations of a formula; nothing but checks and counts is computed here."""
     df = as_dataframe(data)
     y, xs, positions = resolve(df, id_col, time_col, formula, spec, exog, transform)
-    n_groups, times = validate(df, id_col, time_col, [y, *xs])
-    periods = times[2:] if time_effects else []
-    names = [s.name for s in xs] + [f"t={p}" for p in periods]
-    positions = positions + list(range(len(xs), len(names)))
-    panel = panel_rows(df, id_col, time_col, y, xs, times, periods, transform)
-    frame = PanelFrame(panel, names, positions, times, n_groups, transform, isinstance(spec, SystemGMM), str(formula))
-    if count:
-        frame.n_obs = frame.rows().count()
-        if not frame.n_obs:
-            raise PanelError("no valid observations are left: too few periods or too many missing values")
+    base = based(df, id_col, time_col, [y, *xs])
+    try:
+        n_groups, times = validate(base, [y, *xs])
+        periods = times[2:] if time_effects else []
+        names = [s.name for s in xs] + [f"t={p}" for p in periods]
+        positions = positions + list(range(len(xs), len(names)))
+        panel = panel_rows(base, y, xs, times, periods, transform)
+        frame = PanelFrame(panel, names, positions, times, n_groups, transform, isinstance(spec, SystemGMM), str(formula), base=base)
+        if count:
+            frame.n_obs = frame.rows().count()
+            require_rows(frame.n_obs)
+    except PanelError:
+        base.unpersist()
+        raise
     return frame
 
 
-def time_index(df: DataFrame, time_col: str, times: list) -> Column:
-    """1-based rank of a row's period among all periods, as a literal lookup."""
-    kind = df.schema[time_col].dataType
-    if isinstance(kind, (T.IntegralType, T.StringType)):
-        return F.create_map(*(F.lit(x).cast(kind) if i % 2 == 0 else F.lit(x) for p in zip(times, range(1, len(times) + 1)) for i, x in enumerate(p)))[F.col(time_col)]
-    return F.array_position(F.array(*(F.lit(p).cast(kind) for p in times)), F.col(time_col)).cast("int")
+def require_rows(n_obs: int) -> None:
+    if not n_obs:
+        raise PanelError("no valid observations are left: too few periods or too many missing values")
 
 
-def panel_rows(df: DataFrame, id_col: str, time_col: str, y: TermSpec, xs: list[TermSpec], times: list, periods: list, transform: str) -> DataFrame:
+def time_index(rows: DataFrame, times: list) -> DataFrame:
+    """rows with tidx, the 1-based rank of their period t among all periods, by a broadcast of the periods."""
+    kind = T.StructType([T.StructField("t", rows.schema["t"].dataType), T.StructField("tidx", T.IntegerType())])
+    ranks = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(times, 1)], kind)
+    return rows.join(F.broadcast(ranks), "t", "left")
+
+
+def panel_rows(base: DataFrame, y: TermSpec, xs: list[TermSpec], times: list, periods: list, transform: str) -> DataFrame:
     w = Window.partitionBy("id").orderBy("t")
-    group = Window.partitionBy("id")
-    tidx = time_index(df, time_col, times)
-    needed = list(dict.fromkeys([y.var, *(s.var for s in xs)]))
-    # variables under private names: ids and times may be variables too
-    held = df.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), tidx.alias("tidx"), *(F.col(v).alias(f"v_{v}") for v in needed))
     value = {s: transformed(TermSpec(f"v_{s.var}", s.fn)) for s in [y, *xs]}
-    base = held.select(
-        "id", "t", "tidx", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(group).cast("int").alias("n_t"),
+    base = time_index(base.filter("n_t >= 3"), times).select(
+        "id", "t", "tidx", "rn", "n_t",
         _or_nan(value[y]).alias("y"),
         *(_or_nan(F.lag(value[s], s.lag).over(w) if s.lag else value[s]).alias(f"x{i}") for i, s in enumerate(xs)),
         *((F.col("t") == F.lit(p)).cast("double").alias(f"x{len(xs) + i}") for i, p in enumerate(periods)),
-    ).filter("n_t >= 3")
+    )
     columns = ["y", *(f"x{i}" for i in range(len(xs) + len(periods)))]
     if transform == "fd":
         moved = {c: _or_nan(F.col(c) - F.lag(c).over(w)) for c in columns}

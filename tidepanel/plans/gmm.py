@@ -13,7 +13,7 @@ from ..functions.linalg import inverse, rank_and_columns
 from ..functions.stats import chi2_sf
 from ..operators.instruments import layout
 from ..operators.moments import collect_moments
-from ..operators.prepare import PanelFrame, prepare
+from ..operators.prepare import PanelFrame, prepare, require_rows
 from ..specs import DifferenceGMM, PanelError, PanelResult, Spec, option
 
 #: instruments beyond which the dense weight is large enough to warn
@@ -35,13 +35,14 @@ def estimate(spec: Spec, frame: PanelFrame, *, steps: int | None = None, robust:
     robust = option(spec, "robust") if robust is None else robust
     windmeijer = option(spec, "windmeijer") if windmeijer is None else windmeijer
     k = len(frame.coef_names)
-    if frame.n_obs < k:
-        raise PanelError(f"{frame.n_obs} observations are insufficient for {k} regressors")
     lay = layout(spec, frame, collapse=collapse, max_lags=max_lags, min_lag=min_lag, max_lag=max_lag)
     if lay.width > MANY_INSTRUMENTS:
         warnings.warn(f"{lay.width} instruments make a dense weight of {lay.width ** 2 * 8 >> 20} MB; consider collapse=True", stacklevel=2)
     difference = isinstance(spec, DifferenceGMM)
     m = collect_moments(frame, lay, difference)
+    require_rows(m.n_obs)
+    if m.n_obs < k:
+        raise PanelError(f"{m.n_obs} observations are insufficient for {k} regressors")
     rank, _ = rank_and_columns(m.r_x)
     if rank < k:
         raise PanelError(f"regressors are collinear (rank {rank} of {k})")
@@ -82,16 +83,22 @@ def estimate(spec: Spec, frame: PanelFrame, *, steps: int | None = None, robust:
         squares = rows.agg(F.sum(u * u).alias("s")).collect()[0]["s"]
         left = m.n_obs - k
         vcov = (squares / left if left else math.nan) * bread
+    m.release()
     e = zy - zx @ beta
     j = float(e @ w @ e)
     dof = len(keep) - k
     return PanelResult(
         spec=spec, coef=beta, vcov=vcov, coef_names=list(frame.coef_names), n_obs=m.n_obs, n_groups=frame.n_groups, n_instruments=len(keep),
         j_stat=j, j_pval=chi2_sf(j, dof) if dof > 0 else math.nan, weight=w, rows=rows, robust=robust, windmeijer=corrected, moments=(zx, zy),
-        metadata={"method": f"{steps}-step {type(spec).__name__}", "formula": frame.formula, "kept": keep, "ar": {}},
+        metadata={"method": f"{steps}-step {type(spec).__name__}", "formula": frame.formula, "kept": keep, "ar": {}, "frame": frame},
     )
 
 
 def fit(spec: Spec, data, *, formula, id_col: str, time_col: str, exog=(), time_effects: bool = False, transform: str = "fd", **options) -> PanelResult:
-    """Prepare and estimate."""
-    return estimate(spec, prepare(data, id_col, time_col, formula, spec, exog=exog, time_effects=time_effects, transform=transform), **options)
+    """Prepare and estimate: the source is read once, rows are counted with the moments."""
+    frame = prepare(data, id_col, time_col, formula, spec, exog=exog, time_effects=time_effects, transform=transform, count=False)
+    try:
+        return estimate(spec, frame, **options)
+    except Exception:
+        frame.release()
+        raise

@@ -85,6 +85,12 @@ class PanelResult:
         if len(self.coef) != len(self.coef_names):
             raise PanelError(f"{len(self.coef)} coefficients for {len(self.coef_names)} columns")
 
+    def release(self) -> None:
+        """Drop the persisted rows that residuals and tests start from; they are computed again where needed."""
+        frame = self.metadata.get("frame")
+        if frame is not None:
+            frame.release()
+
     def __str__(self) -> str:
         from .plans.report import summary
 
