@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import exchange, runtime
 from . import textops as X
+from .exchange import squeeze, swell
 
 U64 = np.uint64
 END = U64(0x0123456789ABCDEF)
@@ -57,17 +58,6 @@ def held_out(doc_id: str, modulus: int = 10):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 0
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(a).tobytes()
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def swell(blob, kind) -> np.ndarray:
-    view = memoryview(blob)
-    n = int(np.frombuffer(view[:8], np.int64)[0])
-    return np.frombuffer(pa.decompress(pa.py_buffer(view[8:]), n, "zstd", asbytes=True), kind)
-
-
 def deltas(a: np.ndarray) -> np.ndarray:
     """Sorted numbers as differences, which compress."""
     return np.diff(a, prepend=a.dtype.type(0))
@@ -105,10 +95,9 @@ def bundles(docs: DataFrame, doc_id: str, text: str, held) -> DataFrame:
                     names=["bundle", "doc_ids", "held", "sizes", "seq", "tokens", "seen"],
                 )
                 number += 1
-        X.release_powers()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"bundle bigint, doc_ids array<{kind}>, held binary, sizes binary, seq binary, tokens binary, seen binary")
+    return rows.mapInArrow(X.tidy(run), f"bundle bigint, doc_ids array<{kind}>, held binary, sizes binary, seq binary, tokens binary, seen binary")
 
 
 def token_counts(held: DataFrame, shards: int) -> DataFrame:
@@ -142,8 +131,8 @@ def token_counts(held: DataFrame, shards: int) -> DataFrame:
         bundle, counts, ranks = zip(*rows)
         return pa.table({"bundle": pa.array(bundle, pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()), "counts": pa.array(counts, pa.binary()), "ranks": pa.array(ranks, pa.binary())})
 
-    asked = held.select("bundle", "tokens", "seen").mapInArrow(ask, "shard int, bundle bigint, tokens binary, seen binary")
-    return asked.groupBy("shard").applyInArrow(answer, "bundle bigint, shard int, counts binary, ranks binary")
+    asked = held.select("bundle", "tokens", "seen").mapInArrow(X.tidy(ask), "shard int, bundle bigint, tokens binary, seen binary")
+    return asked.groupBy("shard").applyInArrow(X.tidy_group(answer), "bundle bigint, shard int, counts binary, ranks binary")
 
 
 def resolved(held: DataFrame, answers: DataFrame, given: np.ndarray) -> DataFrame:
@@ -170,7 +159,7 @@ def resolved(held: DataFrame, answers: DataFrame, given: np.ndarray) -> DataFram
 
     kind = dict(held.dtypes)["doc_ids"]
     return held.groupBy("bundle").cogroup(answers.filter("bundle >= 0").groupBy("bundle")).applyInArrow(
-        meet, f"bundle bigint, doc_ids {kind}, held binary, sizes binary, seq binary, counts binary, ids binary"
+        X.tidy_group(meet), f"bundle bigint, doc_ids {kind}, held binary, sizes binary, seq binary, counts binary, ids binary"
     )
 
 
@@ -226,8 +215,8 @@ def pair_counts(bundle_rows: DataFrame, shards: int, end_id: int) -> DataFrame:
         unique, n = unique[keep], n[keep]
         return pa.table({"shard": group.column("shard")[:1], "pairs": pa.array([squeeze(deltas(unique))], pa.binary()), "counts": pa.array([squeeze(n)], pa.binary()), "levels": pa.array([np.bincount(level(n), minlength=64).tolist()], pa.list_(pa.int64()))})
 
-    rows = bundle_rows.select("held", "sizes", "seq", "ids").mapInArrow(count, "shard int, pairs binary, counts binary")
-    return rows.groupBy("shard").applyInArrow(total, "shard int, pairs binary, counts binary, levels array<bigint>")
+    rows = bundle_rows.select("held", "sizes", "seq", "ids").mapInArrow(X.tidy(count), "shard int, pairs binary, counts binary")
+    return rows.groupBy("shard").applyInArrow(X.tidy_group(total), "shard int, pairs binary, counts binary, levels array<bigint>")
 
 
 def level(n: np.ndarray) -> np.ndarray:
@@ -303,16 +292,16 @@ def segments(pairs: DataFrame, ends: np.ndarray) -> DataFrame:
                 run = int(np.searchsorted(ends, shard, side="right"))
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([size], pa.int64()), pa.array([run], pa.int32())], names=["shard", "bits", "size", "run"])
 
-    made = pairs.select("shard", "pairs", "counts").mapInArrow(build, "shard int, bits binary, size bigint, run int")
+    made = pairs.select("shard", "pairs", "counts").mapInArrow(X.tidy(build), "shard int, bits binary, size bigint, run int")
     return runtime.written(made, "filter", ["run"])[0]
 
 
-def load_filter(made: DataFrame, run: int, shards: int) -> LogBloom:
-    """The filter of one run's shards; the others' segments are empty."""
-    bits, sizes = [np.empty(0, np.uint8)] * shards, [0] * shards
-    own = made.filter(F.col("run") == run).select("shard", "bits", "size").toArrow()
+def load_filter(made: DataFrame, first: int, end: int) -> LogBloom:
+    """The filter of the shards from first to before end, whose segments ``made`` holds."""
+    bits, sizes = [np.empty(0, np.uint8)] * (end - first), [0] * (end - first)
+    own = made.select("shard", "bits", "size").toArrow()
     for shard, b, size in zip(own.column(0).to_pylist(), own.column(1), own.column(2).to_pylist()):
-        bits[shard], sizes[shard] = np.frombuffer(b.as_buffer(), np.uint8), size
+        bits[shard - first], sizes[shard - first] = np.frombuffer(b.as_buffer(), np.uint8), size
     return LogBloom(bits, sizes)
 
 
@@ -349,7 +338,7 @@ def context_mass(pairs: DataFrame, shards: int, n_ids: int) -> DataFrame:
         ids, back = np.unique(u, return_inverse=True)
         return pa.table({"shard": group.column("shard")[:1], "ids": pa.array([squeeze(ids.astype(np.uint32))], pa.binary()), "mass": pa.array([squeeze(np.bincount(back, weights=m).astype(np.float32))], pa.binary())})
 
-    made = pairs.select("shard", "pairs", "counts").mapInArrow(part, "shard int, ids binary, mass binary").groupBy("shard").applyInArrow(total, "shard int, ids binary, mass binary")
+    made = pairs.select("shard", "pairs", "counts").mapInArrow(X.tidy(part), "shard int, ids binary, mass binary").groupBy("shard").applyInArrow(X.tidy_group(total), "shard int, ids binary, mass binary")
     return runtime.written(made, "mass")[0]
 
 
@@ -401,7 +390,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
     def scored(f: int, m: int):
         """Broadcast and rows of one pass: a bundle's sums, and what does not depend on the filter with the first pass."""
         here, ids_here = filter_runs[f], tuple(int(bounds[x]) for x in mass_runs[m])
-        shared = spark.sparkContext.broadcast((load_filter(filters, f, shards), load_mass(masses, *mass_runs[m], ids_here)))
+        shared = spark.sparkContext.broadcast((load_filter(filters.filter(F.col("run") == f), 0, shards), load_mass(masses, *mass_runs[m], ids_here)))
 
         def run(batches):
             filter_, mass = shared.value
@@ -454,8 +443,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
 
         own = rows.select("bundle", "doc_ids", "held", "sizes", "seq", "counts", "ids")
         if len(passes) == 1:
-            return shared, own.mapInArrow(whole, schema)
-        return shared, own.mapInArrow(run, f"bundle bigint, doc_ids array<{kind}>, held binary, numbers binary, base binary, sums binary")
+            return shared, own.mapInArrow(X.tidy(whole, shared), schema)
+        return shared, own.mapInArrow(X.tidy(run, shared), f"bundle bigint, doc_ids array<{kind}>, held binary, numbers binary, base binary, sums binary")
 
     def add(group: pa.Table) -> pa.Table:
         """Scores of a bundle's documents from its rows of all passes."""
@@ -475,4 +464,4 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", modulu
         shared, part = scored(*x)
         parts.append(runtime.written(part, "sums")[0])
         shared.destroy()
-    return functools.reduce(DataFrame.unionAll, parts).groupBy("bundle").applyInArrow(add, schema)
+    return functools.reduce(DataFrame.unionAll, parts).groupBy("bundle").applyInArrow(X.tidy_group(add), schema)

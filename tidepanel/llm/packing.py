@@ -256,10 +256,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(n), pa.array(crc, pa.int64()), pa.array(np.full(len(n), task)), pa.array(rank), pa.array(packed, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", "ids"],
                 )
-        X.release_powers()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint, ids binary"
+        X.tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint, ids binary"
     )
 
 
@@ -285,7 +284,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = SIZE, groups: int = GRO
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(first[at] + key - keys[at]), pa.array(offset[at])], names=[*kept, "sequence_id", "offset"])
 
     kind = docs.schema[options.get("doc_id", "doc_id")].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(X.tidy(place), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, sequence_id bigint, offset bigint")
 
 
 def report(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -10,16 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textops as X
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a local folder is
-    made, once a session.
+    Only where the setting is absent on one machine (tests) a local folder is
+    made, once a session; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -35,6 +39,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -99,7 +108,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
     e = checkpointed(e)
     if e.count() <= one_task:
-        return checkpointed(e.coalesce(1).mapInArrow(_union, "node bigint, root bigint"))
+        return checkpointed(e.coalesce(1).mapInArrow(X.tidy(_union), "node bigint, root bigint"))
     before = None
     for _ in range(max_rounds):
         # large star: each node sends its larger neighbours to its smallest neighbour or itself

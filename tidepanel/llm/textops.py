@@ -7,6 +7,7 @@ of a bounded number of bytes, and a row is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -57,10 +58,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["up"][:n], _pow["down"][:n]
 
 
-def release_powers(limit: int = 8 << 20) -> None:
-    """Forget power tables that an unusually long row made large."""
-    if _pow["n"] > limit:
-        _pow.update(n=0, up=np.empty(0, U64), down=np.empty(0, U64))
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory back: Spark keeps a finished task's worker process, and all that it holds."""
+    _pow.update(n=0, up=np.empty(0, U64), down=np.empty(0, U64))
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def tidy(run, *shared):
+    """A mapInArrow function that releases its memory, and the broadcast values ``shared``, when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for x in shared:
+                x.__dict__.pop("_value", None)  # read again from its file by the next task
+            release()
+
+    return tidied
+
+
+def tidy_group(run, least: int = 1 << 20):
+    """An applyInArrow function that releases its memory after groups of at least so many bytes."""
+
+    def tidied(*groups):
+        out = run(*groups)
+        if sum(g.nbytes for g in groups) >= least:
+            release()
+        return out
+
+    # the number of arguments tells Spark what it is called with
+    return (lambda group: tidied(group)) if run.__code__.co_argcount == 1 else (lambda left, right: tidied(left, right))
 
 
 def column(batch: pa.RecordBatch, name_or_index) -> tuple[np.ndarray, np.ndarray]:
@@ -96,10 +129,10 @@ def lower(buf: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive rows: byte ranges, rows and 64-bit hashes."""
 
-    __slots__ = ("start", "end", "row", "hash", "rows", "first")
+    __slots__ = ("start", "end", "row", "hash", "rows", "first", "offs")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED):
-        self.rows = len(offs) - 1
+        self.rows, self.offs = len(offs) - 1, offs
         buf = lower(buf)
         w = is_word[buf]
         n = len(buf)
