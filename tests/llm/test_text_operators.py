@@ -6,6 +6,7 @@ import reference as ref
 from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidepanel.llm import decontaminate, exact_dedup, ngram_join, runtime, suffix_dedup
 from tidepanel.llm import textops as X
@@ -79,6 +80,37 @@ def test_repeated_bytes(spark, hard_texts, block):
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_kasai_with_ties(seed):
+    """Strings that repeat to the depth and beyond; only some positions asked for."""
+    r = np.random.default_rng(seed)
+    part = r.integers(97, 100, 70).astype(np.uint8)
+    text = np.concatenate([part, part[10:], np.full(90, 97, np.uint8), part, r.integers(97, 98 + seed, 200).astype(np.uint8)])
+    size = np.array([100, 120, len(text) - 220])
+    begin = np.cumsum(size) - size
+    sa = suffix_dedup.SuffixArray(text, begin, size, 25)
+    ends = np.repeat(begin + size, size)
+    at = np.sort(r.choice(len(text), 260, replace=False))
+    place = np.empty(len(text), int)
+    place[sa.order] = np.arange(len(text))
+    for i, got in zip(at.tolist(), sa.common_prefixes(at).tolist()):
+        if place[i]:
+            j = int(sa.order[place[i] - 1])
+            most = min(25, ends[i] - i, ends[j] - j)
+            assert got == next((k for k in range(most) if text[i + k] != text[j + k]), most)
+
+
+def test_repeats_in_long_periodic_texts(spark):
+    """Megabytes of one, two or forty characters over and over: all but a first period goes."""
+    unit = prose(31, 20)[:41]
+    texts = ["-" * 3_000_000, "-=" * 1_000_000, unit * 40_000, " " * 500, "-" * 700]
+    out = {r["doc_id"]: r for r in suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)).collect()}
+    kept = ["-", "-=", unit, " ", ""]
+    for i, (t, k) in enumerate(zip(texts, kept)):
+        assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"]) == (len(t), len(t) - len(k), 1)
+        assert out[i]["kept_sha256"] == hashlib.sha256(k.encode()).hexdigest()
+
+
 def test_repeated_bytes_edges(hard, nothing, nameless):
     out = suffix_dedup.report(hard).collect()
     assert len(out) == hard.count()
@@ -103,16 +135,52 @@ def test_join_against_brute_force(spark, hard_texts):
             texts.append(" ".join(v))
     docs = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
-    for k, percent, chunk in ((3, 90, 2000), (5, 80, 2000), (3, 90, 4)):
+    for k, percent, chunk in ((3, 90, 1 << 20), (5, 80, 1 << 20), (3, 90, 1500)):
         got = ngram_join.components_of(df, k=k, percent=percent, chunk=chunk)
         assert rows(got) == sorted(ref.near_components(docs, k, percent), key=str)
 
 
+@pytest.mark.parametrize(("percent", "size"), [(80, n) for n in (4, 10, 20, 45, 80, 160, 320, 640)] + [(90, 12), (90, 200)])
+def test_signatures_meet_and_are_not_shared_by_chance(percent, size):
+    """Sets at the similarity share a key; no key joins many sets that have nothing in common."""
+    r = np.random.default_rng(size)
+    layout = ngram_join.Layout(percent)
+
+    def keys(sets):
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        owner, key, shared = ngram_join.signatures(rows, np.concatenate([np.sort(s) for s in sets]), np.array([len(s) for s in sets]), layout)
+        least = {(i, v): c for i, v, c in zip(owner.tolist(), (key & np.uint64(255)).tolist(), shared.tolist())}
+        return [set(key[owner == i].tolist()) for i in range(len(sets))], least
+
+    def meet(a, b):
+        (x, y), least = keys([a, b])
+        level = lambda s, v: sorted(k for k in s if k & 255 == v)
+        both = [v for v in {k & 255 for k in x & y} if len(set(level(x, v)) & set(level(y, v))) >= max(least[0, v], least[1, v])]
+        # what the filter leaves of each: the first keys in one order
+        left = [set(level(s, v)[: len(level(s, v)) - least[n, v] + 1]) for v in both for n, s in ((0, x), (1, y))]
+        return any(left[i] & left[i + 1] for i in range(0, len(left), 2))
+
+    draw = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    apart, _ = keys([draw(size) for _ in range(400)])
+    counts = np.unique(np.concatenate([list(k) for k in apart if k] or [[0]]), return_counts=True)[1]
+    assert counts.max() <= 0.04 * 400
+    for _ in range(200):
+        whole = draw(size + size // 4)
+        a, b = whole[: size], r.permutation(whole)[: len(whole) - int(r.integers(0, 1 + size // 8))]
+        both = len(np.intersect1d(a, b))
+        if len(a) != both != len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            assert meet(a, b)
+        # exactly at the similarity: as many changed as it lets
+        least = ngram_join.need(size, size, percent)
+        c = np.concatenate([a[:least], draw(size - least)])
+        assert least == size or meet(a, c)
+
+
 def test_join_keeps_a_large_group_whole(spark):
     words = prose(50, 150).split()
     texts = [" ".join(w if i != k else f"v{k}" for i, w in enumerate(words)) for k in range(90)] + [" ".join(words)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
-    got = ngram_join.components_of(df, chunk=20).collect()
+    got = ngram_join.components_of(df, chunk=6000).collect()
     want = {i: c for i, _, c in ref.near_components(list(enumerate(texts)))}
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
@@ -169,6 +237,26 @@ def test_exact(hard, hard_texts, nothing, nameless):
     assert {r["keep_id"] for r in exact_dedup.report(nameless).collect() if r["group_size"] == 2} == {4}
 
 
+def test_exact_over_deliveries(spark, tmp_path):
+    """A second delivery meets the state that the first left, and full bytes at its locators."""
+    def delivery(name, rows):
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    first = delivery("one", [(1, "A b"), (2, "a B"), (3, "other"), (9, None)])
+    second = delivery("two", [(4, "a b"), (5, "other"), (0, "OTHER"), (6, "new"), (7, "")])
+    weak = lambda c: F.substring(c, 1, 1)
+    for digest, home in ((exact_dedup.sha256, "strong"), (weak, "weak")):
+        state = str(tmp_path / home)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.report(first, state=state, digest=digest).collect()}
+        assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 9: (9, 1)}
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.report(second, state=state, digest=digest).collect()}
+        assert got == {4: (4, 3, True), 5: (5, 3, True), 0: (5, 3, False), 6: (6, 1, True), 7: (9, 2, False)}
+        third = delivery(f"three-{home}", [(8, "anew"), (10, "A B")])
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.report(third, state=state, digest=digest).collect()}
+        assert got == {8: (8, 1), 10: (10, 4)}
+
+
 def test_exact_checks_full_bytes(hard):
     weak = lambda c: __import__("pyspark.sql.functions", fromlist=["x"]).substring(exact_dedup.sha256(c), 1, 1)
     strong = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.report(hard).collect()}

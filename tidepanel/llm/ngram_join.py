@@ -3,10 +3,11 @@
 A document is the set of its distinct k-word shingles (64-bit hashes).  Equal
 sets are one class.  Classes that can link meet exactly, without any loss, by
 the pigeonhole rule: sets of sizes a and b whose Jaccard similarity is at least
-s differ in at most (a+b)(1-s)/(1+s) shingles, so of one more hashed shingle
-groups than that at least one is the same in both.  Only group signatures
-travel, and a signature that many classes share leaves one star of candidate
-edges, never all pairs.  Connected candidates are then joined: shingles hashed
+s differ in at most (a+b)(1-s)/(1+s) shingles, so of more hashed shingle groups
+than that all but so many are the same in both.  Only group signatures travel;
+classes that have too few of them in common with any others fall out, the rest
+leave out what the count allows (a prefix filter), and a signature that many
+classes share leaves one star of candidate edges, never all pairs.  Connected candidates are then joined: shingles hashed
 to ``DIMENSIONS`` groups give a point of group counts, the points go into a bulk
 loaded R-tree, a node or point whose summed coordinate minima with the query
 fall short of the needed overlap is passed over; what this bound does not
@@ -34,17 +35,23 @@ from pyspark.sql import functions as F
 
 from . import exchange, runtime
 from . import textops as X
+from .exchange import squeeze, swell
 
 U64 = np.uint64
 DIMENSIONS = 64
 FANOUT = 16
 #: classes of one candidate group that ask in one task what the bound alone connects
 PARTED = 4000
-#: members of one candidate group that are joined in one task
-CHUNK = 2000
+#: shingles of one candidate group that are joined in one task, a set counting for ``SET`` more
+CHUNK = 1 << 20
+SET = 256
 #: classes in candidate groups whose labels are broadcast (16 bytes each)
 BROADCAST_LABELS = 4_000_000
 FLUSH = 1 << 19
+#: classes of one flush with the same signature that go to its shard; of more, one goes
+LOCAL = 64
+#: shingles that are compared at a time
+COMPARED = 1 << 20
 
 
 def need(a, b, percent: int):
@@ -73,16 +80,22 @@ class Layout:
     def _plan(self, level: int) -> tuple[int, int, int]:
         # sizes below the upper edge; of more groups than can differ some are the same, and of those
         # not all are small unless both sets have that many small groups
-        top = math.ceil(math.exp((level + 1) * self.step) + 1)
+        # (least 1: a third more groups than can differ, so that linked sets share many signatures)
+        top = math.floor(math.exp((level + 1) * self.step) * (1 + 1e-9) + 1e-6)
         differ = 2 * top * (100 - self.percent) // (100 + self.percent)
-        for least in (6, 5, 4, 3, 2):
-            for ratio in (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4):
-                groups = math.ceil(differ * ratio) + 1
+        rare = differ + 2, differ, 1, 2.0
+        for least in (6, 5, 4, 3, 2, 1):
+            for ratio in (1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.4) if least > 1 else (1.3, 1.4, 1.5, 2.0, 3.0):
+                groups = max(math.ceil(differ * ratio) + 1, differ + 2)
                 mean = math.exp((level - 0.5) * self.step) / groups
                 small = groups * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
                 if small + 1.5 * math.sqrt(small) <= groups - differ - 1:
                     return groups, differ, least
-        return differ + 2, differ, 1
+                # few shingles: the number of groups that leaves a set's groups empty most seldom
+                over = (small - (groups - differ)) / math.sqrt(small + 1e-9)
+                if least == 1 and over < rare[3]:
+                    rare = groups, differ, 1, over
+        return rare[:3]
 
 
 def set_hash(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +109,26 @@ def set_hash(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return n, X.mix(h + n.astype(U64))
 
 
+#: bits of a signature beside its size level: fewer would let chance join sets of a very large corpus
+HASH_BITS = 48
+
+
 def with_level(key: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The key with its size level in the last byte; levels above it share their last byte."""
-    return (key & ~U64(255)) | (level.astype(U64) & U64(255))
+    """A signature of ``HASH_BITS`` and its size level in the last byte; levels above it share their last byte."""
+    return ((key >> U64(64 - HASH_BITS)) << U64(8)) | (level.astype(U64) & U64(255))
 
 
-def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """(document row, key) of the groups of each document at its two levels.
+def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document row, key, shared) of the groups of each document at its two levels.
 
     Small groups, which chance makes equal most often, are left out unless a
     document has so many that all groups it shares could be small ones.
+    shared: how many keys of that level the document has in common at least with
+    any set that it links with, as of the groups that are the same no more than
+    those that it does not send are without a key.
     """
     rows = len(n)
-    keys, owners = [], []
+    keys, owners, least_shared = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for up in (0, 1):
         level = layout.level(n) + up
         groups, differ, least = layout.groups(level)
@@ -132,28 +152,18 @@ def signatures(row: np.ndarray, x: np.ndarray, n: np.ndarray, layout: Layout) ->
         sent = count >= np.maximum(least, 1)[owner]
         few = g - np.bincount(owner[sent], minlength=rows)
         sent |= (count > 0) & (few >= groups - differ)[owner]
-        keys.append(key[sent])
-        owners.append(owner[sent])
-        empty = g - np.bincount(owner[count > 0], minlength=rows)
-        sparse = np.flatnonzero(live & (empty >= groups - differ))
-        if len(sparse):
-            keys.append(with_level(X.mix(level[sparse].astype(U64) + U64(0x5851F42D4C957F2D)), level[sparse]))
-            owners.append(sparse)
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, U64)
-    return np.concatenate(owners), np.concatenate(keys)
-
-
-def stars(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their smallest ref; and edges (ref, ref, level) from it to the key's others."""
-    order = np.lexsort((refs, keys))
-    keys, refs = keys[order], refs[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = keys[1:] != keys[:-1]
-    lead = refs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else refs
-    differ = lead != refs
-    edges = np.stack([lead[differ], refs[differ], (keys[differ] & U64(255)).astype(np.int64)])
-    return keys[first], refs[first], np.unique(edges, axis=1)
+        same = np.maximum(groups - differ - (g - np.bincount(owner[sent], minlength=rows)), 1)
+        # all groups that two sets share may be empty ones, at least groups - differ of them: those two
+        # meet in one of the first few of either's empty groups by number
+        none = np.flatnonzero(count == 0)
+        empty = np.bincount(owner[none], minlength=rows)
+        spare = np.where(live, empty - (groups - differ), -1)
+        nth = np.arange(len(none)) - (np.cumsum(empty) - empty)[owner[none]]
+        first = none[nth <= spare[owner[none]]]
+        keys += [key[sent], with_level(X.mix(salt[first] ^ U64(0x5851F42D4C957F2D)), level[owner[first]])]
+        owners += [owner[sent], owner[first]]
+        least_shared += [same[owner[sent]], same[owner[first]]]
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(least_shared)
 
 
 class RTree:
@@ -178,16 +188,21 @@ class RTree:
             top, least = np.maximum.reduceat(top, cut, axis=0), np.minimum.reduceat(least, cut)
             self.levels.append((top, least))
 
-    def query(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the points whose bound reaches the overlap they need, best bound first."""
-        at = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
-        for i in reversed(range(len(self.levels))):
-            top, least = self.levels[i]
-            bound = np.minimum(top[at], point).sum(axis=1)
-            at = at[bound >= need(size, least[at], self.percent)]
-            below = self.levels[i - 1][1] if i else self.sizes
-            at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            at = at[at < len(below)]
+    def query(self, point: np.ndarray, size: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of the points (of those flagged in ``among``) whose bound reaches the overlap they need, best bound first."""
+        if among is not None and among.sum() * FANOUT <= len(self.sizes):
+            at = np.flatnonzero(among[self.order])  # few are left: the tree saves nothing
+        else:
+            at = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
+            for i in reversed(range(len(self.levels))):
+                top, least = self.levels[i]
+                bound = np.minimum(top[at], point).sum(axis=1)
+                at = at[bound >= need(size, least[at], self.percent)]
+                below = self.levels[i - 1][1] if i else self.sizes
+                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                at = at[at < len(below)]
+            if among is not None:
+                at = at[among[self.order[at]]]
         if not len(at):
             return at
         bound = np.minimum(self.points[at], point).sum(axis=1)
@@ -219,22 +234,27 @@ def join_sets(sets: list[np.ndarray], percent: int, label: np.ndarray | None = N
     own = np.zeros(int(flat.max()) + 1, dtype=np.int32)
     links = []
     for q in range(asking):
-        c = tree.query(points[q], int(sizes[q]))
-        c = c[(c > q) | (c >= asking)] if every else c[label[c] != label[q]]
+        c = tree.query(points[q], int(sizes[q]), None if every else label != label[q])
+        c = c[(c > q) | (c >= asking)] if every else c
         c = c[c != q]
         if not len(c):
             continue
         mine = flat[start[q] : start[q] + sizes[q]]
         own[mine] = 1
-        both = np.add.reduceat(own[flat[X.ranges(start[c], sizes[c])]], np.cumsum(sizes[c]) - sizes[c])
+        cut = np.append(np.flatnonzero(np.diff(np.cumsum(sizes[c]) // COMPARED)) + 1, len(c))
+        for i, j in zip(np.append(0, cut), cut):  # a bounded number of shingles at a time, the best bounds first
+            d = c[i:j] if every else c[i:j][label[c[i:j]] != label[q]]
+            if not len(d):
+                continue
+            both = np.add.reduceat(own[flat[X.ranges(start[d], sizes[d])]], np.cumsum(sizes[d]) - sizes[d])
+            d = d[100 * both >= percent * (sizes[d] + sizes[q] - both)]
+            if not every and len(d):
+                # one link to each component that is met
+                joined_, first = np.unique(label[d], return_index=True)
+                d = d[first]
+                label[np.isin(label, joined_)] = label[q]
+            links += [(q, int(p)) for p in d]
         own[mine] = 0
-        c = c[100 * both >= percent * (sizes[c] + sizes[q] - both)]
-        if not every and len(c):
-            # one link to each component that is met
-            met, first = np.unique(label[c], return_index=True)
-            c = c[first]
-            label[np.isin(label, met)] = label[q]
-        links += [(q, int(p)) for p in c]
     return links
 
 
@@ -263,53 +283,105 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                     point = point.astype(np.uint16)
                     points = [point[r].tobytes() if n[p + r] > 1 else None for r in range(q - p)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i + p, q - p), b.column(1).slice(i + p, q - p), pa.array(n[p:q]), pa.array(ref[p:q]), pa.array(points, pa.binary())], names=["doc_id", "tie", "n_shingles", "ref", "point"])
-        X.release_powers()
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, tie bigint, n_shingles bigint, ref bigint, point binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), f"doc_id {kind}, tie bigint, n_shingles bigint, ref bigint, point binary")
 
 
-def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Candidate edges (a, b, lev) between classes that share a group signature of a size level."""
+def planes(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: of sorted ones the upper planes hardly weigh anything."""
+    return squeeze(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.copy())
+
+
+def from_planes(blob, kind) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.ascontiguousarray(swell(blob, np.uint8).reshape(n, -1).T).view(kind).ravel()
+
+
+def met(keys: np.ndarray, refs: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, ref, shared) without repetition, by key; and how many refs each row's key has."""
+    order = np.lexsort((refs, keys))
+    keys, refs, shared = keys[order], refs[order], shared[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
+    keys, refs, shared = keys[new], refs[new], shared[new]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(first) - 1
+    return keys, refs, shared, np.bincount(group)[group] if len(keys) else group
+
+
+def common_signatures(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """(ref, key, shared) of every signature that at least two classes have; see signatures() for shared.
+
+    Signatures travel packed to shards of their key space.  Of a key that many
+    classes of one flush have, one goes there and the others are known to share
+    it: a shard gets no more of a key than ``LOCAL`` a flush.
+    """
     shards = 4 * runtime.shuffle_partitions(docs.sparkSession)
     layout = Layout(percent)
 
-    def emit(keys, refs):
-        key, ref, (a, b, lev) = stars(np.concatenate(keys), np.concatenate(refs))
-        at = exchange.cuts(key, shards)
-        # an edge goes wherever its first end's shard is; edges need no order
-        where = exchange.shard_of(X.mix(a.view(U64) ^ (b.view(U64) << U64(1))), shards)
+    def emit(keys, refs, shared):
+        key, ref, least, n = met(np.concatenate(keys), np.concatenate(refs), np.concatenate(shared))
+        least = np.minimum(least, 65535).astype(np.uint16)
+        lead = np.ones(len(key), dtype=bool)
+        lead[1:] = key[1:] != key[:-1]
+        crowd = n > LOCAL
+        goes = ~crowd | lead
+        where = np.where(goes, exchange.shard_of(key << U64(64 - HASH_BITS - 8), shards), exchange.shard_of(X.mix(ref.view(U64)), shards))
         order = np.argsort(where, kind="stable")
-        a, b, lev, edge_at = a[order], b[order], lev[order], np.searchsorted(where[order], np.arange(shards + 1))
-        own = lambda x, cut, s: x[cut[s] : cut[s + 1]]
-        out = [(s, exchange.pack(own(key, at, s), own(ref, at, s), own(a, edge_at, s), own(b, edge_at, s), own(lev, edge_at, s))) for s in range(shards) if at[s + 1] > at[s] or edge_at[s + 1] > edge_at[s]]
-        return exchange.rows([s for s, _ in out], [x for _, x in out])
+        at = np.searchsorted(where[order], np.arange(shards + 1))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        own = lambda x, s: x[order[at[s] : at[s + 1]]]
+        flag = np.where(goes, np.where(crowd, 1, 0), 2).astype(np.uint8)
+        cols = [pa.array([f(own(x, s)) for s in some], pa.binary()) for f, x in ((planes, key), (lambda x: x.tobytes(), ref), (planes, least), (squeeze, flag))]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *cols], names=["shard", "key", "ref", "shared", "flag"])
 
     def run(batches):
-        keys, refs, held = [], [], 0
+        keys, refs, shared, held = [], [], [], 0
         for b in batches:
             buf, offs = X.column(b, 0)
             for i, j in X.slices(offs):
                 row, x, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                owner, key = signatures(row, x, n, layout)
+                owner, key, least = signatures(row, x, n, layout)
                 keys.append(key)
                 refs.append(ref[owner])
+                shared.append(least)
                 held += len(key)
                 if held >= FLUSH:
-                    yield emit(keys, refs)
-                    keys, refs, held = [], [], 0
+                    yield emit(keys, refs, shared)
+                    keys, refs, shared, held = [], [], [], 0
         if held:
-            yield emit(keys, refs)
-        X.release_powers()
+            yield emit(keys, refs, shared)
 
     def meet(group: pa.Table) -> pa.Table:
-        parts = [exchange.unpack(x.as_buffer(), (U64, np.int64, np.int64, np.int64, np.int64)) for x in group.column("blob")]
-        keys, refs, a, b, lev = (np.concatenate(p) for p in zip(*parts))
-        _, _, more = stars(keys, refs)
-        pairs = np.unique(np.concatenate([np.stack([a, b, lev]), more], axis=1), axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64()), "lev": pa.array(pairs[2], pa.int64())})
+        key, ref, least, flag = (np.concatenate([f(x.as_buffer(), kind) for x in group.column(c)]) for c, f, kind in (("key", from_planes, U64), ("ref", np.frombuffer, np.int64), ("shared", from_planes, np.uint16), ("flag", swell, np.uint8)))
+        passed = flag == 2  # known to be shared; the key's own shard is another
+        crowd = np.unique(key[flag == 1])
+        mine_key, mine_ref, mine_least, n = met(key[~passed], ref[~passed], least[~passed])
+        keep = (n > 1) | (X.lookup(crowd, mine_key) >= 0)
+        out = [np.concatenate([a[keep], b[passed]]) for a, b in ((mine_key, key), (mine_ref, ref), (mine_least, least))]
+        return pa.table({"ref": pa.array(out[1]), "key": pa.array(out[0].view(np.int64)), "shared": pa.array(out[2].astype(np.int32))})
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, exchange.SCHEMA).groupBy("shard").applyInArrow(meet, "a bigint, b bigint, lev bigint")
+    sent = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), "shard int, key binary, ref binary, shared binary, flag binary")
+    return sent.groupBy("shard").applyInArrow(X.tidy_group(meet), "ref bigint, key bigint, shared int")
+
+
+def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """Candidate edges (a, b, lev) between classes that share enough group signatures of a size level.
+
+    Classes that link have ``shared`` keys of a level in common.  So a class with
+    fewer common keys has no link there, and of one with more the last shared - 1
+    keys, in one order for all, may be left out: the first key that two classes
+    share is among what both keep.
+    """
+    common, _ = runtime.written(common_signatures(docs, text, k, percent), "signatures")
+    level = F.col("key").bitwiseAND(F.lit(255))
+    sets = common.groupBy("ref", level.alias("lev")).agg(F.collect_set("key").alias("keys"), F.max("shared").alias("shared"))
+    left = F.expr("slice(array_sort(keys), 1, size(keys) - shared + 1)")
+    kept, _ = runtime.written(sets.filter(F.size("keys") >= F.col("shared")).select("ref", "lev", F.explode(left).alias("key")), "kept")
+    lead = kept.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("most")).filter("a != most").select("key", "a")
+    return kept.join(lead, "key").filter("ref != a").select("a", F.col("ref").alias("b"), "lev").distinct()
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
@@ -336,14 +408,14 @@ def parted(groups: DataFrame, sets: DataFrame, percent: int, most: int = PARTED)
         p = np.frombuffer(b"".join(x.as_buffer() for x in group.column("point")), np.uint16).reshape(len(ref), DIMENSIONS).astype(np.int32)
         tree, label = RTree(p, n, percent), np.arange(len(ref))
         for q in np.flatnonzero(group.column("mine").to_numpy() == group.column("slice")[0].as_py()).tolist():
-            met = np.unique(label[tree.query(p[q], int(n[q]))])
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+            reached = np.unique(label[tree.query(p[q], int(n[q]), label != label[q])])
+            if len(reached):
+                label[np.isin(label, reached) | (label == label[q])] = min(int(reached[0]), int(label[q]))
         b = np.flatnonzero(label != np.arange(len(ref)))
         lev = np.full(len(b), group.column("lev")[0].as_py())
         return pa.table({"a": pa.array(ref[label[b]]), "b": pa.array(ref[b]), "lev": pa.array(lev, pa.int64())})
 
-    edges = dealt.groupBy("grp", "slice").applyInArrow(ask, "a bigint, b bigint, lev bigint")
+    edges = dealt.groupBy("grp", "slice").applyInArrow(X.tidy_group(ask), "a bigint, b bigint, lev bigint")
     return grouped(edges).select("ref", "grp")
 
 
@@ -353,7 +425,7 @@ _MEMBER = "grp bigint, chunk int, ref bigint, blob binary"
 def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -> DataFrame:
     """(grp, chunk, ref, blob) of every class in each of its candidate groups; a class may come once a task."""
     spark = docs.sparkSession
-    sizes = labels.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    sizes = labels.groupBy("grp").agg(F.sum(F.col("n") + SET).alias("size"))
     placed = labels.join(sizes, "grp").select("ref", "grp", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)").alias("chunk"))
     placed, _ = runtime.written(placed, "placed")
     total = placed.count()
@@ -391,9 +463,8 @@ def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -
                 if out:
                     g, c, f, blob = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int32()), pa.array(f, pa.int64()), pa.array(blob, pa.binary())], names=["grp", "chunk", "ref", "blob"])
-        X.release_powers()
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, _MEMBER)
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), _MEMBER)
     if not few:
         found = found.select("ref", "blob").join(placed, "ref").select("grp", "chunk", "ref", "blob")
     return found
@@ -421,7 +492,7 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
 
     spark = found.sparkSession
     found, _ = runtime.written(found, "members")
-    edges, _ = runtime.written(found.groupBy("grp", "chunk").applyInArrow(alone, "a bigint, b bigint"), "links")
+    edges, _ = runtime.written(found.groupBy("grp", "chunk").applyInArrow(X.tidy_group(alone), "a bigint, b bigint"), "links")
     large = found.filter("chunk > 0").select("grp").distinct()
     large, _ = runtime.written(large, "large")
     if large.isEmpty():
@@ -429,29 +500,29 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
     # groups of several chunks: components so far, then representatives, then the exact rest;
     # identifiers find out what is left to do before any sets travel
     rest, _ = runtime.written(found.join(large, "grp", "left_semi").dropDuplicates(["grp", "ref"]), "large_members")
-    ids = rest.select("grp", "chunk", "ref")
+    ids = rest.select("grp", "chunk", "ref", (F.length("blob") / 8 + SET).cast("long").alias("weight"))
 
     def labelled(e):
         comp = runtime.components(e)
-        return ids.join(comp, ids["ref"] == comp["node"], "left").select("grp", "chunk", "ref", F.coalesce("root", "ref").alias("root"))
+        return ids.join(comp, ids["ref"] == comp["node"], "left").select("grp", "chunk", "ref", "weight", F.coalesce("root", "ref").alias("root"))
 
     lab = ids.withColumn("root", F.col("ref"))
     if not every:
         before = None
         for _ in range(8):
             lab, _ = runtime.written(labelled(edges), "labelled")
-            counts = lab.filter("ref = root").groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            counts = lab.filter("ref = root").groupBy("grp").agg(F.sum("weight").alias("size"), F.count(F.lit(1)).alias("sets")).filter("sets > 1").drop("sets")
             now = tuple(counts.agg(F.count(F.lit(1)), F.sum("size")).collect()[0])
             if not now[0] or now == before:
                 break
             before = now
             dealt = lab.filter("ref = root").join(counts, "grp").select("grp", "ref", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)").alias("deal"))
             reps = rest.join(dealt, ["grp", "ref"]).select("grp", F.col("deal").alias("chunk"), "ref", "blob")
-            more, _ = runtime.written(reps.groupBy("grp", "chunk").applyInArrow(alone, "a bigint, b bigint"), "links")
+            more, _ = runtime.written(reps.groupBy("grp", "chunk").applyInArrow(X.tidy_group(alone), "a bigint, b bigint"), "links")
             if more.isEmpty():
                 break
             edges = edges.unionAll(more)
-    sizes = lab.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = lab.groupBy("grp", "root").agg(F.sum("weight").alias("size"))
     main = sizes.groupBy("grp").agg(F.max_by("root", "size").alias("main"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     lab, _ = runtime.written(lab.join(main, "grp").select("grp", "ref", "root", "main", "total"), "apart")
     if lab.isEmpty():
@@ -461,7 +532,7 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
     asks = lab.filter("root != main").withColumn("block", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(total / {chunk}) as bigint)) as int)"))
     blocks = F.expr(f"cast(ceil(total / {chunk}) as int)")
     asked = lab.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(False)).select("grp", "chunk", "block", "ref", "blob", "root", "asks")
-    chunks = ids.distinct().groupBy("grp").agg(F.collect_set("chunk").alias("chunk"))
+    chunks = ids.select("grp", "chunk").distinct().groupBy("grp").agg(F.collect_set("chunk").alias("chunk"))
     asks = asks.drop("chunk").join(chunks, "grp").withColumn("chunk", F.explode("chunk")).withColumn("asks", F.lit(True)).select("grp", "chunk", "block", "ref", "blob", "root", "asks")
 
     def across(group: pa.Table) -> pa.Table:
@@ -475,7 +546,7 @@ def joined(found: DataFrame, percent: int, every: bool = False, chunk: int = CHU
         sets = [np.frombuffer(blobs[int(i)].as_buffer(), U64) for i in keep]
         return _edges(ref[keep], join_sets(sets, percent, root[keep], asking, every=every))
 
-    last = asked.unionAll(asks).groupBy("grp", "chunk", "block").applyInArrow(across, "a bigint, b bigint")
+    last = asked.unionAll(asks).groupBy("grp", "chunk", "block").applyInArrow(X.tidy_group(across), "a bigint, b bigint")
     last, _ = runtime.written(last, "links")
     return edges.unionAll(last)
 
@@ -485,7 +556,8 @@ def link_classes(docs: DataFrame, *, text: str = "text", k: int = 3, percent: in
     if sets is None:
         sets, _ = runtime.written(classes(docs, text, text, k), "classes")
     groups, _ = runtime.written(grouped(candidates(docs, text, k, percent)), "candidates")
-    labels, _ = runtime.written(parted(groups, sets, percent, parted_most), "parted")
+    known = sets.filter("n_shingles > 0").groupBy("ref").agg(F.first("n_shingles").alias("n"))
+    labels, _ = runtime.written(parted(groups, sets, percent, parted_most).join(known, "ref"), "parted")
     found = members(docs, text, k, labels, chunk)
     return joined(found, percent, every, chunk)
 
