@@ -1,9 +1,11 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The benchmark's items are cut into word sequences and put into generalised
-suffix automata, each over at most ``BLOCK_WORDS`` words; an automaton is
-broadcast, and a benchmark of any size is handled as several blocks, one map
-pass each, so that what is broadcast at once never exceeds one block.
+The benchmark's items are cut into word sequences and dealt, by a hash, to
+blocks of about ``BLOCK_WORDS`` words; a task builds a block's generalised
+suffix automaton.  One automaton at a time is broadcast for a map pass over the
+documents.  Where there are several blocks, rows and what was found in them are
+written to the shared folder between passes, so that no stage ever holds more
+than one automaton.
 Document words are streamed through the automaton; at every word the longest
 suffix that occurs in some item is known, and with it every window that ends
 there.  Stretches of a document in which two successive words never follow
@@ -18,6 +20,7 @@ answered once each.  An empty benchmark leaves every document clean.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import runtime
 from . import textops as X
 
 #: words of benchmark text in one broadcast automaton (about 400 bytes a word)
@@ -143,30 +147,37 @@ class SuffixAutomaton:
 
 
 def blocks(items: DataFrame, item_id: str, item_text: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata over bounded blocks of items, read partition by partition."""
-    texts: list[tuple[str | None, np.ndarray]] = []
-    held = 0
+    """Automata over blocks of items, built by a task each and brought to the driver one at a time."""
+    spark = items.sparkSession
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null").distinct()
+
+    def words(batches):
+        for b in batches:
+            n = [len(w.hash) for w in (X.Words(*X.column(b.slice(r, 1), 1), X.ALNUM) for r in range(b.num_rows))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["i", "t", "n"])
 
-    def build():
+    def build(group: pa.Table) -> pa.Table:
+        texts = []
+        for i, t in sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist()), key=lambda x: (x[0] is not None, x[0] or "", x[1])):
+            raw = np.frombuffer(t.encode(), np.uint8)
+            texts.append((i, X.Words(raw, np.array([0, len(raw)]), X.ALNUM).hash))
         vocabulary = np.unique(np.concatenate([h for _, h in texts]))
         sam = SuffixAutomaton(window)
         for name, h in texts:
             sam.add(name, np.searchsorted(vocabulary, h).tolist())
-        return sam.finish(vocabulary)
+        return pa.table({"block": group.column("block")[:1], "automaton": pa.array([pickle.dumps(sam.finish(vocabulary))], pa.binary())})
 
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null").distinct()
-    for r in rows.toLocalIterator():
-        raw = np.frombuffer(r["t"].encode(), np.uint8)
-        h = X.Words(raw, np.array([0, len(raw)]), X.ALNUM).hash
-        if not len(h):
-            continue
-        if texts and held + len(h) > block_words:
-            yield build()
-            texts, held = [], 0
-        texts.append((r["i"], h))
-        held += len(h)
-    if texts:
-        yield build()
+    counted, counted_path = runtime.written(rows.mapInArrow(X.tidy(words), "i string, t string, n bigint").filter("n > 0"), "items")
+    total = counted.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    parts = -(-total // block_words)
+    if parts:
+        dealt = counted.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
+        made, made_path = runtime.written(dealt.groupBy("block").applyInArrow(X.tidy_group(build), "block int, automaton binary"), "automata")
+        for k in range(parts):
+            for r in made.filter(F.col("block") == k).select("automaton").collect():
+                yield pickle.loads(r["automaton"])
+        runtime.delete_path(spark, made_path)
+    runtime.delete_path(spark, counted_path)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -210,24 +221,34 @@ _RESULT = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.Arra
 _PA_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
+def _passes(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int, block_words: int, result: str, finish) -> DataFrame:
+    """Every block in turn; the last pass hands its rows to ``finish`` or returns docs with the column ``result``."""
+    spark, out = docs.sparkSession, docs
+    at_hand = None  # one automaton is kept back, to know the last
+    for sam in blocks(items, item_id, item_text, window, block_words):
+        if at_hand is not None:
+            shared = spark.sparkContext.broadcast(at_hand)
+            out, _ = runtime.written(_pass(out, docs.schema, text, shared, result), "contamination")
+            shared.destroy()
+        at_hand = sam
+    return _pass(out, docs.schema, text, spark.sparkContext.broadcast(at_hand) if at_hand is not None else None, result, finish)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, result: str = "contamination") -> DataFrame:
     """docs with a struct column ``result``: n_words, spans (in words), items.
 
     One map pass a block of the benchmark; no shuffle of documents.
     """
-    spark = docs.sparkSession
-    out = docs
-    first = True
-    for sam in blocks(items, item_id, item_text, window, block_words):
-        out = _pass(out, text, spark.sparkContext.broadcast(sam), result, first)
-        first = False
-    return _pass(out, text, None, result, True) if first else out
+    return _passes(docs, items, text, item_id, item_text, window, block_words, result, None)
+
 
+def _pass(docs: DataFrame, own: T.StructType, text: str, shared, result: str, finish=None) -> DataFrame:
+    """One block's automaton over docs, whose own columns ``own`` are; what earlier blocks found is added up.
 
-def _pass(docs: DataFrame, text: str, shared, result: str, first: bool) -> DataFrame:
-    inputs = docs
-    names = [c for c in inputs.columns if first or c != result]
-    schema = T.StructType([f for f in inputs.schema.fields if f.name in names] + [T.StructField(result, T.StructType(_RESULT))])
+    finish(batch, words, spans by row): own columns of the rows that stay.
+    """
+    schema = own if finish else T.StructType([*own.fields, T.StructField(result, T.StructType(_RESULT))])
+    names, before = own.names, result in docs.columns and result not in own.names
 
     def run(batches):
         sam = shared.value if shared is not None else None
@@ -240,24 +261,26 @@ def _pass(docs: DataFrame, text: str, shared, result: str, first: bool) -> DataF
                 batch = whole.slice(i, j - i)
                 buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
                 words, spans, found = _hits(sam, buf, offs)
-                old = None if first else batch.column(batch.schema.get_field_index(result)).to_pylist()
-                all_spans, all_names = [], []
-                for r in range(j - i):
-                    s, m = spans.get(r, []), found.get(r, set())
-                    if old is not None and (old[r]["spans"] or s):
-                        s = _merge(s + [(x["from"], x["to"]) for x in old[r]["spans"]])
-                        m = m | set(old[r]["items"])
-                    all_spans.append([{"from": a, "to": b} for a, b in s])
-                    all_names.append(sorted(x for x in m if x is not None))
+                if before:
+                    for r, old in enumerate(batch.column(batch.schema.get_field_index(result)).to_pylist()):
+                        if old["spans"]:
+                            spans[r] = _merge(spans.get(r, []) + [(x["from"], x["to"]) for x in old["spans"]])
+                            found.setdefault(r, set()).update(old["items"])
+                cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
+                if finish:
+                    yield finish(pa.RecordBatch.from_arrays(cols, names=names), buf, words, spans)
+                    continue
                 made = pa.StructArray.from_arrays(
-                    [pa.array(np.diff(words.first), pa.int64()), pa.array(all_spans, _PA_SPANS), pa.array(all_names, pa.list_(pa.string()))],
+                    [
+                        pa.array(np.diff(words.first), pa.int64()),
+                        pa.array([[{"from": a, "to": b} for a, b in spans.get(r, [])] for r in range(j - i)], _PA_SPANS),
+                        pa.array([sorted(x for x in found.get(r, ()) if x is not None) for r in range(j - i)], pa.list_(pa.string())),
+                    ],
                     names=["n_words", "spans", "items"],
                 )
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in names] + [made]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, result])
-        X.release_powers()
+                yield pa.RecordBatch.from_arrays([*cols, made], names=[*names, result])
 
-    return inputs.mapInArrow(run, schema)
+    return docs.mapInArrow(X.tidy(run), schema)
 
 
 def hit_words(result: str = "contamination") -> Column:
@@ -278,43 +301,42 @@ def report(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
     )
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", length: str | None = "n_chars", min_span: int = 10, max_coverage: float = 0.5, **options) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", length: str | None = "n_chars", min_span: int = 1, max_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, in their own columns, without what they share with the benchmark.
 
-    Spans of at least ``min_span`` hit words are cut out of the text (with the
-    bytes between their first and last word); a document of whose words more
-    than ``max_coverage`` is hit is dropped.  Others are returned unchanged.
+    Spans of at least ``min_span`` hit words, whole short items among them, are
+    cut out of the text (with the bytes between their first and last word); a
+    document of whose words more than ``max_coverage`` is hit is dropped.  Others
+    are returned unchanged.  The column ``length``, where there is one, gets the
+    new number of characters.
     """
     result = "contamination"
     while result in docs.columns:
         result = f"_{result}"
-    schema = docs.schema
-    found = find_contamination(docs, items, text=text, result=result, **options)
-    found = found.filter(hit_words(result) <= max_coverage * F.col(f"{result}.n_words"))
-
-    def cut(batches):
-        for batch in batches:
-            at, size_at = batch.schema.get_field_index(text), batch.schema.get_field_index(length) if length else -1
-            spans = batch.column(batch.schema.get_field_index(result)).to_pylist()
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in schema.names]
-            if any(s["spans"] for s in spans):
-                texts, sizes = batch.column(at).to_pylist(), batch.column(size_at).to_pylist() if size_at >= 0 else None
-                for r, s in enumerate(spans):
-                    long = [x for x in s["spans"] if x["to"] - x["from"] >= min_span]
-                    if not long:
-                        continue
-                    raw = texts[r].encode()
-                    w = X.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), X.ALNUM)
-                    left, parts = 0, []
-                    for x in long:
-                        parts.append(raw[left : int(w.start[x["from"]])])
-                        left = int(w.end[x["to"] - 1])
-                    texts[r] = b"".join([*parts, raw[left:]]).decode()
-                    if sizes:
-                        sizes[r] = len(texts[r])
-                cols[schema.names.index(text)] = pa.array(texts, batch.column(at).type)
-                if sizes:
-                    cols[schema.names.index(length)] = pa.array(sizes, batch.column(size_at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-    return found.mapInArrow(cut, schema)
+
+    def cut(batch, buf, words, spans):
+        n = np.diff(words.first)
+        texts, sizes = {}, {}
+        stays = np.ones(batch.num_rows, dtype=bool)
+        for r, own in spans.items():
+            if sum(b - a for a, b in own) > max_coverage * n[r]:
+                stays[r] = False
+                continue
+            long = [x for x in own if x[1] - x[0] >= min_span]
+            if long:
+                text_at, base = batch.column(batch.schema.get_field_index(text))[r].as_py().encode(), int(words.offs[r])
+                first, left, parts = int(words.first[r]), 0, []
+                for a, b in long:
+                    parts.append(text_at[left : int(words.start[first + a]) - base])
+                    left = int(words.end[first + b - 1]) - base
+                texts[r] = b"".join([*parts, text_at[left:]]).decode()
+                sizes[r] = len(texts[r])
+        cols = list(batch.columns)
+        for name, new in ((text, texts), (length, sizes)):
+            at = batch.schema.get_field_index(name) if name else -1
+            if new and at >= 0:
+                cols[at] = pa.array([new.get(r, x) for r, x in enumerate(cols[at].to_pylist())], cols[at].type)
+        out = pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        return out if stays.all() else out.filter(pa.array(stays))
+
+    return _passes(docs, items, text, item_id, item_text, window, block_words, result, cut)
