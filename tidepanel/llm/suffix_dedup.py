@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from . import exchange, runtime
 from . import textops as X
-from .bloom_lm import LogBloom, squeeze, swell
+from .bloom_lm import LogBloom, load_filter, runs
+from .exchange import squeeze, swell
 
 U64 = np.uint64
 LENGTH = 100
@@ -45,6 +46,8 @@ FILTER_MB = 64
 #: bytes of snippets in one suffix array, and that are decided together
 BLOCK = 1 << 19
 FLUSH = 4 << 20
+#: bytes that are compared at a time
+COMPARED = 1 << 20
 _POSITION = U64((1 << 30) - 1)
 
 
@@ -108,7 +111,6 @@ def repeated_anchors(docs: DataFrame, text: str, length: int, shards: int) -> Da
                     once, twice, held = [], [], 0
         if held:
             yield pack(once, twice)
-        X.release_powers()
 
     def meet(group: pa.Table) -> pa.Table:
         parts = [exchange.unpack(x.as_buffer(), (U64, U64)) for x in group.column("blob")]
@@ -117,7 +119,46 @@ def repeated_anchors(docs: DataFrame, text: str, length: int, shards: int) -> Da
         bits, size = LogBloom.segment(keys, np.ones(len(keys), np.int64))
         return pa.table({"shard": group.column("shard")[:1], "bits": pa.array([bits.tobytes()], pa.binary()), "size": pa.array([size], pa.int64())})
 
-    return docs.select(text).mapInArrow(run, exchange.SCHEMA).groupBy("shard").applyInArrow(meet, "shard int, bits binary, size bigint")
+    return docs.select(text).mapInArrow(X.tidy(run), exchange.SCHEMA).groupBy("shard").applyInArrow(X.tidy_group(meet), "shard int, bits binary, size bigint")
+
+
+def equal_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = COMPARED) -> np.ndarray:
+    """Whether size bytes from a and from b are equal, with at most ``most`` bytes (or one string) laid out at a time.
+
+    Strings that overlap what they are compared with, as in a run of one
+    character, have few distances: where many share one, the mismatches at that
+    distance are counted once along the text.
+    """
+    out = np.zeros(len(a), dtype=bool)
+    left = np.ones(len(a), dtype=bool)
+    gap, back, n = np.unique(a - b, return_inverse=True, return_counts=True)
+    for k in np.flatnonzero((gap > 0) & (n * (size.mean() if len(size) else 0) > 4 * len(text))).tolist():
+        own = np.flatnonzero(back == k)
+        differ = np.zeros(len(text) - int(gap[k]) + 1, np.int64)  # before each position
+        np.cumsum(text[gap[k] :] != text[: -gap[k]], out=differ[1:])
+        out[own] = differ[b[own] + size[own]] == differ[b[own]]
+        left[own] = False
+    rest = np.flatnonzero(left)
+    total = np.cumsum(size[rest])
+    i = 0
+    while i < len(rest):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right")))
+        own = rest[i:j]
+        differ = text[X.ranges(a[own], size[own])] != text[X.ranges(b[own], size[own])]
+        out[own] = ~np.logical_or.reduceat(differ, np.cumsum(size[own]) - size[own])
+        i = j
+    return out
+
+
+def merged_runs(m: np.ndarray) -> np.ndarray:
+    """(document, tie, first, last) of windows, runs that follow each other made one."""
+    m = m[:, np.lexsort((m[2], m[1], m[0]))]
+    if m.shape[1] < 2:
+        return m
+    new = np.ones(m.shape[1], dtype=bool)
+    new[1:] = (m[0, 1:] != m[0, :-1]) | (m[1, 1:] != m[1, :-1]) | (m[2, 1:] > m[3, :-1] + 1)
+    at = np.flatnonzero(new)
+    return np.stack([*m[:3, at], np.maximum.reduceat(m[3], at)])
 
 
 def snippets(docs: DataFrame, length: int, shards: int, low: int, filter_: LogBloom) -> DataFrame:
@@ -146,19 +187,14 @@ def snippets(docs: DataFrame, length: int, shards: int, low: int, filter_: LogBl
                 size = last - first + length
                 key = X.span_hash(buf, first, first + size)
                 order = np.lexsort((start, tie, doc, key))
-                lead = np.ones(len(order), dtype=bool)
-                lead[1:] = key[order][1:] != key[order][:-1]
-                rep = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-                # a copy is one by its bytes, not by its hash
-                same = (size[order] == size[rep]) & ~lead
+                # a copy is one by its bytes, not by its hash: of its bytes and those of the one before it
+                same = np.zeros(len(order), dtype=bool)
+                c = 1 + np.flatnonzero((key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1]))
+                same[c] = equal_strings(buf, first[order[c]], first[order[c - 1]], size[order[c]])
                 c = np.flatnonzero(same)
-                if len(c):
-                    x, y = buf[X.ranges(first[order[c]], size[order[c]])], buf[X.ranges(first[rep[c]], size[rep[c]])]
-                    cut = np.cumsum(size[order[c]]) - size[order[c]]
-                    same[c[np.add.reduceat((x != y).astype(np.int64), cut) > 0]] = False
-                copy = order[same]
-                own = ~((doc[copy] == doc[rep[same]]) & (tie[copy] == tie[rep[same]]) & (start[copy] == start[rep[same]]))
-                again = copy[own]
+                copy, prior = order[c], order[c - 1]
+                again = copy[~((doc[copy] == doc[prior]) & (tie[copy] == tie[prior]) & (start[copy] == start[prior]))]
+                again = merged_runs(np.stack([doc[again], tie[again], start[again], start[again] + last[again] - first[again]]))
                 keep = np.sort(order[~same])
                 keep = keep[np.argsort(where[keep], kind="stable")]
                 at = np.searchsorted(where[keep], np.arange(low, high + 1))
@@ -171,14 +207,13 @@ def snippets(docs: DataFrame, length: int, shards: int, low: int, filter_: LogBl
                         out_s.append(low + s)
                         out_b.append(np.int64(len(head)).tobytes() + head + data)
                         out_m.append(b"")
-                if len(again):
+                if again.size:
                     if not out_s:
                         out_s, out_b, out_m = [low], [b""], [b""]
-                    out_m[0] = squeeze(np.concatenate([doc[again], tie[again], start[again], start[again] + last[again] - first[again]]))
+                    out_m[0] = squeeze(again)
                 yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_b, pa.binary()), pa.array(out_m, pa.binary())], names=["shard", "blob", "marks"])
-        X.release_powers()
 
-    return docs.mapInArrow(run, "shard int, blob binary, marks binary")
+    return docs.mapInArrow(X.tidy(run), "shard int, blob binary, marks binary")
 
 
 class SuffixArray:
@@ -231,25 +266,48 @@ class SuffixArray:
         rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
 
     def common_prefixes(self, at: np.ndarray) -> np.ndarray:
-        """Kasai: of each suffix in ``at`` (ascending positions) with the one before it in order, up to the depth."""
-        place = np.empty(len(self.order), np.int64)
-        place[self.order] = np.arange(len(self.order))
-        before = np.where(place[at] > 0, self.order[np.maximum(place[at] - 1, 0)], -1)
-        out = np.zeros(len(at), np.int64)
-        text, left, depth = self.text, self.left, self.depth
-        # positions one apart lose one byte of their common prefix at most: all are extended together,
-        # a pass for each byte that any of them still shares
-        live = np.flatnonzero(before >= 0)
-        room = np.minimum(np.minimum(left[at], left[np.maximum(before, 0)]), depth)
-        # equal ranks are equal to the depth; Kasai's bound starts the others where their left neighbour ended
-        same = live[self.rank[at[live]] == self.rank[before[live]]]
-        out[same] = room[same]
-        live = live[self.rank[at[live]] != self.rank[before[live]]]
-        while len(live):
-            live = live[out[live] < room[live]]
-            live = live[text[at[live] + out[live]] == text[before[live] + out[live]]]
-            out[live] += 1
-        return out
+        """Kasai: of each suffix in ``at`` (ascending positions) with the one before it in order, up to the depth.
+
+        A suffix shares at least one byte less with the one before it than its
+        left neighbour did.  So that arrays can be worked on, the recurrence runs
+        over strides: every 64th position is compared from its first byte on,
+        and then, with half the stride each time, the positions between start
+        with what the position one stride to the left leaves them.
+        """
+        n = len(self.order)
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        before = np.full(n, -1)
+        before[self.order[1:]] = self.order[:-1]
+        text, left, depth, rank = self.text, self.left, self.depth, self.rank
+        shared = np.zeros(n, np.int64)
+        wanted = np.zeros(n, dtype=bool)
+        wanted[at[before[at] >= 0]] = True
+        done = np.zeros(n, dtype=bool)
+        stride = 64
+        while stride:
+            p = np.arange(0, n, stride)
+            p = p[wanted[p] & ~done[p]]
+            q = before[p]
+            room = np.minimum(np.minimum(left[p], left[q]), depth)
+            back = p - stride
+            ok = np.flatnonzero(back >= 0)
+            ok = ok[done[back[ok]] & (left[back[ok]] == left[p[ok]] + stride)]
+            # the neighbour's predecessor, moved along, lies before this suffix unless those two tie to the depth
+            ok = ok[(shared[back[ok]] > stride) & (rank[before[back[ok]]] != rank[back[ok]])]
+            have = np.zeros(len(p), np.int64)
+            have[ok] = np.minimum(shared[back[ok]] - stride, room[ok])
+            equal = rank[p] == rank[q]  # to the depth
+            have[equal] = room[equal]
+            live = np.flatnonzero(have < room)
+            while len(live):
+                live = live[text[p[live] + have[live]] == text[q[live] + have[live]]]
+                have[live] += 1
+                live = live[have[live] < room[live]]
+            shared[p] = have
+            done[p] = True
+            stride //= 2
+        return shared[at]
 
     def find(self, windows: np.ndarray, length: int) -> np.ndarray:
         """Binary search: places in the order of suffixes that begin with each window (rows of bytes), or -1."""
@@ -367,18 +425,13 @@ def _decide(head: np.ndarray, text: np.ndarray, length: int, block: int) -> list
     begin = np.cumsum(size) - size
     key = X.span_hash(text, begin, begin + size)
     order = np.lexsort((start, tie, doc, key, size, h))
-    lead = np.ones(len(order), dtype=bool)
     x = np.stack([h[order], size[order], key[order].view(np.int64)])
-    lead[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-    rep = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-    copy = np.flatnonzero(~lead)
     same = np.zeros(len(order), dtype=bool)
-    if len(copy):
-        cut = np.cumsum(size[order[copy]]) - size[order[copy]]
-        differ = np.add.reduceat((text[X.ranges(begin[order[copy]], size[order[copy]])] != text[X.ranges(begin[rep[copy]], size[rep[copy]])]).astype(np.int64), cut)
-        same[copy[differ == 0]] = True
-    twin = (doc[order] == doc[rep]) & (tie[order] == tie[rep]) & (start[order] == start[rep])
-    again = order[same & ~twin]
+    copy = 1 + np.flatnonzero((x[:, 1:] == x[:, :-1]).all(axis=0))
+    same[copy] = equal_strings(text, begin[order[copy]], begin[order[copy - 1]], size[order[copy]])
+    copy = np.flatnonzero(same)
+    again, prior = order[copy], order[copy - 1]
+    again = again[~((doc[again] == doc[prior]) & (tie[again] == tie[prior]) & (start[again] == start[prior]))]
     done = [np.stack([doc[again], tie[again], start[again], start[again] + more[again]])]
     left = order[~same]  # by anchor, its different snippets together
     several = np.zeros(len(left), dtype=bool)
@@ -452,8 +505,8 @@ def marks(found: DataFrame, length: int, block: int) -> DataFrame:
             spans.append(np.stack([lo[s], hi[np.append(s[1:], len(lo)) - 1]]).astype(np.int64).tobytes())
         return pa.table({"doc": pa.array(m[0][at[:-1]]), "tie": pa.array(m[1][at[:-1]]), "spans": pa.array(spans, pa.binary())})
 
-    found = found.groupBy("shard").applyInArrow(decide, "home int, blob binary")
-    return found.groupBy("home").applyInArrow(gather, "doc bigint, tie bigint, spans binary")
+    found = found.groupBy("shard").applyInArrow(X.tidy_group(decide), "home int, blob binary")
+    return found.groupBy("home").applyInArrow(X.tidy_group(gather), "doc bigint, tie bigint, spans binary")
 
 
 _SMALLEST = -(1 << 63)
@@ -465,20 +518,13 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     shards = 4 * runtime.shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_SMALLEST)).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text"))
-    segments = repeated_anchors(rows, "text", length, shards).toArrow()
-    bits, sizes = [np.empty(0, np.uint8)] * shards, [0] * shards
-    for s, b, n in zip(segments.column(0).to_pylist(), segments.column(1), segments.column(2).to_pylist()):
-        bits[s], sizes[s] = np.frombuffer(b.as_buffer(), np.uint8), n
-    passes, low, held = [], 0, 0
-    for s in range(shards):
-        if held and held + sizes[s] > FILTER_MB * 8e6:
-            passes.append((low, s))
-            low, held = s, 0
-        held += sizes[s]
-    passes.append((low, shards))
+    segments, _ = runtime.written(repeated_anchors(rows, "text", length, shards), "segments")
+    sizes = np.zeros(shards)
+    for r in segments.select("shard", "size").collect():  # one row a shard
+        sizes[r["shard"]] = r["size"]
     found = None
-    for a, z in passes:
-        part = snippets(rows, length, shards, a, LogBloom(bits[a:z], sizes[a:z]))
+    for a, z in runs(sizes, FILTER_MB * 8e6):
+        part, _ = runtime.written(snippets(rows, length, shards, a, load_filter(segments.filter(F.col("shard").between(a, z - 1)), a, z)), "snippets") if z - a < shards else (snippets(rows, length, shards, a, load_filter(segments, a, z)), None)
         found = part if found is None else found.unionAll(part)
     spans = marks(found, length, block)
     return rows.join(spans, ["doc", "tie"], "left")
@@ -512,4 +558,4 @@ def report(docs: DataFrame, *, length: int = LENGTH, block: int = BLOCK) -> Data
             )
 
     doc = F.when(F.col("doc") != _SMALLEST, F.col("doc")).alias("doc_id")
-    return found.select(doc, "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.select(doc, "text", "spans").mapInArrow(X.tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
