@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import reference as ref
 from conftest import prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepanel.llm import bloom_lm, packing, pii, quality, tokens, toxicity, warc
@@ -47,14 +48,83 @@ def test_digit_permutation(n):
 def test_surrogates_are_checked(spark, hard, nothing, monkeypatch):
     rows = [(i, f"call 212-555-{i:04d} now") for i in range(60)] + [(99, "call 212-555-0001 now"), (100, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.report(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.report(df, key=b"k").collect()}
     new = [out[i][5:17] for i in range(60)]
     assert len(set(new)) == 60 and not set(new) & {f"212-555-{i:04d}" for i in range(60)} and out[99] == out[1] and out[100] is None
     entities = spark.createDataFrame([("phone", f"555{i:04d}") for i in range(60)], "kind string, canon string")
     table = pii.redraw(entities, b"k").collect()
     assert len({r["surrogate"] for r in table}) == 60
-    got = pii.replace(hard, result="found")
-    assert got.columns == [*hard.columns, "found"] and got.count() == hard.count() and pii.report(nothing).count() == 0
+    got = pii.replace(hard, key=b"k", result="found")
+    assert got.columns == [*hard.columns, "found"] and got.count() == hard.count() and pii.report(nothing, key=b"k").count() == 0
+
+
+def changed(text, key=b"k"):
+    """The text with each mention's surrogate, and (old, new, kind) of them."""
+    parts, left, out = [], 0, []
+    for a, z, k, c in pii.mentions(text):
+        new = pii.dressed(text[a:z], k, pii.surrogate(key, k, c))
+        parts += [text[left:a], new]
+        out.append((text[a:z], new, k))
+        left = z
+    return "".join([*parts, text[left:]]), out
+
+
+def test_names_keep_gender_script_and_coreference():
+    _, found = changed("Mrs Beatrix Potter and Ms Aiko Tanaka met Mr Bogdan Tanaka")
+    new = {old: s for old, s, _ in found}
+    assert set(new) == {"Beatrix", "Potter", "Aiko", "Tanaka", "Bogdan"} and len(set(new.values())) == 5
+    ends = lambda g: tuple(pii._ENDS["latin", g])
+    assert new["Beatrix"].endswith(ends("f")) and new["Aiko"].endswith(ends("f")) and new["Bogdan"].endswith(ends("m"))
+    for name, low, high in (("Παπαδόπουλος", "Ͱ", "Ͽ"), ("王小明", "一", "鿿"), ("Ковалёва", "Ѐ", "ӿ"), ("כהןלוי", "֐", "׿"), ("김철수", "가", "힣")):
+        text, found = changed(f"Mr {name} came")
+        assert name not in text and len(found) == 1 and all(low <= c <= high for c in found[0][1]), text
+    text, found = changed("Dr Smith met John Smith, and Smith left with John; SMITH called. A smith is no Smithson.")
+    new = {old: s for old, s, _ in found}
+    assert "Smith " not in text and "SMITH" not in text and text.endswith("A smith is no Smithson.")
+    assert text.count(new["Smith"]) == 3 and new["SMITH"] == new["Smith"].upper() and text.count(new["John"]) == 2
+
+
+def test_formats_are_kept():
+    kinds = lambda x: ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in x]
+    for text in ("token: AbCdEfGh12345678XyZw", "password=aaaaBBBB+cccc/9999", "api_key: 0123456789ABCDEF0123", "secret: deadbeefdeadbeef01"):
+        (old, new, kind), = changed(text)[1]
+        assert kind == "secret" and new != old and kinds(new) == kinds(old)
+    assert all(c in "0123456789abcdef" for c in changed("secret: deadbeefdeadbeef01")[1][0][1])
+    _, found = changed("a.b@mail.example.co.uk and c@example.co.uk, x@example.com")
+    hosts = [new.split("@")[1] for _, new, _ in found]
+    assert [h.count(".") for h in hosts] == [3, 2, 1] and hosts[0].endswith(".co.uk") and hosts[0].split(".")[1] == hosts[1].split(".")[0] and hosts[2].endswith(".com")
+    same = [c for *_, c in pii.mentions("+49 30 1234567, 030 1234567, +49301234567, (030) 1234567")]
+    assert same == ["301234567"] * 4
+    text, found = changed("+49 30 1234567, 030 1234567")
+    assert text.startswith("+49 ") and ", 0" in text and found[0][1].replace(" ", "") == found[1][1].replace(" ", "")
+    assert [k for *_, k, _ in pii.mentions("078-05-1120 then 2001:db8::ff00:42:8329 and fe80::1, 12:30:45, a::b::c")] == ["identity", "ip6", "ip6"]
+    new = changed("2001:db8::ff00:42:8329")[1][0][1]
+    assert new.startswith("2001:") and new != "2001:db8::ff00:42:8329"
+
+
+def test_replacing_equals_a_plain_loop(spark, hard_texts):
+    """All rows at once against mention by mention, with collisions drawn again in the same order."""
+    key = b"another"
+    texts = [*hard_texts, "call 12-345-678 or 12-345-679, 12-345-670", "Mrs Anna Meier (anna.meier@web.example.de), Meier again", "card 4111 1111 1111 1111, 10.1.2.3 and ::ffff:1", "token = 0123456789abcdef0123", "Herr Dr Weiß, Prof. Ωμέγα", "call 12-345-678 or 12-345-679, 12-345-670"]
+    entities = {(k, c) for t in texts for *_, k, c in pii.mentions(t or "")}
+    attempt = {e: 0 for e in entities if e[0] != "given"}
+    while True:
+        made = {}
+        for e, n in attempt.items():
+            made.setdefault((e[0], pii.surrogate(key, *e, n)), []).append((n, e[1], e))
+        bad = {e for group in made.values() for *_, e in sorted(group)[1:]} | {e for (k, s), group in made.items() if (k, s) in attempt for *_, e in group}
+        if not bad:
+            break
+        attempt.update({e: attempt[e] + 1 for e in bad})
+    want = []
+    for i, t in enumerate(texts):
+        parts, left = [], 0
+        for a, z, k, c in pii.mentions(t or ""):
+            parts += [t[left:a], pii.dressed(t[a:z], k, pii.surrogate(key, k, c, attempt.get((k, c), 0)))]
+            left = z
+        want.append((i, None if t is None else "".join([*parts, t[left:]])))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted((r["doc_id"], r["text"]) for r in pii.report(df, key=key).collect()) == want
 
 
 def test_prefilter_keeps_all_that_is_found():
@@ -225,6 +295,29 @@ def test_toxicity(spark, hard, nothing):
     assert set(toxicity.report(docs, lab.limit(0)).toPandas().predicted) == {0}
 
 
+def test_label_model_finds_planted_accuracies():
+    """Without any annotation: accuracies of voters for both classes, and a group that copies one another."""
+    r = np.random.default_rng(4)
+    n, prior = 6000, 0.3
+    truth = r.random(n) < prior
+    sign = np.array([1, 1, 1, 1, -1, -1, -1, 1, 1])
+    right, wrong = np.array([0.8, 0.7, 0.6, 0.5, 0.8, 0.7, 0.6]), np.array([0.03, 0.05, 0.04, 0.05, 0.05, 0.03, 0.06])
+    fires = np.stack([r.random(n) < np.where(truth == (s > 0), a, b) for s, a, b in zip(sign, right, wrong)], axis=1)
+    fires = np.column_stack([fires, fires[:, 3], fires[:, 3]]).astype(np.int8)  # two voters repeat the fourth
+    model = toxicity.LabelModel()
+    post = model.fit(fires, sign, prior)
+    assert ((post >= 0.5) == truth).mean() > 0.85
+    true_class = np.where(sign[None, :] > 0, truth[:, None], ~truth[:, None])
+    want = (fires * true_class).sum(axis=0) / fires.sum(axis=0)
+    assert np.abs(model.accuracy - want).max() < 0.12
+    assert model.correlation[3, 7] > 0.99 and abs(model.correlation[0, 1]) < 0.2
+    assert model.weight[7] < 0.4 < model.weight[0]
+    # an annotator of known quality is recovered too
+    marked = np.where(r.random(n) < 0.9, truth, ~truth).astype(int)
+    model.fit(fires, sign, prior, marked)
+    assert abs(model.annotator[1] - 0.9) < 0.06 and abs(model.annotator[0] - 0.1) < 0.06
+
+
 # operator 9
 
 
@@ -291,7 +384,7 @@ def test_url_keys():
     assert warc.url_key("https://m.example.org") == "org,example,m)/" and warc.url_key("") == ")/" and warc.url_key("http://[bad") == "http://[bad"
 
 
-def test_archives(spark, tmp_path):
+def test_archives(spark, tmp_path, monkeypatch):
     big, other = "<p>" + "x" * 1200, "é" * 600
     pages = [(1, "http://a.com/", big), (5, "http://b.com/1", big), (3, None, big), (2, "http://a.com/\r\nx", "small"), (4, "http://a.com/z", "small"), (6, "u", None), (7, "v", other), (8, "w", other), (8, "w", other), (9, "h", "HTTP\r\n\r\nWARC/1.0\r\n\r\nbody\r\n\r\n"), (None, "n", big)]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id bigint, url string, html string, record_type string").repartition(3)
@@ -306,5 +399,19 @@ def test_archives(spark, tmp_path):
     order = [(r["url_key"], r["captured"]) for r in sorted(got, key=lambda r: (r["range"], r["position"]))]
     assert order == sorted(order)
     assert warc.report(df.limit(0)).count() == 0
+    # ranges of two captures, also within one URL; an archive of its own for each large record
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    again = warc.merge_runs(warc.index_runs(spark, str(tmp_path / "w")), captures=2).collect()
+    assert sorted(map(str, ((r["url_key"], r["page_id"], r["record_offset"]) for r in again))) == sorted(map(str, ((r["url_key"], r["page_id"], r["record_offset"]) for r in got)))
+    keys = [(r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0) for r in sorted(again, key=lambda r: (r["range"], r["position"]))]
+    assert keys == sorted(keys)
+    long = [(i, "u", "y" * n + str(i)) for i, n in enumerate((10, 10, 900, 900, 5000, 90_000, 90_000))]
+    warc.write_archives(spark.createDataFrame(long, "page_id bigint, url string, html string").coalesce(1), str(tmp_path / "large"), records_per_file=8)
+    sizes = sorted((len(list(warc.parse(f.read_bytes()))), f.stat().st_size) for f in (tmp_path / "large").rglob("part*"))
+    assert sum(n for n, _ in sizes) == len(long) and all(n == 1 or size < 8000 for n, size in sizes)
+    # payloads that only their digests make equal are none
+    pairs = [(1, "u", "a" * 1000), (2, "u", "a" * 1000), (3, "u", "b" * 1000), (4, "u", "c" * 1000)]
+    clash = warc.with_decisions(spark.createDataFrame(pairs, "page_id bigint, url string, html string"), digest=lambda c: F.lit("same"))
+    assert {r["page_id"]: r["refers_to"] for r in clash.collect()} == {1: 2, 2: None, 3: None, 4: None}
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nWARC-Date: d\r\nWARC-Record-ID: <urn:capture:1>\r\nWARC-Payload-Digest: sha1:00\r\nContent-Length: 23\r\n\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"))

@@ -1,27 +1,36 @@
 """Surrogates for personal data.
 
-E-mail addresses, telephone and card numbers, IPv4 addresses, secrets and
-person names are detected in whole texts.  Each is reduced to a canonical form
-(digits alone, lower case, name parts), so that mentions in different formats
-are one entity; a keyed function of the canonical form gives its surrogate, and
-the mention's own format (separators, case, script, gender of a given name,
-country prefix, validity of a check digit) is laid over it.  Digits go through a
-keyed Feistel permutation, so numbers of one shape never collide; the distinct
-entities of the whole corpus are nevertheless checked: a surrogate that two
-entities share, or that is itself an entity, is drawn again with the next
-tweak.  The few redrawn ones are broadcast.
+E-mail addresses, telephone, card and identity numbers, IP addresses, secrets
+and person names are detected in whole texts.  Each is reduced to a canonical
+form (digits alone, lower case, name parts), so that mentions in different
+formats are one entity; a keyed function of the canonical form gives its
+surrogate, and the mention's own format (separators, case, script, gender of a
+given name, country prefix, labels of a domain, kinds of characters, validity of
+a check digit) is laid over it.  Digits go through a keyed Feistel permutation,
+so numbers of one shape never collide; the distinct entities of the whole corpus
+are nevertheless checked: a surrogate that two entities share, or that is itself
+an entity, is drawn again with the next tweak.  The few redrawn ones are
+broadcast.
+
+A person is a title and one or two names, or a listed given name and a family
+name.  Where a text has such a full mention, its names are also taken where they
+stand alone.  Other lone given names are not taken for persons, as they may be
+ordinary words.  A name's gender is that of the list, else of its title; its
+surrogate is of the script it is in.
 
 Null texts stay null, texts without entities are unchanged, rows that repeat are
-treated alike.  Lone given names, without a title or a family name, are not
-taken for persons, as they may be ordinary words.
+treated alike, an empty table gives no rows, columns beside the text are passed
+on.  A text is looked at whole, one at a time.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
 import ipaddress
+import itertools
 import re
 
 import numpy as np
@@ -35,7 +44,6 @@ from . import textops as X
 
 #: redrawn surrogates that are broadcast; more are an error of the key, not of the data
 REDRAWN = 1_000_000
-KEY = b"replace this key in production"
 
 # Given names by script and gender, titles by gender
 GIVEN = {
@@ -46,7 +54,17 @@ GIVEN = {
 }
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Госпожа".split(), "m": "Mr Herr Monsieur Señor Sr Signor Господин".split(), "": "Dr Prof".split()}
 _SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ka ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo wa".split(), "cyrillic": "ба бе во га да ко ла ле ло ма ме мо на не но ра ре ро са се со та то".split()}
-_ENDS = {"latin": "ck ll mann n r rn s sen tt x".split(), "cyrillic": "в н р к".split()}
+#: ends of family names, and of given names by gender
+_ENDS = {
+    ("latin", "family"): "ck ll mann n r rn s sen tt x".split(), ("cyrillic", "family"): "в н р к".split(),
+    ("latin", "f"): "lia na nia ra tte".split(), ("latin", "m"): "bert mund ric ton win".split(), ("latin", ""): "lin ny rey sse".split(),
+    ("cyrillic", "f"): "ла на ра я".split(), ("cyrillic", "m"): "мир рад слав тин".split(), ("cyrillic", ""): "ль нь".split(),
+}
+_HAN = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗明华强伟芳娜敏静丽军文平"
+#: labels below a country's that are part of a public suffix
+_SECOND = "ac co com edu gov net org".split()
+#: country codes of two digits; those that begin with 1 or 7 have one, all others three
+_CODES = {*map(str, [20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98])}
 
 _names = {n.lower(): key for key, names in GIVEN.items() for n in names}
 _titles = {n.lower(): g for g, names in TITLES.items() for n in names}
@@ -56,8 +74,10 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)"
     r"|(?P<secret>(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{16,}))"
     r"|(?P<card>(?<![\d.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{3,4}(?![\d-]))"
+    r"|(?P<identity>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-]))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]*::|(?:[0-9A-Fa-f]{1,4}:){7})[0-9A-Fa-f:]{3,39}(?![\w:]))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{8,14}(?![\w-])|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])))"
 )
 _TITLE = "|".join(n for names in TITLES.values() for n in names)
 _KNOWN = "|".join(x for names in GIVEN.values() for n in names for x in (n, n.upper()))
@@ -104,8 +124,11 @@ def _use(ip: str) -> str:
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """Canonical surrogate of a canonical entity."""
     tweak = f"{kind}/{attempt}"
-    if kind == "phone":
-        return permuted(key, tweak, canon)
+    if kind in ("phone", "identity"):
+        x = permuted(key, tweak, canon)
+        while x[0] == "0" != canon[0]:  # walks on: a number without a leading zero stands for one
+            x = permuted(key, tweak, x)
+        return x
     if kind == "card":
         if luhn(canon) == 0:
             body = permuted(key, tweak, canon[:-1])
@@ -125,46 +148,83 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
             out = str(ipaddress.IPv4Address(x))
             if _use(out) == kept:
                 return out
+    if kind == "ip6":
+        x = int(ipaddress.IPv6Address(canon))
+        mask = (1 << 56) - 1
+        hi, lo = (x >> 56) & mask, x & mask
+        for r in range(8):  # a permutation of the bits below the prefix, which keeps an address of its use
+            hi, lo = lo, hi ^ int.from_bytes(_mac(key, tweak, str(r), str(lo))[:7], "big")
+        return str(ipaddress.IPv6Address((x >> 112 << 112) | (hi << 56) | lo))
     if kind == "email":
         local, domain = canon.rsplit("@", 1)
-        host, _, top = domain.rpartition(".")
-        word = _word(key, tweak + "/host", host, 10)
-        stream = _mac(key, tweak, "local", canon)
-        out = []
-        for i, c in enumerate(local):
-            if i % 32 == 0 and i:
-                stream = _mac(key, tweak, str(i), canon)
-            x = stream[i % 32]
-            out.append(str(x % 10) if c.isdigit() else c if not c.isalpha() else chr(ord("а") + x % 32) if "Ѐ" <= c <= "ӿ" else chr(ord("a") + x % 26))
-        return f"{''.join(out)}@{word}.{top}"
+        return f"{_characters(key, tweak + '/local', local, canon)}@{_domain(key, tweak, domain)}"
     if kind == "secret":
-        alphabet = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", canon) else "abcdefghijklmnopqrstuvwxyz0123456789"
-        out, i = "", 0
-        while len(out) < len(canon):
-            out += "".join(alphabet[x % len(alphabet)] for x in _mac(key, tweak, str(i), canon))
-            i += 1
-        return "".join(c if not o.isalnum() else x for o, c, x in zip(canon, canon, out))
+        return _characters(key, tweak, canon, canon, re.fullmatch("[0-9a-f]+|[0-9A-F]+", canon) is not None)
     script, gender, name = canon.split("/", 2)
     if kind == "given":
         own = [n.lower() for n in GIVEN[script, gender]]
         order = sorted(own, key=lambda n: _mac(key, tweak, script, gender, n))
         # one keyed cycle through the list: no name stands for itself
         return f"{script}/{gender}/{order[(order.index(name) + 1) % len(order)]}"
-    return f"{script}/{gender}/{_family(key, tweak, script, name)}"
+    return f"{script}/{gender}/{_name(key, tweak, script, 'family' if kind == 'family' else gender, name)}"
+
+
+def _stream(key: bytes, *parts: str):
+    for i in itertools.count():
+        yield from _mac(key, *parts, str(i))
+
+
+def _characters(key: bytes, tweak: str, shape: str, of: str, hexadecimal: bool = False) -> str:
+    """Keyed characters of the same kinds: digits, letters of a case and script; others are kept."""
+    x, out = _stream(key, tweak, of), []
+    for c in shape:
+        if c.isdigit():
+            out.append(str(next(x) % 10))
+        elif c.isalpha():
+            letters = "abcdef" if hexadecimal else _letters(c.lower())
+            y = letters[(next(x) << 8 | next(x)) % len(letters)]
+            out.append(y.upper() if c.isupper() else y)
+        else:
+            out.append(c)
+    return "".join(out)
 
 
-def _word(key: bytes, tweak: str, text: str, size: int) -> str:
-    return "".join(chr(ord("a") + x % 26) for x in _mac(key, tweak, text)[:size])
+def _domain(key: bytes, tweak: str, domain: str) -> str:
+    """A domain of as many labels; a label has one surrogate under one public suffix, which stays."""
+    labels = domain.split(".")
+    public = 2 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND else 1
+    suffix = ".".join(labels[-public:])
+    return ".".join([*(_characters(key, f"{tweak}/label/{suffix}", x, x) for x in labels[:-public]), suffix])
 
 
-def _family(key: bytes, tweak: str, script: str, name: str) -> str:
-    m = _mac(key, tweak, script, name)
-    s, e = _SYLLABLES[script], _ENDS[script]
-    return "".join(s[m[i] % len(s)] for i in range(4)) + e[m[5] % len(e)]
+def country(digits: str) -> int:
+    """How many leading digits of an international number are its country code."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _CODES else 3
+
+
+@functools.lru_cache(4096)
+def _letters(c: str) -> str:
+    """Letters that may stand for the lower-case letter c: those of its script."""
+    if "a" <= c <= "z":
+        return "abcdefghijklmnopqrstuvwxyz"
+    if "一" <= c <= "鿿":
+        return _HAN
+    start, size = (0xAC00, 0x2BA4) if "가" <= c <= "힣" else (ord(c) & ~0x7F, 0x80)
+    own = [chr(x) for x in range(start, start + size) if chr(x).isalpha() and chr(x).islower() == c.islower() and not chr(x).isupper() and len(chr(x).upper()) == 1]
+    return "".join(own) or c
+
+
+def _name(key: bytes, tweak: str, script: str, what: str, name: str) -> str:
+    if script not in _SYLLABLES:
+        return _characters(key, f"{tweak}/{what}", name, name)
+    m = _mac(key, tweak, script, what, name)
+    s, e = _SYLLABLES[script], _ENDS[script, what]
+    return "".join(s[m[i] % len(s)] for i in range(4 if what == "family" else 3)) + e[m[5] % len(e)]
 
 
 def _script(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    c = word[0].lower()
+    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "latin" if c < "ɐ" else "other"
 
 
 def _like(word: str, shape: str) -> str:
@@ -181,53 +241,81 @@ def mentions(text: str, names: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, in order."""
     out = []
     for m in PATTERN.finditer(text):
-        if m["email"]:
-            out.append((*m.span("email"), "email", m["email"].lower()))
-        elif m["secret"]:
-            out.append((*m.span("value"), "secret", m["value"].lower() if re.fullmatch("[0-9A-Fa-f]+", m["value"]) else m["value"]))
-        elif m["card"]:
-            out.append((*m.span("card"), "card", re.sub(r"\D", "", m["card"])))
-        elif m["ip"]:
-            out.append((*m.span("ip"), "ip", ".".join(str(int(x)) for x in m["ip"].split("."))))
+        kind = m.lastgroup if m.lastgroup not in ("value", "sep") else "secret" if m["secret"] else "card"
+        start, end = m.span(kind)
+        if kind == "email":
+            out.append((start, end, kind, m[kind].lower()))
+        elif kind == "secret":
+            out.append((*m.span("value"), kind, m["value"]))
+        elif kind in ("card", "identity"):
+            out.append((start, end, kind, re.sub(r"\D", "", m[kind])))
+        elif kind == "ip":
+            out.append((start, end, kind, ".".join(str(int(x)) for x in m[kind].split("."))))
+        elif kind == "ip6":
+            try:
+                out.append((start, end, kind, str(ipaddress.IPv6Address(m[kind]))))
+            except ValueError:
+                pass
         else:
-            start = m.start("phone")
-            prefix = re.match(r"\+\d{1,3}[ .(-]", m["phone"])
-            start += prefix.end() - (prefix.group()[-1] == "(") if prefix else 0
-            national = re.sub(r"\D", "", text[start : m.end()])
+            if m[kind][0] == "+":
+                digits = re.match(r"\+(\d+)", m[kind])[1]
+                start += 1 + (country(digits) if len(digits) > 3 else len(digits))
+                start += re.match(r"[ .-]*", text[start:end]).end()
+            national = re.sub(r"\D", "", text[start:end])
+            # a trunk zero is part of the format
             if 7 <= len(national) <= 12:
-                out.append((start, m.end(), "phone", national))
+                if national[0] == "0":
+                    start = text.index("0", start) + 1
+                    national = national[1:]
+                out.append((start, end, "phone", national))
     if not names:
         return out
     taken = [(a, z) for a, z, *_ in out]
+    people: dict[str, tuple[str, str]] = {}
     for m in NAMES.finditer(text):
         if any(a < m.end() and m.start() < z for a, z in taken):
             continue
         given, family = ("given", "family") if m["title"] else ("first", "last")
         known = _names.get(m[given].lower())
+        script = _script(m[given])
         if known:
-            out.append((*m.span(given), "given", f"{known[0]}/{known[1]}/{m[given].lower()}"))
+            entity = ("given", f"{known[0]}/{known[1]}/{m[given].lower()}")
+        elif m[family]:
+            entity = ("called", f"{script}/{_titles[m['title'].lower()]}/{m[given].lower()}")
         else:
             # after a title alone stands a family name
-            out.append((*m.span(given), "family", f"{_script(m[given])}//{m[given].lower()}"))
+            entity = ("family", f"{script}//{m[given].lower()}")
+        out.append((*m.span(given), *entity))
+        people.setdefault(m[given].lower(), entity)
         if m[family]:
-            out.append((*m.span(family), "family", f"{_script(m[family])}//{m[family].lower()}"))
+            entity = ("family", f"{_script(m[family])}//{m[family].lower()}")
+            out.append((*m.span(family), *entity))
+            people[m[family].lower()] = entity
+    if people:
+        # names of a full mention, where they stand alone
+        taken = sorted((a, z) for a, z, *_ in out)
+        starts = [a for a, _ in taken]
+        words = sorted(people, key=lambda n: (-len(n), n))
+        for m in re.finditer(rf"(?<![\w@.-])(?:{'|'.join(map(re.escape, words))})(?![\w@])", text, re.IGNORECASE):
+            i = bisect.bisect_right(starts, m.start())
+            if (i and taken[i - 1][1] > m.start()) or (i < len(taken) and taken[i][0] < m.end()) or m[0][0].islower():
+                continue
+            out.append((*m.span(), *people[m[0].lower()]))
     return sorted(out)
 
 
 def dressed(shape: str, kind: str, canon: str) -> str:
     """A canonical surrogate in a mention's own format."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "identity"):
         return _digits_like(canon, shape)
-    if kind in ("given", "family"):
+    if kind in ("given", "called", "family"):
         return _like(canon.split("/", 2)[2], shape)
-    if kind == "email":
-        return canon.upper() if shape.isupper() else canon
-    if kind == "secret":
+    if kind in ("email", "ip6"):
         return canon.upper() if shape.isupper() else canon
     return canon
 
 
-#: every kind of PATTERN holds one of these: an address its @, a secret = or :, the others digits
+#: every kind of PATTERN holds one of these: an address its @, a secret or IPv6 address = or :, the others digits
 _SIGNS = np.zeros(256, dtype=bool)
 _SIGNS[[*range(0x30, 0x3A), 0x40, 0x3D, 0x3A]] = True
 #: what NAMES begins with, a title or a given name as listed or in capitals: the last bytes, at most eight, by their number
@@ -282,7 +370,7 @@ def entities(docs: DataFrame, text: str) -> DataFrame:
             found = {(k, c) for _, t, named in _texts(b.column(0)) for _, _, k, c in mentions(t, named)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canon"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "kind string, canon string").distinct()
+    return docs.select(F.col(text).cast("string")).mapInArrow(X.tidy(run), "kind string, canon string").distinct()
 
 
 def drawn(rows: DataFrame, key: bytes) -> DataFrame:
@@ -293,7 +381,7 @@ def drawn(rows: DataFrame, key: bytes) -> DataFrame:
             k, c, a = (b.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([surrogate(key, *x) for x in zip(k, c, a)], pa.string())], names=["kind", "canon", "attempt", "surrogate"])
 
-    return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, surrogate string")
+    return rows.select("kind", "canon", "attempt").mapInArrow(X.tidy(run), "kind string, canon string, attempt int, surrogate string")
 
 
 def redraw(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
@@ -316,7 +404,7 @@ def redraw(found: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     raise RuntimeError("surrogates did not become distinct")
 
 
-def replace(docs: DataFrame, *, text: str = "text", key: bytes = KEY, result: str = "entities") -> DataFrame:
+def replace(docs: DataFrame, *, key: bytes, text: str = "text", result: str = "entities") -> DataFrame:
     """docs with surrogates in the text and an array column of (kind, start, end) in the new text."""
     moved = redraw(entities(docs, text), key).filter("attempt > 0").select("kind", "canon", "attempt")
     rows = moved.limit(REDRAWN + 1).collect()
@@ -357,10 +445,10 @@ def replace(docs: DataFrame, *, text: str = "text", key: bytes = KEY, result: st
             made = pa.array(spans, kind)
             yield pa.RecordBatch.from_arrays([*cols, made], names=[*b.schema.names, result])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(X.tidy(run), schema)
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, *, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities and their kinds, of every row."""
-    out = replace(docs.select("doc_id", "text"), **options)
+    out = replace(docs.select("doc_id", "text"), key=key)
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"))
