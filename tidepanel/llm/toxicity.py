@@ -1,19 +1,22 @@
 """Toxicity by weak supervision.
 
 Lexicon voters (words) and pattern voters (word beginnings, and each of them at
-least 2, 3 or 5 times in a text) are proposed from a bounded sample of labelled
-rows whose ids are not held out.  A generative label model, a mixture of two
-classes with a rate of firing for each voter and class, estimates the voters'
-accuracies by expectation maximisation on the sample's votes; correlations
-between voters given the class, estimated from its residuals, share out the
-weight of voters that say the same.  Its posterior labels train a linear
-classifier over hashed words and beginnings, which scores every document in one
-map pass.  labels, lang, source and doc_id are never inputs of a score.
+least 2, 3 or 5 times in a text), for toxic and for clean, are proposed from a
+bounded sample of labelled rows whose ids are not held out.  A generative label
+model, a mixture of two classes with a rate of firing for each voter and class,
+starts from the voters' majority and estimates their accuracies by expectation
+maximisation; the annotation of a row is one more voter, whose accuracy is
+estimated like the others'.  Correlations between voters given the class,
+estimated from the model's residuals, share out the weight of voters that say
+the same.  Its posterior labels train a linear classifier over hashed words and
+beginnings, which scores every document in one map pass.  labels, lang, source
+and doc_id are never inputs of a score.
 
 Texts are lower-cased; words are runs of ASCII letters, digits and non-ASCII
 characters.  Null and empty texts have the score of a text without features.
 Without labelled rows of both kinds every score is the share of toxic rows, or
-0.  Rows that repeat are scored each.
+0.  Rows that repeat are scored each, rows without an id too; an empty table
+gives no rows; other columns are not read.  A score of exactly 0.5 predicts 1.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from . import textops as X
 U64 = np.uint64
 #: labelled rows that are learned from, the first by a hash of their ids
 SAMPLE = 12_000
-VOTERS = 300
+VOTERS = 400
 FEATURES = 3000
 #: least labelled documents of a feature
 SUPPORT = 4
@@ -105,7 +108,7 @@ def support(sample: DataFrame) -> DataFrame:
                 bad = np.bincount(back, weights=toxic[i:j][row].astype(float), minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(bad), pa.array(np.bincount(back, minlength=len(u)) - bad)], names=["key", "toxic", "clean"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "key bigint, toxic bigint, clean bigint")
+    rows = sample.select("text", "toxic").mapInArrow(X.tidy(run), "key bigint, toxic bigint, clean bigint")
     return rows.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -124,7 +127,7 @@ def matrix(sample: DataFrame, keys: np.ndarray) -> tuple[list[np.ndarray], np.nd
                 cut = np.searchsorted(row[order], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at[order])), b.column(1).slice(i, j - i)], names=["at", "toxic"])
 
-    t = sample.select("text", "toxic").repartition(1 + runtime.shuffle_partitions(sample.sparkSession) // 4).mapInArrow(run, "at array<bigint>, toxic int").toArrow()
+    t = sample.select("text", "toxic").repartition(1 + runtime.shuffle_partitions(sample.sparkSession) // 4).mapInArrow(X.tidy(run), "at array<bigint>, toxic int").toArrow()
     return [np.asarray(x.values.to_numpy()) for x in t.column("at")] if t.num_rows else [], t.column("toxic").to_numpy()
 
 
@@ -134,30 +137,39 @@ def stems_of(keys: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Two-class mixture over votes: accuracies by EM, correlated voters share their weight.
+    """Two-class mixture over one-sided voters: accuracies by EM, correlated voters share their weight.
 
     A voter that does not fire abstains; that none fires is an event of its own.
-    The annotation of a labelled row is one more vote of a fixed accuracy.
     """
 
-    ANNOTATOR = 0.95
-
-    def fit(self, votes: np.ndarray, label: np.ndarray, prior: float, rounds: int = 10) -> np.ndarray:
-        """Posterior of the toxic class for each row of votes (0/1)."""
-        said = np.where(label == 1, 1.0, -1.0) * np.log(self.ANNOTATOR / (1 - self.ANNOTATOR))
-        post = 1 / (1 + np.exp(-said))
-        v = votes.astype(np.float64)
-        silent = (v.sum(axis=1) == 0).astype(float)
-        events = np.column_stack([v, silent])
+    def fit(self, fires: np.ndarray, sign: np.ndarray, prior: float, annotation: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
+        """Posterior of class 1 of each row.
+
+        fires: 0/1, a column a voter; sign: 1 or -1, the class that a voter speaks
+        for, which only the start uses; annotation: 0/1, one more voter.
+        """
+        v = fires.astype(np.float64)
+        said = v @ sign
+        start = said / (1 + v.sum(axis=1))
+        post = 1 / (1 + np.exp(-(4 * start + np.log(prior / (1 - prior)))))
+        events = np.column_stack([v, v.sum(axis=1) == 0])
         for _ in range(rounds):
-            self.rate = np.stack([((events * p[:, None]).sum(axis=0) + 0.05) / (p.sum() + 0.1) for p in (1 - post, post)]).clip(1e-5, 1 - 1e-5)
+            weight = np.stack([1 - post, post])
+            mass = weight.sum(axis=1)
+            self.rate = ((weight @ events + 0.05) / (mass[:, None] + 0.1)).clip(1e-5, 1 - 1e-5)
             # residual correlations of voters within the classes
             r = v - np.outer(1 - post, self.rate[0, :-1]) - np.outer(post, self.rate[1, :-1])
             sd = np.sqrt((r * r).mean(axis=0)) + 1e-9
             self.correlation = (r.T @ r) / len(v) / np.outer(sd, sd)
             self.weight = np.append(1 / np.clip(self.correlation, 0, 1).sum(axis=1), 1.0)
-            z = np.log(prior / (1 - prior)) + said + events @ (np.log(self.rate[1] / self.rate[0]) * self.weight)
+            z = np.log(prior / (1 - prior)) + events @ (np.log(self.rate[1] / self.rate[0]) * self.weight)
+            if annotation is not None:
+                self.annotator = ((weight @ annotation + 0.5) / (mass + 1)).clip(0.02, 0.98)  # P(marked) by class
+                z += np.where(annotation == 1, np.log(self.annotator[1] / self.annotator[0]), np.log((1 - self.annotator[1]) / (1 - self.annotator[0])))
             post = 1 / (1 + np.exp(-z.clip(-30, 30)))
+        #: how often a voter that fires speaks for the right class
+        spoken = np.where(sign > 0, self.rate[1, :-1] * mass[1], self.rate[0, :-1] * mass[0])
+        self.accuracy = spoken / np.maximum(self.rate[0, :-1] * mass[0] + self.rate[1, :-1] * mass[1], 1e-9)
         return post
 
 
@@ -200,15 +212,15 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[
     order = np.argsort(keys)
     keys, evidence, odds_ = keys[order], evidence[order], odds_[order]
     features_, label = matrix(texts, keys)
-    positive = np.flatnonzero(odds_ > 0)
-    voters = positive[np.argsort(-evidence[positive], kind="stable")][:VOTERS]
+    voters = np.concatenate([own[np.argsort(-evidence[own], kind="stable")][:VOTERS // 2] for own in (np.flatnonzero(odds_ > 0), np.flatnonzero(odds_ < 0))])
     number = np.full(len(keys), -1)
     number[voters] = np.arange(len(voters))
-    votes = np.zeros((len(label), max(1, len(voters))), np.int8)
+    fires = np.zeros((len(label), max(1, len(voters))), np.int8)
     for i, f in enumerate(features_):
         v = number[f]
-        votes[i, v[v >= 0]] = 1
-    posterior = LabelModel().fit(votes, label, bad / (bad + good))
+        fires[i, v[v >= 0]] = 1
+    sign = np.sign(odds_[voters]) if len(voters) else np.ones(1)
+    posterior = LabelModel().fit(fires, sign, bad / (bad + good), label)
     w, b = logistic(features_, posterior, len(keys))
     return keys, w, b
 
@@ -230,9 +242,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, doc_i
                     ok = at >= 0
                     z += np.bincount(row[ok], weights=w[at[ok]], minlength=j - i)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-z.clip(-30, 30))))], names=["doc_id", "score"])
-        X.release_powers()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(X.tidy(run), f"doc_id {kind}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
