@@ -3,32 +3,43 @@
 Pages become WARC/1.0 records written by Spark's own text writer, so archives
 can lie in any store that Spark reaches.  Of records with equal payloads of at
 least ``least`` bytes the one with the largest page_id is a response and the
-others are revisit records that hold HTTP headers only and refer to it.  The
-archives are read back as whole files of a bounded number of records; each
-gives a locally sorted run of captures.  Runs are cut by URL-key ranges, and in
-every range a loser tree merges them k ways by URL key, timestamp and id: the
-ranges in order are one globally ordered capture history.
+others are revisit records that hold HTTP headers only and refer to it; payloads
+are equal by digest and length, and those that then meet are compared in full.
+The archives are read back as whole files of a bounded number of records and,
+large records going to archives of their own size class, of bytes; each gives a
+locally sorted run of captures.  Runs stay as they are sorted: they are cut at the
+bounds of URL-key ranges, a range gets the packed pieces of all runs, and a loser
+tree merges these k ways by URL key, timestamp and id.  Ranges are bounded in
+captures, also within one URL; in order they are one globally ordered capture
+history.
 
 A null html is an empty payload, a null url an empty one.  Rows that repeat the
 page_id and payload of a response are responses too.  Null page_ids are smaller
-than any other.
+than any other.  An empty table gives no archive and no rows; columns beside
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
+from . import textops as X
 
 LEAST_BYTES = 1000
 RECORDS_PER_FILE = 1000
+#: bytes of an archive: a record of more has one to itself
+FILE_BYTES = 128 << 20
+#: captures that one task merges
+RANGE = 50_000
 #: digests that more than one page has, broadcast up to this number (about 60 bytes each)
 BROADCAST_DIGESTS = 500_000
 _NL = "\r\n"
@@ -87,20 +98,28 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (u.path.lower() or "/") + (f"?{query.lower()}" if query else "")
 
 
-def with_decisions(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def with_decisions(pages: DataFrame, least: int = LEAST_BYTES, digest=F.sha1) -> DataFrame:
     """page_id, url, html and payload_bytes, payload_digest, refers_to (null for responses)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html")).withColumns(
-        {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1(F.col("html").cast("binary"))}
+        {"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": digest(F.col("html").cast("binary"))}
     )
     same = (
         rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
     same, _ = runtime.written(same, "originals")
-    if same.count() <= BROADCAST_DIGESTS:
-        same = F.broadcast(same)
-    joined = rows.join(same, ["payload_digest", "payload_bytes"], "left")
+    few = same.count() <= BROADCAST_DIGESTS
+    known = F.broadcast(same) if few else same
+    # those that share a digest are compared in full, after a map-side combine: a group of any size sends one payload a task
+    both = ["payload_digest", "payload_bytes"]
+    differ = rows.filter(F.col("payload_bytes") >= least).join(known.select(*both), both, "left_semi").groupBy(*both).agg(F.min("html").alias("a"), F.max("html").alias("b")).filter("a != b").select(*both)
+    differ, _ = runtime.written(differ, "collisions")
+    joined = rows.join(known, both, "left")
+    if not differ.isEmpty():
+        clash = rows.join(F.broadcast(differ), both, "left_semi")
+        apart = clash.join(clash.groupBy("html").agg(F.max("page_id").alias("first")), "html").select(*joined.columns)
+        joined = joined.join(F.broadcast(differ), both, "left_anti").unionByName(apart)
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
@@ -137,26 +156,33 @@ def default_date() -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, *, least: int = LEAST_BYTES, captured: Column | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
-    rows = with_decisions(pages, least)
-    (
-        rows.select(record(captured if captured is not None else default_date()).alias("value"))
-        .write.option("lineSep", _NL + _NL).option("maxRecordsPerFile", records_per_file).text(path)
-    )
+    """Archives below path, a folder for each size class of records: eight times larger ones go an eighth as many to a file."""
+    smallest = FILE_BYTES // records_per_file
+    kind_of = lambda size: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / smallest) / 3)).cast("int")
+    kinds = {r["kind"] for r in pages.select(kind_of(F.coalesce(F.octet_length("html"), F.lit(0))).alias("kind")).distinct().collect()}  # a few powers of eight
+    rows = with_decisions(pages, least).withColumn("kind", kind_of(F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(F.lit(0))))
+    for k in sorted(kinds and kinds | {0}):
+        (
+            rows.filter(F.col("kind") == k).select(record(captured if captured is not None else default_date()).alias("value"))
+            .write.option("lineSep", _NL + _NL).option("maxRecordsPerFile", max(1, records_per_file >> (3 * k))).text(f"{path}/size={k}")
+        )
+
+
+_END = re.compile(b"\r\n\r\n")
 
 
 def parse(content) -> Iterator[dict]:
-    """Records of one archive, payloads checked against their digests."""
+    """Records of one archive, payloads checked against their digests; nothing of it is copied."""
     view, at, end = memoryview(content), 0, len(content)
-    raw = bytes(view)
     while at < end:
-        head = raw.find(b"\r\n\r\n", at)
-        lines = raw[at:head].decode().split("\r\n")
+        head = _END.search(view, at).start()
+        lines = bytes(view[at:head]).decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         body, size = head + 4, int(fields["Content-Length"])
-        http = raw.find(b"\r\n\r\n", body, body + size)
-        declared = int(next(x for x in raw[body:http].split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+        http = _END.search(view, body, body + size).start()
+        declared = int(next(x for x in bytes(view[body:http]).split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
         payload = view[http + 4 : body + size]
         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if fields["WARC-Type"] == "response" and (len(payload) != declared or hashlib.sha1(payload).hexdigest() != digest):
@@ -188,12 +214,11 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=_key)
                 yield _batch(rows, _SCHEMA)
 
-    return archives.mapInArrow(run, _INDEX)
+    return archives.mapInArrow(X.tidy(run), _INDEX)
 
 
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 _SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in _INDEX.split(", ")])
-_MERGED = pa.schema([*_SCHEMA, ("range", pa.int32()), ("position", pa.int64())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -201,29 +226,58 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Captures in global order of (range, position): runs merged range by range."""
-    parts = runtime.shuffle_partitions(runs.sparkSession)
-    # nulls never reach the keys' comparison; ties of all keys lie in one run each
-    dealt = runs.repartitionByRange(parts, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id", "record_offset")
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    url, date, page, offset = (batch.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "record_offset"))
+    return [(u, d, p is not None, p or 0, o) for u, d, p, o in zip(url, date, page, offset)]
 
-    def run(batches):
-        cut: dict[str, list] = {}
+
+def bounds(runs: DataFrame, captures: int) -> list[tuple]:
+    """Lower bounds of key ranges of about so many captures, but the first: the least keys of Spark's range partitions."""
+    n = runs.count()
+    parts = max(runtime.shuffle_partitions(runs.sparkSession), -(-n // captures))
+    key = [F.col("url_key"), F.col("captured"), F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), F.col("record_offset")]
+    keys = runs.select(F.struct(*(c.alias(f"k{i}") for i, c in enumerate(key))).alias("k")).repartitionByRange(parts, "k")
+    least = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min("k").alias("k")).collect()  # one row a range
+    return sorted(tuple(r["k"]) for r in least)[1:]
+
+
+def merge_runs(runs: DataFrame, captures: int = RANGE) -> DataFrame:
+    """Captures in global order of (range, position): runs, each sorted, merged range by range."""
+    edges = bounds(runs, captures)
+
+    def cut(batches):
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                cut.setdefault(row[0], []).append((_key(row), row))
-        number = TaskContext.get().partitionId()
-        out, position = [], 0
-        for _, row in LoserTree([iter(x) for x in cut.values()]):
-            out.append((*row, number, position))
-            position += 1
-            if len(out) == 10_000:
-                yield _batch(out, _MERGED)
-                out = []
-        if out:
-            yield _batch(out, _MERGED)
-
-    return dealt.mapInArrow(run, f"{_INDEX}, range int, position bigint")
+            run = b.column("run").to_pylist()
+            key = _keys(b)
+            out = []
+            i = 0
+            while i < b.num_rows:  # as long as it stays in one run and range: a sorted piece
+                r = bisect.bisect_right(edges, key[i])
+                j = i + 1
+                while j < b.num_rows and run[j] == run[i] and (r == len(edges) or key[j] < edges[r]):
+                    j += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as w:
+                    w.write_batch(b.slice(i, j - i))
+                out.append((r, sink.getvalue()))
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([x.to_pybytes() for _, x in out], pa.binary())], names=["range", "piece"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        pieces = [pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks() for x in group.column("piece")]
+        start = 0
+        runs_, tables = [], []
+        for p in pieces:
+            runs_.append(zip(_keys(p.to_batches()[0]), range(start, start + p.num_rows)))
+            tables.append(p)
+            start += p.num_rows
+        order = [place for _, place in LoserTree(runs_)]
+        whole = pa.concat_tables(tables).take(pa.array(order, pa.int64()))
+        n = whole.num_rows
+        return whole.append_column("range", pa.array([group.column("range")[0].as_py()] * n, pa.int32())).append_column("position", pa.array(range(n), pa.int64()))
+
+    dealt = runs.mapInArrow(X.tidy(cut), "range int, piece binary")
+    return dealt.groupBy("range").applyInArrow(X.tidy_group(merge), f"{_INDEX}, range int, position bigint")
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -231,6 +285,8 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     spark = pages.sparkSession
     path = path or runtime.new_path(spark, "archives")
     write_archives(pages, path, **options)
+    if not runtime.exists(spark, path):
+        return spark.createDataFrame([], f"{_INDEX}, range int, position bigint")
     runs, _ = runtime.written(index_runs(spark, path), "runs")
     return merge_runs(runs)
 
