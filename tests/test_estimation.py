@@ -1,9 +1,12 @@
+from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
 from oracle import estimate as oracle
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import tidepanel as tp
 from tidepanel.plans import report
@@ -67,12 +70,17 @@ def test_recovers_parameters_and_flags(spark):
     assert both.dof == naive.n_instruments - few.n_instruments
     with pytest.raises(tp.PanelError):
         tp.diff_hansen_test(naive, few)
-    assert tp.plot_data(few)["title"].startswith("GMM Diagnostics (N=400")
+    assert tp.plot_data(few)["title"] == f"{few.n_obs} residuals of 400 ids"
     assert tp.plot_data(few, "residuals")["points"].count() == few.n_obs
     with pytest.raises(tp.PanelError):
         tp.plot_data(few, "nothing")
     text = str(few)
-    assert "Robust (cluster-sandwich)" in text and "L.y" in text
+    assert "errors clustered by id" in text and "L.y" in text
+    said = []
+    renamed = replace(few, rows=few.rows.withColumnsRenamed({"id": "firm", "t": "year"}), metadata=dict(few.metadata, ar={}))
+    assert tp.diagnose(renamed, said.append, id_col="firm", time_col="year") == found and not any("skipped" in x for x in said)
+    assert set(tp.diagnose(renamed, said.append)) == {"sargan", "jarque_bera", "pseudo_r2"} and any("skipped" in x for x in said)
+    few.release()
 
 
 def test_guards(spark):
@@ -110,8 +118,10 @@ def test_results_without_data():
     assert "exceeds groups" in tp.check_proliferation(m)
     assert [report.significance_stars(p) for p in (0.0001, 0.005, 0.03, 0.08, 0.2, float("nan"))] == ["***", "**", "*", ".", "", ""]
     text = str(m)
-    assert "chi2(8) = 5.0000" in text and "(p = 0.2000)" in text and "0.50000" in text and "..." in text
-    assert "Homoskedastic" in text and tp.formula(m) == "N/A"
+    assert "J = 5.0000, 8 degrees of freedom, p = 0.2000" in text and "0.50000" in text and m.coef_names[1] in text
+    assert "errors of equal variances" in text and tp.formula(m) == "N/A"
+    assert (tp.coefnames(m), tp.ngroups(m), tp.ninstruments(m), tp.is_robust(m), tp.is_windmeijer(m)) == (m.coef_names, 5, 10, False, False)
+    assert tp.coef(m) is m.coef and tp.vcov(m) is m.vcov
     assert tp.confint(m)[0] == pytest.approx([0.5 - 0.1959963985, 0.5 + 0.1959963985])
     assert (tp.dof(m), tp.dof_residual(m), tp.nobs(m), tp.nobs(m, True)) == (2, 13, 15, 5)
     assert tp.diff_hansen_test(result(), result(n_instruments=11, j_stat=3.0)).stat == 2.0
@@ -127,3 +137,14 @@ def test_qq_has_every_residual(spark):
     assert len(points) == len(e) > 1000
     assert points["sample"].to_numpy() == pytest.approx((e - e.mean()) / e.std(ddof=1))
     assert points["theoretical"].to_numpy() == pytest.approx([NormalDist().inv_cdf((i + 0.5) / len(e)) for i in range(len(e))])
+
+
+def test_residual_positions_at_size(spark):
+    """Every place once, in order of id and row, over several partitions that are dealt by samples."""
+    rows = spark.range(300_000, numPartitions=8).select((F.col("id") % 40_000).alias("id"), F.col("id").alias("row_seq"), F.rand(3).alias("std_resid"))
+    out = report._positions(rows, ["id", "row_seq"])
+    got = out.agg(F.count_distinct("idx").alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b")).collect()[0]
+    assert tuple(got) == (300_000, 1, 300_000)
+    w = Window.orderBy("idx")
+    before = out.withColumn("prior", F.lag(F.struct("id", "row_seq")).over(w))
+    assert before.filter("struct(id, row_seq) <= prior").count() == 0

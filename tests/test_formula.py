@@ -3,15 +3,18 @@ import pytest
 from tidepanel.functions.formula import Formula, FormulaError, lag, lag_orders, parse_formula, parse_term
 
 
-@pytest.mark.parametrize("text", ["y ~ ", " ~ x", "y ~ x + y", "y ~ x + x", "", "  ", "y + x", "y ~ x ~ z", "y ~ + +"])
-def test_bad_formulas(text):
-    with pytest.raises(FormulaError):
-        parse_formula(text)
+def test_bad_formulas():
+    left, right = "wage", "hours + lag(wage)"
+    sides = {"two marks": f"{left} ~ {right} ~ age", "no mark": f"{left} + {right}", "nothing on the left": f"~ {right}", "nothing on the right": f"{left} ~\t", "only signs on the right": f"{left} ~ + + +", "no text": " \n"}
+    terms = {"a term twice": [*right.split(" + "), "hours"], "the response on the right": [left, "hours"]}
+    for text in [*sides.values(), *(f"{left} ~ {' + '.join(t)}" for t in terms.values())]:
+        with pytest.raises(FormulaError):
+            parse_formula(text)
 
 
 def test_good_formulas():
-    assert parse_formula("y ~ x1 + + x2") == ("y", ["x1", "x2"])
-    assert parse_formula("gdppc ~ lag(gdppc) +  investment + schooling ") == ("gdppc", ["lag(gdppc)", "investment", "schooling"])
+    terms = ["lag(wage, 1:2)", "hours", "log(age)"]
+    assert parse_formula("wage~" + "+".join(terms)) == ("wage", terms) == parse_formula("  wage ~ +" + " +  + ".join(terms) + "+")
     assert parse_formula(Formula("y", [1, lag("y"), lag("x", "0:1")])) == ("y", ["lag(y)", "lag(x, 0:1)"])
 
 

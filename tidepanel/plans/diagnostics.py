@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,9 +15,9 @@ from .gmm import fitted_value
 
 
 def fitted_rows(m: PanelResult) -> DataFrame:
-    """(id, t, is_level, row_seq, y, fitted, residual, x), lazily."""
+    """(id, t, is_level, row_seq, y, fitted, residual, x), lazily; id and t where the rows have them."""
     f = fitted_value(m.coef)
-    return m.rows.select("id", "t", "is_level", "row_seq", "y", f.alias("fitted"), (F.col("y") - f).alias("residual"), "x")
+    return m.rows.select(*(c for c in ("id", "t") if c in m.rows.columns), "is_level", "row_seq", "y", f.alias("fitted"), (F.col("y") - f).alias("residual"), "x")
 
 
 def sargan_test(m: PanelResult) -> TestResult:
@@ -124,16 +125,19 @@ def jarque_bera_test(m: PanelResult) -> TestResult:
     return jarque_bera_from(mean["n"], s["m2"], s["m3"], s["m4"])
 
 
-def diagnose(m: PanelResult, out=print) -> dict:
-    """Print a report and return its tests."""
+def diagnose(m: PanelResult, out=print, *, id_col: str = "id", time_col: str = "t") -> dict:
+    """Print a report and return its tests; id_col and time_col name those columns of m.rows where they are others."""
     found: dict = {"sargan": sargan_test(m)}
     out("Diagnostics")
     s = found["sargan"]
     out(f"  {s.name}: chi2({s.dof}) = {s.stat:.4f}, p = {s.pvalue:.4f}")
-    if m.rows is not None and {"id", "t"} <= set(m.rows.columns):
+    if m.rows is not None and {id_col, time_col} <= set(m.rows.columns):
+        named = m if (id_col, time_col) == ("id", "t") else replace(m, rows=m.rows.withColumnsRenamed({id_col: "id", time_col: "t"}))
         for order in (1, 2):
-            a = found[f"ar{order}"] = ar_test(m, order)
+            a = found[f"ar{order}"] = ar_test(named, order)
             out(f"  {a.name}: z = {a.stat:.4f}, p = {a.pvalue:.4f}")
+    else:
+        out("  autocorrelation tests skipped: no id and time at hand")
     if m.rows is not None:
         j = found["jarque_bera"] = jarque_bera_test(m)
         out(f"  {j.name}: {j.stat:.4f}, p = {j.pvalue:.4f}")

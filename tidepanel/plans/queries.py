@@ -12,12 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.formula import TermSpec
+from ..functions.formula import Formula, TermSpec, lag, parse_formula, parse_term
+from ..functions.linalg import ridge_if_singular
 from ..operators import instruments as inst
 from ..operators import moments as mom
-from ..operators.prepare import balance, duplicates, prepare, transformed
-from ..specs import AndersonHsiao, DifferenceGMM, SystemGMM
+from ..operators.prepare import balance, duplicates, prepare, time_index, transformed
+from ..sources import tables
+from ..specs import AndersonHsiao, DifferenceGMM, PanelResult, Spec, SystemGMM
 from . import diagnostics as diag
+from . import gmm_sql as G
 from . import report
 from .gmm import estimate, fit
 
@@ -98,9 +101,9 @@ def _(spark, d):
 
 @query("time_index", f"WITH p AS ({PANELS['nation_qtr']}) SELECT t, CAST(dense_rank() OVER (ORDER BY t) AS INT) AS tidx FROM (SELECT DISTINCT t FROM p)")
 def _(spark, d):
-    # periods are few: the window is over the distinct periods alone
-    times = panel(spark, d, "nation_qtr").select("t").distinct()
-    return times.select("t", F.dense_rank().over(Window.orderBy("t")).alias("tidx"))
+    p = panel(spark, d, "nation_qtr")
+    times = [r["t"] for r in p.select("t").distinct().orderBy("t").collect()]  # periods: few by nature
+    return time_index(p, times).select("t", "tidx").distinct()
 
 
 def _frame(spark, d, p, formula, spec=DifferenceGMM(), **options):
@@ -391,48 +394,271 @@ def _(spark, d):
     return t.select("name", _r("estimate", 5).alias("estimate"), _r("std_error", 5).alias("std_error"), _r("z", 3).alias("z"), _r("lower", 5).alias("lower"), _r("upper", 5).alias("upper"))
 
 
+def _rounded(t: DataFrame, digits: int = 4) -> DataFrame:
+    ends = {"z": 2, "p": 4}
+    return t.select("name", *(_r(c, ends.get(c, digits)).alias(c) for c in ("estimate", "std_error", "z", "p", "lower", "upper")))
+
+
 def _full(spec, p="part_year", **options):
     def run(spark, d):
         m = fit(spec, panel(spark, d, p), formula="y ~ lag(y) + x", id_col="id", time_col="t", exog=["x"], **options)
-        return report.coefficients(spark, m)
+        return _rounded(report.coefficients(spark, m))
 
     return run
 
 
-query("dgmm_full")(_full(DifferenceGMM(robust=True)))
-query("dgmm_twostep_windmeijer_full")(_full(DifferenceGMM(robust=True, steps=2)))
-query("dgmm_collapsed_long_panel")(_full(DifferenceGMM(robust=True), "user_day", collapse=True))
-query("dgmm_time_effects")(_full(DifferenceGMM(robust=True), time_effects=True))
-query("fod_full")(_full(DifferenceGMM(robust=True), transform="fod"))
-query("sgmm_full")(_full(SystemGMM(robust=True)))
-query("sgmm_twostep_windmeijer_full")(_full(SystemGMM(robust=True, steps=2)))
+query("dgmm_full", G.query(_d("part_year"), G.coefficients()))(_full(DifferenceGMM(robust=True)))
+query("dgmm_twostep_windmeijer_full", G.query(_d("part_year"), G.coefficients(), steps=2))(_full(DifferenceGMM(robust=True, steps=2)))
+query("dgmm_twostep_naive_full", G.query(_d("part_year"), G.coefficients(), steps=2, windmeijer=False))(_full(DifferenceGMM(robust=True, steps=2, windmeijer=False)))
+query("dgmm_homoskedastic_full", G.query(_d("part_year"), G.coefficients(), robust=False))(_full(DifferenceGMM()))
+query("dgmm_collapsed_long_panel", G.query(_d("user_day"), G.coefficients(), collapse=True))(_full(DifferenceGMM(robust=True), "user_day", collapse=True))
+query("fod_full", G.query(_fod("part_year"), G.coefficients(), transform="fod"))(_full(DifferenceGMM(robust=True), transform="fod"))
+query("sgmm_full", G.query(_d("part_year"), G.coefficients(), "system"))(_full(SystemGMM(robust=True)))
+query("sgmm_collapsed_full", G.query(_d("cust_year"), G.coefficients(), "system", collapse=True, max_lags=2))(_full(SystemGMM(robust=True), "cust_year", collapse=True, max_lags=2))
+query("sgmm_twostep_windmeijer_full", G.query(_d("part_year"), G.coefficients(), "system", steps=2))(_full(SystemGMM(robust=True, steps=2)))
+_PERIODS = "list_concat(['L.y', 'x'], (SELECT list('t=' || t ORDER BY t) FROM tm WHERE tidx >= 3))"
+query("dgmm_time_effects", G.query(_d("part_year"), G.coefficients(_PERIODS), time_effects=True))(_full(DifferenceGMM(robust=True), time_effects=True))
+
+
+def _result(test) -> tuple:
+    return (test.name, round(float(test.stat), 3), int(test.dof), round(float(test.pvalue), 4))
+
+
+_TEST = "test string, stat double, dof bigint, pvalue double"
+_SARGAN = f"SELECT 'Sargan J-Test' AS test, round(j, 3) AS stat, CAST(width - k AS BIGINT) AS dof, round({G.chi2_sf('j', 'width - k')}, 4) AS pvalue FROM r"
+
+
+def _ar_sql(order: int) -> str:
+    return f"SELECT 'AR({order}) Test', round(z, 3), 0, round({G.two_sided('z')}, 4) FROM ar{order}"
+
+
+_JB = "SELECT 'Jarque-Bera Test', round(n / 6.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4), 3), 2, round(exp(-n / 12.0 * (power(m3 / power(m2, 1.5), 2) + power(m4 / (m2 * m2) - 3, 2) / 4)), 4) FROM jb"
+_JB_CTE = "jb AS (SELECT avg(power(u - mu, 2)) AS m2, avg(power(u - mu, 3)) AS m3, avg(power(u - mu, 4)) AS m4, count(*) AS n FROM u, (SELECT avg(u) AS mu FROM u))"
+
 
+@query("sargan_test", G.query(_d("part_year"), _SARGAN, steps=2))
+def _(spark, d):
+    m = fit(DifferenceGMM(robust=True, steps=2), panel(spark, d, "part_year"), formula="y ~ lag(y) + x", id_col="id", time_col="t", exog=["x"])
+    return spark.createDataFrame([_result(diag.sargan_test(m))], _TEST)
+
+
+for _k in (1, 2):
+
+    def _ar_test(spark, d, k=_k):
+        m = _ah(spark, d, "cust_year")
+        first = diag.ar_test(m, k)
+        return spark.createDataFrame([_result(first), _result(diag.ar_test(m, k, cached=True))], _TEST).distinct()
+
+    query(f"ar{_k}_test", G.query(_d("cust_year"), f"SELECT 'AR({_k}) Test' AS test, round(z, 3) AS stat, CAST(0 AS BIGINT) AS dof, round({G.two_sided('z')}, 4) AS pvalue FROM ar{_k}", collapse=True, max_lags=1, more=f", {G.BEFORE}, {G.autocorrelation(_k)}"))(_ar_test)
 
-@query("diagnose_report")
+
+@query("diagnose_report", G.query(_d("part_year"), f"SELECT test, stat, CAST(dof AS BIGINT) AS dof, pvalue FROM ({_SARGAN} UNION ALL {_ar_sql(1)} UNION ALL {_ar_sql(2)} UNION ALL {_JB} UNION ALL SELECT 'Pseudo R2', round(corr(y, f) ** 2, 3), 0, -1.0 FROM u)", "system", steps=2, more=f", {G.BEFORE}, {G.autocorrelation(1)}, {G.autocorrelation(2)}, {_JB_CTE}"))
 def _(spark, d):
     m = fit(SystemGMM(robust=True, steps=2), panel(spark, d, "part_year"), formula="y ~ lag(y) + x", id_col="id", time_col="t", exog=["x"])
     out = diag.diagnose(m, out=lambda *_: None)
-    rows = [(k, float(v.stat), int(v.dof), float(v.pvalue)) if not isinstance(v, float) else (k, v, 0, float("nan")) for k, v in out.items()]
-    return spark.createDataFrame(rows, "test string, stat double, dof bigint, pvalue double")
+    return spark.createDataFrame([_result(v) if not isinstance(v, float) else ("Pseudo R2", round(v, 3), 0, -1.0) for v in out.values()], _TEST)
 
 
-@query("wald_test")
+@query("wald_test", G.query(_d("part_year"), "SELECT 'Wald Test' AS test, round(w, 3) AS stat, CAST(2 AS BIGINT) AS dof, round(exp(-w / 2), 4) AS pvalue FROM (SELECT (v[2][2] * b[1] * b[1] - 2 * v[1][2] * b[1] * (b[2] - 0.7) + v[1][1] * (b[2] - 0.7) * (b[2] - 0.7)) / (v[1][1] * v[2][2] - v[1][2] * v[1][2]) AS w FROM r)"))
 def _(spark, d):
-    w = diag.wald_test(_ah(spark, d), [[1, 0], [0, 1]], [0, 0])
-    return spark.createDataFrame([(w.name, w.stat, w.dof, w.pvalue)], "test string, stat double, dof bigint, pvalue double")
+    m = fit(DifferenceGMM(robust=True), panel(spark, d, "part_year"), formula="y ~ lag(y) + x", id_col="id", time_col="t", exog=["x"])
+    return spark.createDataFrame([_result(diag.wald_test(m, [[1, 0], [0, 1]], [0, 0.7]))], _TEST)
+
+
+def _j(**options) -> str:
+    return "(" + G.query(_d("part_year"), "SELECT j, width - k AS dof FROM r", **options) + ")"
 
 
-@query("diff_hansen")
+@query("diff_hansen", f"SELECT 'Difference-in-Hansen C-Test' AS test, round(c, 3) AS stat, CAST(dof AS BIGINT) AS dof, CASE WHEN c = 0 THEN 1.0 ELSE round({G.chi2_sf('c', 'dof')}, 4) END AS pvalue FROM (SELECT greatest(few.j - many.j, 0.0) AS c, many.dof - few.dof AS dof FROM {_j(max_lags=1)} few, {_j(max_lags=3, steps=2)} many)")
 def _(spark, d):
     f = prepare(panel(spark, d, "part_year"), "id", "t", "y ~ lag(y) + x", DifferenceGMM(), exog=["x"])
-    few, many = (estimate(DifferenceGMM(robust=True, steps=2), f, max_lags=n) for n in (1, 3))
-    w = diag.diff_hansen_test(few, many)
-    return spark.createDataFrame([(w.name, w.stat, w.dof, w.pvalue)], "test string, stat double, dof bigint, pvalue double")
+    few, many = (estimate(DifferenceGMM(robust=True, steps=s), f, max_lags=n) for s, n in ((1, 1), (2, 3)))
+    return spark.createDataFrame([_result(diag.diff_hansen_test(few, many))], _TEST)
+
+
+_QN = "(row_number() OVER (ORDER BY u) - 0.5) / count(*) OVER ()"
+
+
+@query("qq_sample", f"WITH {_ahz('part_year')}, {_RES}, mu AS (SELECT avg(u) AS m, stddev_samp(u) AS s FROM u), q AS (SELECT (u - m) / s AS v, {_QN} AS p FROM u, mu) SELECT round({G.normal_quantile('p')}, 5) AS theoretical, round(v, 4) AS sample FROM q")
+def _(spark, d):
+    points = report.plot_data(_ah(spark, d), "qq")["points"]
+    return points.select(_r("theoretical", 5).alias("theoretical"), _r("sample", 4).alias("sample"))
+
+
+@query("identity_line", f"WITH {_ahz('part_year')}, {_RES} SELECT round(least(min(dy), min(f)), 5) AS low, round(greatest(max(dy), max(f)), 5) AS high FROM u")
+def _(spark, d):
+    (a, _), (b, _) = report.plot_data(_ah(spark, d), "fitted")["identity"]
+    return spark.createDataFrame([(round(a, 5), round(b, 5))], "low double, high double")
+
+
+@query("normal_curve", "SELECT round(x, 6) AS x, round(exp(-x * x / 2) / sqrt(2 * pi()), 8) AS density FROM (SELECT -4 + 8 * i / 99.0 AS x FROM (SELECT unnest(generate_series(0, 99)) AS i))")
+def _(spark, d):
+    return report.plot_data(_ah(spark, d, "supp_year"), "histogram")["normal"].select(_r("x").alias("x"), _r("density", 8).alias("density"))
+
+
+@query("dashboard", f"WITH {_ahz('supp_year')}, {_RES}, c AS (SELECT count(*) AS n, count(DISTINCT id) AS ids FROM u), g AS (SELECT count(DISTINCT id) AS ids FROM p) SELECT series, c.n || ' residuals of ' || g.ids || ' ids' AS title, CAST(CASE series WHEN 'histogram' THEN (SELECT count(DISTINCT least(floor((u - a) / ((b - a) / 30)), 29)) FROM u, (SELECT min(u) AS a, max(u) AS b FROM u)) ELSE c.n END AS BIGINT) AS points FROM c, g, (SELECT unnest(['residuals', 'fitted', 'histogram', 'qq']) AS series)")
+def _(spark, d):
+    parts = report.plot_data(_ah(spark, d, "supp_year"))
+    rows = [(k, parts["title"], parts[k]["bars" if k == "histogram" else "points"].count()) for k in ("residuals", "fitted", "histogram", "qq")]
+    return spark.createDataFrame(rows, "series string, title string, points bigint")
+
+
+@query("instruments_system_full", f"""WITH {_d('supp_year')}, n AS (SELECT max(tidx) AS t FROM tm), w AS (SELECT (t - 1) * (t - 2) // 2 AS lags, t FROM n),
+  d2 AS (SELECT * FROM d), a AS (SELECT r.id, r.t, FALSE AS is_level, (r.tidx - 2) * (r.tidx - 3) // 2 + o - 2 AS col, h.y AS val FROM d r CROSS JOIN (SELECT unnest(generate_series(2, 40)) AS o) JOIN l h ON h.id = r.id AND h.tidx = r.tidx - o
+  UNION ALL SELECT id, d.t, FALSE, lags, dx FROM d, w
+  UNION ALL SELECT r.id, r.t, TRUE, lags + 1 + r.tidx - 3, h.dy FROM w, l r JOIN d h ON h.id = r.id AND h.tidx = r.tidx - 1 WHERE r.rn >= 3
+  UNION ALL SELECT id, l.t, TRUE, lags + 1 + w.t - 2, x FROM l, w WHERE rn >= 3)
+  SELECT id, t, is_level, CAST(col AS INT) AS col, round(val, 6) AS val FROM a WHERE val <> 0""")
+def _(spark, d):
+    s = SystemGMM()
+    rows, _ = inst.build_instruments(s, _frame(spark, d, "supp_year", "y ~ lag(y) + x", s, exog=["x"]))
+    return rows.select("id", "t", "is_level", "col", _r("val").alias("val"))
+
+
+_MOVED = "p0 AS ({0}), p AS (SELECT id, t, y, sum(m) OVER (PARTITION BY id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM (SELECT a.id, a.t, a.y, coalesce(b.y, 0.0) AS m FROM p0 a LEFT JOIN p0 b ON b.id = a.id AND b.t = a.t - 2))".format(PANELS["cust_year"])
+
+
+@query("collinear_instruments", f"WITH {_MOVED}, {_d('cust_year').split('), tm AS', 1)[1].join(['tm AS', ''])}, z AS (SELECT d.id, d.t, dy, dly, dx, coalesce(h.y, 0.0) AS z1, coalesce(g.y, 0.0) AS z2 FROM d LEFT JOIN l h ON h.id = d.id AND h.tidx = d.tidx - 2 LEFT JOIN l g ON g.id = d.id AND g.tidx = d.tidx - 3), {_AH} SELECT CAST(2 AS BIGINT) AS n_instruments, round(b_ly, 4) AS b_ly, round(b_x, 4) AS b_x FROM b")
+def _(spark, d):
+    """The differences of x are the second lag of y: of three instruments the last repeats the first."""
+    w = Window.partitionBy("id").orderBy("t")
+    p = panel(spark, d, "cust_year").withColumn("m", F.coalesce(F.first("y").over(w.rangeBetween(-2, -2)), F.lit(0.0)))
+    p = p.select("id", "t", "y", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"))
+    m = fit(DifferenceGMM(robust=True), p, formula="y ~ lag(y) + x", id_col="id", time_col="t", exog=["x"], collapse=True, max_lags=2)
+    return spark.createDataFrame([(m.n_instruments, round(float(m.coef[0]), 4), round(float(m.coef[1]), 4))], "n_instruments bigint, b_ly double, b_x double")
+
+
+@query("ridge_lift", "SELECT k, round(greatest(0.0, CASE WHEN low >= 1e-12 THEN 0.0 ELSE 1e-12 - low + 1e-10 END) * 1e9, 1) AS lift FROM (SELECT k, (a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS low FROM (VALUES (1, 2.0, 0.0, 2.0), (2, -1.0, 0.0, 1.0), (3, 1.0, 2.0, 1.0), (4, 0.5, 0.25, 0.125), (5, 0.0, 0.0, 3.0)) AS v(k, a, b, c))")
+def _(spark, d):
+    cases = [(1, 2.0, 0.0, 2.0), (2, -1.0, 0.0, 1.0), (3, 1.0, 2.0, 1.0), (4, 0.5, 0.25, 0.125), (5, 0.0, 0.0, 3.0)]
+    rows = []
+    for k, a, b, c in cases:
+        m = np.array([[a, b], [b, c]])
+        rows.append((k, round(float((ridge_if_singular(m) - m)[0, 0]) * 1e9, 1)))
+    return spark.createDataFrame(rows, "k int, lift double")
+
+
+@query("correlation_matrix", f"WITH {_l('part_year')}, w AS (SELECT id, p.t, y, x, y - x AS r FROM p), u AS (SELECT unnest(['y', 'x', 'r']) AS a), c AS (SELECT corr(y, y) AS yy, corr(y, x) AS yx, corr(y, r) AS yr, corr(x, x) AS xx, corr(x, r) AS xr, corr(r, r) AS rr FROM w) SELECT u.a, v.a AS b, round(CASE u.a || v.a WHEN 'yy' THEN yy WHEN 'yx' THEN yx WHEN 'xy' THEN yx WHEN 'yr' THEN yr WHEN 'ry' THEN yr WHEN 'xx' THEN xx WHEN 'xr' THEN xr WHEN 'rx' THEN xr ELSE rr END, 6) AS corr FROM u, u v, c")
+def _(spark, d):
+    p = panel(spark, d, "part_year").withColumn("r", F.col("y") - F.col("x"))
+    return tables.correlation(p, ["y", "x", "r"]).select("a", "b", _r("corr").alias("corr"))
+
+
+@query("describe_table", "SELECT stat, round(CASE stat WHEN 'count' THEN n WHEN 'mean' THEN m WHEN 'stddev' THEN s WHEN 'min' THEN a ELSE b END, 4) AS value FROM (SELECT count(o_totalprice) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), (SELECT unnest(['count', 'mean', 'stddev', 'min', 'max']) AS stat)")
+def _(spark, d):
+    s = tables.describe(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice").filter(F.col("summary").isin("count", "mean", "stddev", "min", "max"))
+    return s.select(F.col("summary").alias("stat"), _r(F.col("o_totalprice").cast("double"), 4).alias("value"))
+
+
+@query("preview_first_rows", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 5")
+def _(spark, d):
+    return tables.preview(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").orderBy("o_orderkey"), 5)
+
+
+@query("ingest_kinds", "SELECT kind, count(*) AS n, CAST(sum(n_regionkey) AS BIGINT) AS keys FROM nation, (SELECT unnest(['spark', 'pandas', 'arrow', 'columns', 'rows']) AS kind) GROUP BY 1")
+def _(spark, d):
+    n = tables.read_table(spark, f"{d}/nation.parquet").select("n_nationkey", "n_regionkey")
+    kinds = {"spark": n, "pandas": n.toPandas(), "arrow": n.toArrow(), "columns": n.toPandas().to_dict("list"), "rows": n.toPandas().to_dict("records")}
+    parts = [tables.as_dataframe(v, spark).agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("n_regionkey").cast("long").alias("keys")) for k, v in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("sinks_and_sources", "SELECT kind, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS kind) GROUP BY 1")
+def _(spark, d):
+    """Written in each format and read back."""
+    rows, out = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal")), None
+    where = tables.scratch(spark)
+    for kind in ("csv", "json", "orc", "parquet"):
+        tables.write_table(rows, f"{where}/{kind}", kind, **({"header": True} if kind == "csv" else {}))
+        one = tables.read_table(spark, f"{where}/{kind}", kind).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("scan_columns", "SELECT unnest(['l_extendedprice', 'l_quantity', 'l_shipdate', 'l_suppkey']) AS name")
+def _(spark, d):
+    """The columns that the scan below a fit reads: those of the formula alone."""
+    f = _frame(spark, d, "supp_year", "y ~ lag(y) + x")
+    plan = f.panel._jdf.queryExecution().executedPlan().toString()
+    reads = {c.split(":")[0] for part in plan.split("ReadSchema: struct<")[1:] for c in part.split(">")[0].split(",")}
+    return spark.createDataFrame([(c,) for c in sorted(reads)], "name string")
+
+
+_TERMS = [("y ~ lag(y) + x", "text"), ("log(y) ~ lag(log(y), 1:2) + sqrt(x)", "text"), (Formula("y", [1, lag("y"), lag("x", range(0, 2))]), "objects")]
+
+
+@query("formula_terms", "SELECT * FROM (VALUES ('text', 'y ~ lag(y) + x', 1, 'y', '', 1, 'L.y'), ('text', 'y ~ lag(y) + x', 2, 'x', '', 0, 'x'), ('text', 'log(y) ~ lag(log(y), 1:2) + sqrt(x)', 1, 'y', 'log', 1, 'L.log(y)'), ('text', 'log(y) ~ lag(log(y), 1:2) + sqrt(x)', 2, 'y', 'log', 2, 'L2.log(y)'), ('text', 'log(y) ~ lag(log(y), 1:2) + sqrt(x)', 3, 'x', 'sqrt', 0, 'sqrt(x)'), ('objects', 'y ~ lag(y) + lag(x, 0:1)', 1, 'y', '', 1, 'L.y'), ('objects', 'y ~ lag(y) + lag(x, 0:1)', 2, 'x', '', 0, 'x'), ('objects', 'y ~ lag(y) + lag(x, 0:1)', 3, 'x', '', 1, 'L.x')) AS v(kind, formula, place, var, fn, lag, name)")
+def _(spark, d):
+    rows = []
+    for f, kind in _TERMS:
+        specs = [s for t in parse_formula(f)[1] for s in parse_term(t)]
+        rows += [(kind, str(f), i, s.var, s.fn or "", s.lag, s.name) for i, s in enumerate(specs, 1)]
+    return spark.createDataFrame(rows, "kind string, formula string, place int, var string, fn string, lag int, name string")
+
+
+def _refused(what) -> bool:
+    try:
+        what()
+    except (ValueError, TypeError, NotImplementedError):
+        return True
+    return False
+
+
+#: rules that refuse: the table's rows say which; the first two are counted from the data
+_RULES = ["transform", "fod with system", "empty table", "id column", "time column", "repeated period", "variable", "text variable", "lagged response", "foreign exogenous", "exogenous response", "no equation", "few rows", "collinear regressors", "few instruments", "lag bounds", "no lags", "steps", "coefficient count", "unknown estimator", "lag of data", "sound"]
+
+
+@query("validation_rules", f"SELECT rule, CASE rule WHEN 'empty table' THEN (SELECT count(*) = 0 FROM orders WHERE o_orderkey < 0) WHEN 'repeated period' THEN (SELECT count(*) > count(DISTINCT (o_custkey, year(o_orderdate))) FROM orders) WHEN 'sound' THEN FALSE ELSE TRUE END AS refused FROM (SELECT unnest({_RULES!r}) AS rule)")
+def _(spark, d):
+    p = panel(spark, d, "supp_year").persist()
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("t"), F.col("o_totalprice").cast("double").alias("y"))
+    spec = DifferenceGMM()
+
+    class Unknown(Spec):
+        pass
+
+    def go(data=p, formula="y ~ lag(y) + x", spec=spec, i="id", t="t", **kw):
+        prepare(data, i, t, formula, spec, **kw).release()
+
+    def run(data=p, formula="y ~ lag(y) + x", spec=spec, **kw):
+        fit(spec, data, formula=formula, id_col="id", time_col="t", **kw).release()
+
+    cases = [
+        lambda: go(transform="second"), lambda: go(spec=SystemGMM(), transform="fod"), lambda: go(p.filter("id < 0")), lambda: go(i="none"), lambda: go(t="none"),
+        lambda: go(orders, "y ~ lag(y)"), lambda: go(formula="y ~ none"), lambda: go(p.withColumn("x", F.lit("a"))), lambda: go(formula="lag(y) ~ x"),
+        lambda: go(exog=["none"]), lambda: go(exog=["L.y"]), lambda: go(formula="y ~ lag(y, 90)"), lambda: run(p.filter("id = 1 and t <= 1994"), "y ~ lag(y) + x"),
+        lambda: run(p.withColumn("z", 2 * F.col("x")), "y ~ x + z"), lambda: run(spec=AndersonHsiao()), lambda: run(min_lag=4, max_lag=3), lambda: run(max_lags=0),
+        lambda: DifferenceGMM(steps=0), lambda: PanelResult(spec, np.zeros(2), np.eye(2), ["a"], 1, 1, 1, 0.0, 0.0, np.eye(1)), lambda: run(spec=Unknown()), lambda: lag([1, 2]), lambda: run(exog=["x"]),
+    ]
+    return spark.createDataFrame([(rule, _refused(case)) for rule, case in zip(_RULES, cases, strict=True)], "rule string, refused boolean")
+
+
+@query("result_accessors", f"WITH {_ahz('part_year')}, {_AHU}, ng AS (SELECT count(DISTINCT id) AS ids FROM p) SELECT what, CASE what WHEN 'nobs' THEN CAST(n AS VARCHAR) WHEN 'ngroups' THEN CAST(ids AS VARCHAR) WHEN 'ninstruments' THEN '2' WHEN 'dof' THEN '2' WHEN 'dof_residual' THEN CAST(n - 2 AS VARCHAR) WHEN 'formula' THEN 'y ~ lag(y) + x' WHEN 'method' THEN '1-step AndersonHsiao' WHEN 'coefnames' THEN 'L.y,x' WHEN 'robust' THEN 'true' WHEN 'windmeijer' THEN 'false' WHEN 'coef' THEN format('{{:.4f}}', b_ly) WHEN 'variance' THEN format('{{:.6f}}', (e * e * o11 - 2 * e * b * o12 + b * b * o22) / (det * det)) WHEN 'sargan dof' THEN '0' WHEN 'proliferation' THEN 'OK: 2 instruments for ' || ids || ' groups; ratio ' || CAST(round(2.0 / ids, 2) AS DOUBLE) END AS value FROM b, om, ng, (SELECT unnest(['nobs', 'ngroups', 'ninstruments', 'dof', 'dof_residual', 'formula', 'method', 'coefnames', 'robust', 'windmeijer', 'coef', 'variance', 'sargan dof', 'proliferation']) AS what)")
+def _(spark, d):
+    m = _ah(spark, d)
+    values = {
+        "nobs": report.nobs(m), "ngroups": report.ngroups(m), "ninstruments": report.ninstruments(m), "dof": report.dof(m), "dof_residual": report.dof_residual(m),
+        "formula": report.formula(m), "method": m.metadata["method"], "coefnames": ",".join(report.coefnames(m)), "robust": str(report.is_robust(m)).lower(), "windmeijer": str(report.is_windmeijer(m)).lower(),
+        "coef": f"{report.coef(m)[0]:.4f}", "variance": f"{report.vcov(m)[0, 0]:.6f}", "sargan dof": diag.sargan_test(m).dof, "proliferation": diag.check_proliferation(m),
+    }
+    return spark.createDataFrame([(k, str(v)) for k, v in values.items()], "what string, value string")
+
+
+@query("stars_and_hints", "SELECT p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p < 0.1 THEN '.' ELSE '' END AS stars, CASE WHEN p > 0.05 THEN 'not rejected' ELSE 'rejected' END AS hint FROM (SELECT DISTINCT round(CAST(v AS DOUBLE), 4) AS p FROM (SELECT l_discount * 2 AS v FROM lineitem UNION ALL SELECT l_tax / 10 FROM lineitem))")
+def _(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    values = items.select((F.col("l_discount") * 2).alias("v")).unionAll(items.select(F.col("l_tax") / 10)).select(F.round(F.col("v").cast("double"), 4).alias("p")).distinct()
+    rows = [(p, report.significance_stars(p), report.sargan_hint(p)) for p in (r["p"] for r in values.collect())]  # rates: few by nature
+    return spark.createDataFrame(rows, "p double, stars string, hint string")
 
 
-@query("qq_sample")
+@query("summary_lines", f"WITH {_ahz('part_year')}, {_AHU}, s AS (SELECT b_ly, b_x, sqrt((e * e * o11 - 2 * e * b * o12 + b * b * o22)) / abs(det) AS s1, sqrt((c * c * o11 - 2 * a * c * o12 + a * a * o22)) / abs(det) AS s2, n FROM b, om), ng AS (SELECT count(DISTINCT id) AS ids FROM p), q AS (SELECT 'L.y' AS name, b_ly AS v, s1 AS s FROM s UNION ALL SELECT 'x', b_x, s2 FROM s) SELECT CAST(2 AS INT) AS line, n || ' rows of ' || ids || ' ids, 2 instruments; errors clustered by id' AS text FROM s, ng UNION ALL SELECT CAST(CASE name WHEN 'x' THEN 6 ELSE 5 END AS INT), rtrim(format('{{:3}}  {{:11.5f}}  {{:11.5f}}  {{:9.3f}}  {{:7.4f}} ', name, v, s, v / s, {G.two_sided('v / s')}) || CASE WHEN {G.two_sided('v / s')} < 0.001 THEN '***' WHEN {G.two_sided('v / s')} < 0.01 THEN '**' WHEN {G.two_sided('v / s')} < 0.05 THEN '*' WHEN {G.two_sided('v / s')} < 0.1 THEN '.' ELSE '' END) FROM q")
 def _(spark, d):
-    return report.plot_data(_ah(spark, d), "qq")["points"]
+    lines = report.summary(_ah(spark, d)).split("\n")
+    return spark.createDataFrame([(i, lines[i - 1]) for i in (2, 5, 6)], "line int, text string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
