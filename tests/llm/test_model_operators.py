@@ -246,6 +246,39 @@ def test_language_model(spark, hard, nothing):
     assert bloom_lm.score(hard).count() == hard.count() and bloom_lm.score(nothing).count() == 0
 
 
+def test_scores_against_exact_counts(spark):
+    """A bigram model with exact counts in the filter's place: the same but for false positives, which are few."""
+    texts = [prose(s, 80, 60) for s in range(150)]
+    docs = list(enumerate(texts))
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    end = None
+    one, two = Counter(), Counter()
+    for i, t in docs:
+        if ref.in_training(i, 10):
+            w = [*ref.spaced(t), end]
+            one.update(w)
+            two.update(zip([end, *w], w))
+    n, v = sum(one.values()), len(one)
+    q = lambda c: float(bloom_lm.decoded(bloom_lm.level(np.array([c])))[0])
+    often = {w for w, c in one.items() if c >= bloom_lm.LEAST}
+    mass = Counter()
+    for (u, w), c in two.items():
+        if u in often and w in often and c >= bloom_lm.LEAST:
+            mass[u] += q(c) - bloom_lm.DISCOUNT
+    close = 0
+    for i, t in docs:
+        w = [*ref.spaced(t), end]
+        want = 0.0
+        for u, x in zip([end, *w], w):
+            base = (one[x] + bloom_lm.PSEUDO) / (n + bloom_lm.PSEUDO * (v + 1))
+            c = two[u, x] if u in often and x in often else 0
+            p = max((q(c) if c >= bloom_lm.LEAST else 0.0) - bloom_lm.DISCOUNT, 0) / one[u] + (1 - mass[u] / one[u]) * base if u in often else base
+            want += math.log10(p)
+        assert got[i] == pytest.approx(want, rel=0.02)
+        close += abs(got[i] - want) < 1e-4 * abs(want)
+    assert close > 0.6 * len(docs)
+
+
 def test_bloom_levels():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 2**62, 4000).astype(np.uint64))

@@ -564,11 +564,14 @@ def link_classes(docs: DataFrame, *, text: str = "text", k: int = 3, percent: in
 
 def rooted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, **options) -> DataFrame:
     """(doc_id, tie, n_shingles, root) of every row; equal roots: one component."""
+    before = runtime.mark()
     sets, _ = runtime.written(classes(docs, doc_id, text, k), "classes")
     links = link_classes(docs, text=text, k=k, percent=percent, sets=sets, **options)
     comp = runtime.components(links)
     out = sets.join(comp, sets["ref"] == comp["node"], "left").select("doc_id", "tie", "n_shingles", F.coalesce("root", "ref").alias("root"))
-    return runtime.written(out, "rooted")[0]
+    out, path = runtime.written(out, "rooted")
+    runtime.drop_since(docs.sparkSession, before, path)
+    return out
 
 
 def components_of(docs: DataFrame, **options) -> DataFrame:

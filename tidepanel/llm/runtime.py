@@ -44,6 +44,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: tables that were written and not dropped yet
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -52,9 +56,22 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def mark() -> int:
+    return len(_tables)
+
+
+def drop_since(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the tables written after mark(), but those in ``keep``: what was made of them must be written or on the driver."""
+    old, _tables[since:] = _tables[since:], [p for p in _tables[since:] if p in keep]
+    for path in old:
+        if path not in keep:
+            delete_path(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -518,7 +518,7 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     shards = 4 * runtime.shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_SMALLEST)).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text"))
-    segments, _ = runtime.written(repeated_anchors(rows, "text", length, shards), "segments")
+    segments, segments_path = runtime.written(repeated_anchors(rows, "text", length, shards), "segments")
     sizes = np.zeros(shards)
     for r in segments.select("shard", "size").collect():  # one row a shard
         sizes[r["shard"]] = r["size"]
@@ -526,6 +526,7 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for a, z in runs(sizes, FILTER_MB * 8e6):
         part, _ = runtime.written(snippets(rows, length, shards, a, load_filter(segments.filter(F.col("shard").between(a, z - 1)), a, z)), "snippets") if z - a < shards else (snippets(rows, length, shards, a, load_filter(segments, a, z)), None)
         found = part if found is None else found.unionAll(part)
+    runtime.delete_path(spark, segments_path)  # broadcast by now
     spans = marks(found, length, block)
     return rows.join(spans, ["doc", "tie"], "left")
 
