@@ -5,7 +5,7 @@ import pytest
 
 import tidepanel as tp
 from tidepanel.operators.instruments import by_period, equations, lag_block, layout, usable, whole_individuals
-from tidepanel.operators.moments import by_cluster, weighted_sum
+from tidepanel.operators.moments import by_cluster, fold, weighted_sum
 
 FX1 = {"id": [1] * 4 + [2] * 4, "t": [1, 2, 3, 4] * 2, "y": [1.0, 2, 3, 4, 10, 11, 12, 13], "x": [10.0, 20, 30, 40, 100, 110, 120, 130]}
 POS = {"id": [1] * 5 + [2] * 5, "t": [1, 2, 3, 4, 5] * 2, "y": [float(i) for i in range(2, 12)], "x": [float(i) for i in range(12, 22)]}
@@ -136,6 +136,19 @@ def test_moments_of_individuals():
     assert weighted_sum(e) == pytest.approx(want_s) and by_cluster(e)[1] == pytest.approx(np.array(want_m))
 
 
+@pytest.mark.parametrize("parts,fan", [(1, 16), (7, 16), (30, 3), (30, 2)])
+def test_partial_sums_fold_in_rounds(spark, parts, fan):
+    """Sums and triangles of many tasks, also where there are more of them than was said."""
+    r = np.random.default_rng(2)
+    x, v = [r.normal(size=(5, 3)) for _ in range(41)], [r.normal(size=(2, 2)) for _ in range(41)]
+    rows = [(i, k, a.tobytes()) for i in range(41) for k, a in (("rx", x[i]), ("s", v[i]))]
+    df = spark.createDataFrame(rows, "slot int, kind string, a binary").repartition(3)
+    got = fold(df, {"s": (2, 2), "rx": (0, 3), "none": (2,)}, parts, fan)
+    assert got["s"] == pytest.approx(sum(v)) and got["none"].tolist() == [0, 0]
+    whole = np.concatenate(x)
+    assert got["rx"].T @ got["rx"] == pytest.approx(whole.T @ whole) and got["rx"].shape == (3, 3)
+
+
 @pytest.mark.parametrize("most", [1, 3, 100])
 def test_tables_hold_whole_individuals(most):
     rn = [1, 2, 3, 1, 2, 1, 2, 3, 4, 1]

@@ -40,7 +40,7 @@ def _array(blob, *shape) -> np.ndarray:
 def fold(partial: DataFrame, shapes: dict[str, tuple], parts: int, fan: int = FAN) -> dict[str, np.ndarray]:
     """Sum partial rows of each kind; kinds 'r…' are triangles, which are stacked and reduced.
 
-    parts: a bound on the number of partials of a kind, whose slots are below it.
+    parts: about how many partials of a kind there are; more only make some tasks fold more.
     """
 
     def add(group: pa.Table) -> pa.Table:
@@ -159,6 +159,6 @@ def collect_moments(frame: PanelFrame, lay: Layout, difference_weight: bool) ->
             yield _rows([(slot, kind, v.tobytes(), b"") for kind, v in sums.items()] + [(slot, "rx", r_x.tobytes(), b""), (slot, "rz", r_z.tobytes(), b"")])
 
     out = kernel_rows(frame).mapInArrow(run, _SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = max(1, int(out.agg(F.max("slot").alias("s")).collect()[0]["s"] or 0) + 1)
+    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the windows' exchange has as many, or fewer
     total = fold(out.filter("kind != 'i'"), {"m": (width, k), "y": (width,), "s": (width, width), "n": (1,), "rx": (0, k), "rz": (0, width)}, parts)
     return Moments(total["m"], total["y"], total["s"], total["rx"], total["rz"], int(total["n"][0]), out.filter("kind = 'i'"), (width, k), parts, out)
