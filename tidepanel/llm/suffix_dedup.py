@@ -21,7 +21,10 @@ in the corpus: in a document with a smaller id, or earlier in the same one.
 
 Null texts are empty.  doc_id is cast to a long; null is the smallest.  Rows of
 one doc_id with different texts are in the order of a hash of their texts; rows
-that repeat id and text are the same document and are answered alike.
+that repeat id and text are the same document and are answered alike.  Texts are
+taken whole: a row of n bytes takes some 160 n bytes of a worker's memory, also
+where it repeats one character.  An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -310,30 +313,45 @@ class SuffixArray:
         return shared[at]
 
     def find(self, windows: np.ndarray, length: int) -> np.ndarray:
-        """Binary search: places in the order of suffixes that begin with each window (rows of bytes), or -1."""
-        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(self.order))
-        reach = np.arange(length)
+        """Binary search: the lowest place in the order of a suffix that begins with each window (rows of bytes), or -1.
+
+        Eight bytes are compared at a time, big end first, the last eight overlapping those before.
+        """
+        n = len(self.text)
+        word = np.zeros(n, U64)
+        for j in range(8):
+            word[: n - j] |= self.text[j:].astype(U64) << U64(56 - 8 * j)
+        full = np.flatnonzero(self.left[self.order] >= length)
+        begin = self.order[full]
+        offsets = [*range(0, length - 7, 8)]
+        offsets += [length - 8] if offsets[-1] + 8 < length else []
+        wanted = [np.ascontiguousarray(windows[:, o : o + 8]).view(">u8").ravel().astype(U64) for o in offsets]
+        first = word[begin]
+        low, high = np.searchsorted(first, wanted[0]), np.searchsorted(first, wanted[0], side="right")
+        end = high.copy()
 
         def compare(place, rows):
-            p = self.order[place]
-            inside = reach[None, :] < self.left[p][:, None]
-            have = np.where(inside, self.text[np.minimum(p[:, None] + reach, len(self.text) - 1)].astype(np.int16), -1)
-            differ = have != rows
-            at = differ.argmax(axis=1)
-            x = np.arange(len(rows))
-            return np.where(differ.any(axis=1), np.sign(have[x, at] - rows[x, at].astype(np.int16)), 0)
+            """-1, 0 or 1: how the suffixes at places of ``begin`` lie to the windows, whose first words they share."""
+            out, left = np.zeros(len(rows), np.int8), np.arange(len(rows))
+            for o, w in zip(offsets[1:], wanted[1:]):
+                x, y = word[begin[place[left]] + o], w[rows[left]]
+                out[left] = (x > y).astype(np.int8) - (x < y)
+                left = left[x == y]
+                if not len(left):
+                    break
+            return out
 
         while True:
             live = np.flatnonzero(low < high)
             if not len(live):
                 break
             middle = (low[live] + high[live]) // 2
-            less = compare(middle, windows[live]) < 0
+            less = compare(middle, live) < 0
             low[live[less]], high[live[~less]] = middle[less] + 1, middle[~less]
         out = np.full(len(windows), -1, np.int64)
-        ok = np.flatnonzero(low < len(self.order))
-        ok = ok[compare(low[ok], windows[ok]) == 0] if len(ok) else ok
-        out[ok] = low[ok]
+        ok = np.flatnonzero(low < end)
+        ok = ok[compare(low[ok], ok) == 0]
+        out[ok] = full[low[ok]]
         return out
 
 
