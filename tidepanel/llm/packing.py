@@ -16,8 +16,10 @@ The plan is a short list of patterns with multiplicities.  A piece finds its
 sequence and offset by its rank among the pieces of its length, and ranks come
 from counts a task, so no task sees more than its own pieces.
 
-Null and empty texts are one piece of the end id alone.  Rows that repeat are
-packed once each.  An empty table gives no rows.
+Null and empty texts are one piece of the end id alone.  Rows that repeat, and
+rows without an id, are packed once each; pieces of one length take their places
+in the order of tasks and rows.  Texts are taken whole, whatever their length.
+An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,30 +49,29 @@ def _lp(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ demand
+    rest = np.arange(capacity + 1)[None, :] - sizes[:, None]  # room that is left beside an item
+    fits, rest = rest >= 0, np.maximum(rest, 0)
     for _ in range(rounds):
         price = inverse.sum(axis=0)
-        # unbounded knapsack: best value and the item that gives it at every capacity
-        best = np.zeros(capacity + 1)
-        took = np.full(capacity + 1, -1, np.int64)
-        smallest = int(sizes.min())
-        for c in range(smallest, capacity + 1):
-            fits = sizes <= c
-            value = np.where(fits, best[np.maximum(c - sizes, 0)] + price, -1.0)
-            j = int(value.argmax())
-            if value[j] > best[c - 1] + 1e-12:
-                best[c], took[c] = value[j], j
-            else:
-                best[c], took[c] = best[c - 1], -1
+        # unbounded knapsack, an item more with each layer: best value of every capacity, and the item that gives it
+        best, layers = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(sizes.min())):
+            value = np.where(fits, best[rest] + price[:, None], -1.0)
+            took = value.argmax(axis=0)
+            more = value[took, np.arange(capacity + 1)]
+            took[more <= best + 1e-12] = -1
+            layers.append(took)
+            if (took < 0).all():
+                break
+            best = np.maximum(best, more)
         if best[capacity] <= 1 + 1e-7:
             break
         column = np.zeros(k)
         c = capacity
-        while c >= smallest:
-            if took[c] < 0:
-                c -= 1
-                continue
-            column[took[c]] += 1
-            c -= int(sizes[took[c]])
+        for took in reversed(layers):
+            if took[c] >= 0:
+                column[took[c]] += 1
+                c -= int(sizes[took[c]])
         d = inverse @ column
         ok = d > 1e-10
         ratio = np.full(k, np.inf)
