@@ -20,7 +20,9 @@ Words are runs of everything but ASCII white space, A-Z lower-cased.  A text of
 fewer than k words has its whole sequence as one shingle; a null text or one
 without words has none and links with nothing, itself being its component.
 Rows that repeat are members of the same component.  A null doc_id is never the
-smallest while another is there.
+smallest while another is there.  Texts are taken whole, whatever their length;
+an empty table gives no rows.  Other columns are not read, and are passed on by
+deduplicate() whatever their names.
 """
 
 from __future__ import annotations
@@ -577,7 +579,8 @@ def rooted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: in
 def components_of(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = rooted(docs, **options)
-    least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written: a join of its own, in which a component of many rows can be split
+    least, _ = runtime.written(rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -590,6 +593,6 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     rows = rooted(docs, doc_id=doc_id, text=text, **options).filter("n_shingles > 0")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    least = rows.groupBy("root").agg(F.min(name).alias("least"), F.count_distinct(name).alias("n")).filter("n > 1")
+    least, _ = runtime.written(rows.groupBy("root").agg(F.min(name).alias("least"), F.max(name).alias("most")).filter("least != most").drop("most"), "least")
     gone = rows.join(least, "root").filter(~name.eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_tie"]), "left_anti")
