@@ -1,7 +1,9 @@
 """A training-corpus pipeline of five stages over the documents table.
 
 Each stage is a function of (spark, docs, sf_dir); run() writes every stage's
-rows as Parquet in the shared folder and reads them again for the next.
+rows as Parquet in the shared folder and reads them again for the next.  All take
+texts whole, pass extra columns on whatever their names (but the last, which
+returns pieces), and return no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -12,27 +14,42 @@ from tidepanel.llm import decontaminate, exact_dedup, ngram_join, packing, quali
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of trusted text does not reject."""
+    """Documents that the model of trusted text does not reject.
+
+    Null and empty texts stay, as do rows at the threshold; rows that repeat are judged alike.
+    """
     return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the largest id, no id being the smallest; null is as empty.
+
+    Of rows that repeat id and text one stays.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram join: five words, similarity 0.8."""
+    """One document of each component of the n-gram join: five words, similarity 0.8; the smallest id stays, no id being the largest.
+
+    Rows without words stay; rows that repeat id and text are one document and stay together.
+    """
     return ngram_join.deduplicate(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that they share with the benchmark."""
+    """Documents without the passages that they share with the benchmark; those that are mostly such passages go.
+
+    Null and empty texts stay unchanged, rows that repeat are treated alike.
+    """
     return decontaminate.remove_contamination(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their places in packed sequences."""
+    """Token pieces of the documents with their places in packed sequences.
+
+    Null and empty texts are an end token each; rows that repeat, or have no id, are packed each.
+    """
     return packing.pack(docs, queries.TOKENIZER)
 
 

@@ -22,7 +22,9 @@ up.  The model is the same at any number of passes.
 
 Tokens: runs of everything but ASCII white space, A-Z lower-cased, and an end
 token a text.  Null texts are empty: one end token.  A null doc_id hashes as
-the empty string.  Rows that repeat are scored (and counted) each.
+the empty string.  Rows that repeat are scored (and counted) each.  Texts are
+taken whole, a long one is a bundle of its own; an empty table gives no rows.
+Other columns are not read.
 """
 
 from __future__ import annotations

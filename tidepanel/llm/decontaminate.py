@@ -15,7 +15,10 @@ the automaton at its root; they are skipped by a vectorised test.
 Words: A-Z lower-cased, runs of ASCII letters, digits and non-ASCII characters.
 Null or empty texts have no words.  Items with equal item_id count once; items
 without an id mark words but are not listed.  Repeated document rows are
-answered once each.  An empty benchmark leaves every document clean.
+answered once each.  An empty benchmark leaves every document clean, an empty
+table gives no rows.  Texts are taken whole, whatever their length.  Columns
+beside the text, rows without an id among them, are passed on unchanged; the
+result's name must not be one of theirs (remove_contamination() sees to it).
 """
 
 from __future__ import annotations
