@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import exchange, runtime
 from . import textops as X
-from .exchange import squeeze, swell
+from .exchange import deltas, squeeze, swell
 
 U64 = np.uint64
 END = U64(0x0123456789ABCDEF)
@@ -60,11 +60,6 @@ def held_out(doc_id: str, modulus: int = 10):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus == 0
 
 
-def deltas(a: np.ndarray) -> np.ndarray:
-    """Sorted numbers as differences, which compress."""
-    return np.diff(a, prepend=a.dtype.type(0))
-
-
 def bundles(docs: DataFrame, doc_id: str, text: str, held) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -6,7 +6,8 @@ in the corpus: in a document with a smaller id, or earlier in the same one.
 * Every window of ``length`` bytes has an anchor, the position of its least
   hashed ``GRAM``-byte string, which depends on the window's bytes alone.  Equal
   windows have equal anchors, so only windows whose anchor string occurs twice
-  somewhere can repeat; a Bloom filter of those strings picks them out.
+  somewhere can repeat.  Documents are packed in bundles once; shards of anchor
+  strings count them and answer each bundle which of its own are repeated.
 * Picked windows travel, an anchor's neighbouring ones as one snippet of bytes, to the
   shard of their anchor string.  Equal snippets are collapsed, in every slice
   before they travel and again in the shard: all but the first are repeats.
@@ -33,22 +34,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange, runtime
 from . import textops as X
-from .bloom_lm import LogBloom, load_filter, runs
-from .exchange import squeeze, swell
+from .exchange import deltas, squeeze, swell
 
 U64 = np.uint64
 LENGTH = 100
 GRAM = 24
-#: broadcast filter of repeated anchor strings; above it the corpus is read in several passes
-FILTER_MB = 64
+#: bytes of documents that are packed together
+BUNDLE = 2 << 20
 #: bytes of snippets in one suffix array, and that are decided together
 BLOCK = 1 << 19
-FLUSH = 4 << 20
 #: bytes that are compared at a time
 COMPARED = 1 << 20
 _POSITION = U64((1 << 30) - 1)
@@ -87,42 +87,54 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[first], start[first], start[last], X.mix(g[a[first]] ^ U64(0x9E3779B97F4A7C15))
 
 
-def repeated_anchors(docs: DataFrame, text: str, length: int, shards: int) -> DataFrame:
-    """(shard, bits, size): filter segments of anchor strings that occur at least twice."""
+def bundled(docs: DataFrame, length: int) -> DataFrame:
+    """(bundle, head, data, anchors, again): slices of documents, packed, with their distinct anchor strings.
 
-    def pack(once, twice):
-        u, n = np.unique(np.concatenate(once), return_counts=True)
-        t = np.unique(np.concatenate([*twice, u[n > 1]]))
-        u = u[n == 1]
-        u = u[X.lookup(t, u) < 0]
-        a, b = exchange.cuts(u, shards), exchange.cuts(t, shards)
-        some = [s for s in range(shards) if a[s + 1] > a[s] or b[s + 1] > b[s]]
-        return exchange.rows(some, [exchange.pack(u[a[s] : a[s + 1]], t[b[s] : b[s + 1]]) for s in some])
+    docs: doc, tie, text.  again: whether a slice has that anchor more than once.
+    """
 
     def run(batches):
-        once, twice, held = [], [], 0
+        task, number = TaskContext.get().partitionId(), 0
         for b in batches:
-            buf, offs = X.column(b, 0)
-            for i, j in X.slices(offs):
-                *_, h = anchors(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
+            buf_all, offs_all = X.column(b, 2)
+            doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j in X.slices(offs_all, BUNDLE):
+                buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
+                *_, h = anchors(buf, offs, length)
                 u, n = np.unique(h, return_counts=True)
-                once.append(u[n == 1])
-                twice.append(u[n > 1])
-                held += len(u)
-                if held >= FLUSH // 4:
-                    yield pack(once, twice)
-                    once, twice, held = [], [], 0
-        if held:
-            yield pack(once, twice)
+                head = squeeze(np.concatenate([doc[i:j], tie[i:j], offs[1:]]))
+                data = np.int64(len(buf)).tobytes() + pa.compress(buf.tobytes(), "zstd", asbytes=True)
+                cols = [[(task << 32) | number], [head], [data], [squeeze(deltas(u))], [squeeze(n > 1)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), *[pa.binary()] * 4))], names=["bundle", "head", "data", "anchors", "again"])
+                number += 1
 
-    def meet(group: pa.Table) -> pa.Table:
-        parts = [exchange.unpack(x.as_buffer(), (U64, U64)) for x in group.column("blob")]
-        u, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-        keys = np.unique(np.concatenate([u[n > 1], *(p[1] for p in parts)]))
-        bits, size = LogBloom.segment(keys, np.ones(len(keys), np.int64))
-        return pa.table({"shard": group.column("shard")[:1], "bits": pa.array([bits.tobytes()], pa.binary()), "size": pa.array([size], pa.int64())})
+    return docs.mapInArrow(X.tidy(run), "bundle bigint, head binary, data binary, anchors binary, again binary")
 
-    return docs.select(text).mapInArrow(X.tidy(run), exchange.SCHEMA).groupBy("shard").applyInArrow(X.tidy_group(meet), "shard int, bits binary, size bigint")
+
+def repeated_anchors(held: DataFrame, shards: int) -> DataFrame:
+    """(bundle, shard, repeated): of a bundle's anchor strings in that shard, which occur at least twice anywhere."""
+
+    def ask(batches):
+        for b in batches:
+            for bundle, h, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, again = np.cumsum(swell(h.as_buffer(), U64), dtype=U64), swell(again.as_buffer(), bool)
+                at = exchange.cuts(h, shards)
+                some = np.flatnonzero(at[1:] > at[:-1])
+                cols = [pa.array(some, pa.int32()), pa.array(np.full(len(some), bundle)), *(pa.array([squeeze(f(x[at[s] : at[s + 1]])) for s in some], pa.binary()) for f, x in ((deltas, h), (np.packbits, again)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "bundle", "anchors", "again"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        h = [np.cumsum(swell(x.as_buffer(), U64), dtype=U64) for x in group.column("anchors")]
+        again = [np.unpackbits(swell(x.as_buffer(), np.uint8), count=len(u)).astype(bool) for x, u in zip(group.column("again"), h)]
+        _, back, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        twice = n > 1
+        twice[back[np.concatenate(again)]] = True
+        cut = np.cumsum([0, *map(len, h)])
+        bits = [squeeze(np.packbits(twice[back[a:z]])) for a, z in zip(cut, cut[1:])]
+        return pa.table({"bundle": group.column("bundle"), "shard": group.column("shard"), "repeated": pa.array(bits, pa.binary())})
+
+    asked = held.select("bundle", "anchors", "again").mapInArrow(X.tidy(ask), "shard int, bundle bigint, anchors binary, again binary")
+    return asked.groupBy("shard").applyInArrow(X.tidy_group(answer), "bundle bigint, shard int, repeated binary")
 
 
 def equal_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = COMPARED) -> np.ndarray:
@@ -164,59 +176,57 @@ def merged_runs(m: np.ndarray) -> np.ndarray:
     return np.stack([*m[:3, at], np.maximum.reduceat(m[3], at)])
 
 
-def snippets(docs: DataFrame, length: int, shards: int, low: int, filter_: LogBloom) -> DataFrame:
-    """(shard, blob, marks): snippets whose anchor string the filter has, and windows that are repeats already.
-
-    docs: doc, tie, text.  The filter covers shards from ``low`` on.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
-
-    def run(batches):
-        filter_ = shared.value
-        high = low + len(filter_.size)
-        for b in batches:
-            buf_all, offs_all = X.column(b, 2)
-            doc_all, tie_all = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, j in X.slices(offs_all):
-                buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
-                row, first, last, h = anchors(buf, offs, length)
-                where = exchange.shard_of(h, shards)
-                near = np.flatnonzero((where >= low) & (where < high))
-                near = near[filter_.levels(h[near], where[near] - low) > 0]
-                if not len(near):
-                    continue
-                row, first, last, h, where = row[near], first[near], last[near], h[near], where[near]
-                doc, tie, start = doc_all[i:j][row], tie_all[i:j][row], first - offs[row]
-                size = last - first + length
-                key = X.span_hash(buf, first, first + size)
-                order = np.lexsort((start, tie, doc, key))
-                # a copy is one by its bytes, not by its hash: of its bytes and those of the one before it
-                same = np.zeros(len(order), dtype=bool)
-                c = 1 + np.flatnonzero((key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1]))
-                same[c] = equal_strings(buf, first[order[c]], first[order[c - 1]], size[order[c]])
-                c = np.flatnonzero(same)
-                copy, prior = order[c], order[c - 1]
-                again = copy[~((doc[copy] == doc[prior]) & (tie[copy] == tie[prior]) & (start[copy] == start[prior]))]
-                again = merged_runs(np.stack([doc[again], tie[again], start[again], start[again] + last[again] - first[again]]))
-                keep = np.sort(order[~same])
-                keep = keep[np.argsort(where[keep], kind="stable")]
-                at = np.searchsorted(where[keep], np.arange(low, high + 1))
-                out_s, out_b, out_m = [], [], []
-                for s in range(high - low):
-                    k = keep[at[s] : at[s + 1]]
-                    if len(k):
-                        data = pa.compress(buf[X.ranges(first[k], size[k])].tobytes(), "zstd", asbytes=True)
-                        head = squeeze(np.concatenate([h[k].view(np.int64), doc[k], tie[k], start[k], last[k] - first[k]]))
-                        out_s.append(low + s)
-                        out_b.append(np.int64(len(head)).tobytes() + head + data)
-                        out_m.append(b"")
-                if again.size:
-                    if not out_s:
-                        out_s, out_b, out_m = [low], [b""], [b""]
-                    out_m[0] = squeeze(again)
-                yield pa.RecordBatch.from_arrays([pa.array(out_s, pa.int32()), pa.array(out_b, pa.binary()), pa.array(out_m, pa.binary())], names=["shard", "blob", "marks"])
-
-    return docs.mapInArrow(X.tidy(run), "shard int, blob binary, marks binary")
+def snippets(held: DataFrame, answers: DataFrame, length: int, shards: int) -> DataFrame:
+    """(shard, blob, marks): snippets whose anchor strings are repeated, and windows that are repeats already."""
+
+    def pick(own: pa.Table, answered: pa.Table) -> pa.Table:
+        doc_all, tie_all, end = swell(own.column("head")[0].as_buffer(), np.int64).reshape(3, -1)
+        offs = np.concatenate([[0], end])
+        raw = memoryview(own.column("data")[0].as_buffer())
+        buf = np.frombuffer(pa.decompress(pa.py_buffer(raw[8:]), int(np.frombuffer(raw[:8], np.int64)[0]), "zstd", asbytes=True), np.uint8)
+        known = np.cumsum(swell(own.column("anchors")[0].as_buffer(), U64), dtype=U64)
+        at, wanted = exchange.cuts(known, shards), [known[:0]]
+        for s, bits in zip(answered.column("shard").to_pylist(), answered.column("repeated")):
+            u = known[at[s] : at[s + 1]]
+            wanted.append(u[np.unpackbits(swell(bits.as_buffer(), np.uint8), count=len(u)).astype(bool)])
+        wanted = np.sort(np.concatenate(wanted))
+        row, first, last, h = anchors(buf, offs, length)
+        where = exchange.shard_of(h, shards)
+        near = np.flatnonzero(X.lookup(wanted, h) >= 0)
+        if not len(near):
+            return pa.table({"shard": pa.array([], pa.int32()), "blob": pa.array([], pa.binary()), "marks": pa.array([], pa.binary())})
+        row, first, last, h, where = row[near], first[near], last[near], h[near], where[near]
+        doc, tie, start = doc_all[row], tie_all[row], first - offs[row]
+        size = last - first + length
+        key = X.span_hash(buf, first, first + size)
+        order = np.lexsort((start, tie, doc, key))
+        # a copy is one by its bytes, not by its hash: of its bytes and those of the one before it
+        same = np.zeros(len(order), dtype=bool)
+        c = 1 + np.flatnonzero((key[order][1:] == key[order][:-1]) & (size[order][1:] == size[order][:-1]))
+        same[c] = equal_strings(buf, first[order[c]], first[order[c - 1]], size[order[c]])
+        c = np.flatnonzero(same)
+        copy, prior = order[c], order[c - 1]
+        again = copy[~((doc[copy] == doc[prior]) & (tie[copy] == tie[prior]) & (start[copy] == start[prior]))]
+        again = merged_runs(np.stack([doc[again], tie[again], start[again], start[again] + last[again] - first[again]]))
+        keep = np.sort(order[~same])
+        keep = keep[np.argsort(where[keep], kind="stable")]
+        at = np.searchsorted(where[keep], np.arange(shards + 1))
+        out_s, out_b, out_m = [], [], []
+        for s in range(shards):
+            k = keep[at[s] : at[s + 1]]
+            if len(k):
+                data = pa.compress(buf[X.ranges(first[k], size[k])].tobytes(), "zstd", asbytes=True)
+                head = squeeze(np.concatenate([h[k].view(np.int64), doc[k], tie[k], start[k], last[k] - first[k]]))
+                out_s.append(s)
+                out_b.append(np.int64(len(head)).tobytes() + head + data)
+                out_m.append(b"")
+        if again.size:
+            if not out_s:
+                out_s, out_b, out_m = [0], [b""], [b""]
+            out_m[0] = squeeze(again)
+        return pa.table({"shard": pa.array(out_s, pa.int32()), "blob": pa.array(out_b, pa.binary()), "marks": pa.array(out_m, pa.binary())})
+
+    return held.select("bundle", "head", "data", "anchors").groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(X.tidy_group(pick), "shard int, blob binary, marks binary")
 
 
 class SuffixArray:
@@ -536,15 +546,8 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     shards = 4 * runtime.shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_SMALLEST)).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text"))
-    segments, segments_path = runtime.written(repeated_anchors(rows, "text", length, shards), "segments")
-    sizes = np.zeros(shards)
-    for r in segments.select("shard", "size").collect():  # one row a shard
-        sizes[r["shard"]] = r["size"]
-    found = None
-    for a, z in runs(sizes, FILTER_MB * 8e6):
-        part, _ = runtime.written(snippets(rows, length, shards, a, load_filter(segments.filter(F.col("shard").between(a, z - 1)), a, z)), "snippets") if z - a < shards else (snippets(rows, length, shards, a, load_filter(segments, a, z)), None)
-        found = part if found is None else found.unionAll(part)
-    runtime.delete_path(spark, segments_path)  # broadcast by now
+    held, _ = runtime.written(bundled(rows, length), "bundles")
+    found = snippets(held, repeated_anchors(held, shards), length, shards)
     spans = marks(found, length, block)
     return rows.join(spans, ["doc", "tie"], "left")
 
