@@ -162,13 +162,13 @@ def kernel_rows(frame: PanelFrame, *kept: str) -> DataFrame:
 def whole_individuals(batches, most: int) -> Iterator[pa.Table]:
     """Tables of about ``most`` rows that start where an individual starts."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, enough = 0, most
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         size += b.num_rows
-        if size < most:
+        if size < enough:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         starts = np.flatnonzero(table.column("rn").to_numpy() == 1)
@@ -180,6 +180,7 @@ def whole_individuals(batches, most: int) -> Iterator[pa.Table]:
             i = j
         held = table.slice(i).to_batches()
         size = table.num_rows - i
+        enough = max(most, 2 * size)  # a long individual is not put together again with every batch
     if size:
         yield pa.Table.from_batches(held).combine_chunks()
 
