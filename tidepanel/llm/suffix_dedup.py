@@ -87,11 +87,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return row[first], start[first], start[last], X.mix(g[a[first]] ^ U64(0x9E3779B97F4A7C15))
 
 
-def bundled(docs: DataFrame, length: int) -> DataFrame:
-    """(bundle, head, data, anchors, again): slices of documents, packed, with their distinct anchor strings.
-
-    docs: doc, tie, text.  again: whether a slice has that anchor more than once.
-    """
+def bundled(docs: DataFrame) -> DataFrame:
+    """(bundle, head, data): slices of documents, packed; docs: doc, tie, text."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -100,27 +97,33 @@ def bundled(docs: DataFrame, length: int) -> DataFrame:
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in X.slices(offs_all, BUNDLE):
                 buf, offs = buf_all[offs_all[i] : offs_all[j]], offs_all[i : j + 1] - offs_all[i]
-                *_, h = anchors(buf, offs, length)
-                u, n = np.unique(h, return_counts=True)
                 head = squeeze(np.concatenate([doc[i:j], tie[i:j], offs[1:]]))
                 data = np.int64(len(buf)).tobytes() + pa.compress(buf.tobytes(), "zstd", asbytes=True)
-                cols = [[(task << 32) | number], [head], [data], [squeeze(deltas(u))], [squeeze(n > 1)]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), *[pa.binary()] * 4))], names=["bundle", "head", "data", "anchors", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) | number]), pa.array([head], pa.binary()), pa.array([data], pa.binary())], names=["bundle", "head", "data"])
                 number += 1
 
-    return docs.mapInArrow(X.tidy(run), "bundle bigint, head binary, data binary, anchors binary, again binary")
+    return docs.mapInArrow(X.tidy(run), "bundle bigint, head binary, data binary")
+
+
+def unbundled(head, data) -> tuple[np.ndarray, ...]:
+    """(doc, tie, bytes, offsets) of a bundle."""
+    doc, tie, end = swell(head.as_buffer(), np.int64).reshape(3, -1)
+    raw = memoryview(data.as_buffer())
+    buf = pa.decompress(pa.py_buffer(raw[8:]), int(np.frombuffer(raw[:8], np.int64)[0]), "zstd", asbytes=True)
+    return doc, tie, np.frombuffer(buf, np.uint8), np.concatenate([[0], end])
 
 
-def repeated_anchors(held: DataFrame, shards: int) -> DataFrame:
+def repeated_anchors(held: DataFrame, length: int, shards: int) -> DataFrame:
     """(bundle, shard, repeated): of a bundle's anchor strings in that shard, which occur at least twice anywhere."""
 
     def ask(batches):
         for b in batches:
-            for bundle, h, again in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h, again = np.cumsum(swell(h.as_buffer(), U64), dtype=U64), swell(again.as_buffer(), bool)
+            for bundle, head, data in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                *_, buf, offs = unbundled(head, data)
+                h, n = np.unique(anchors(buf, offs, length)[3], return_counts=True)
                 at = exchange.cuts(h, shards)
                 some = np.flatnonzero(at[1:] > at[:-1])
-                cols = [pa.array(some, pa.int32()), pa.array(np.full(len(some), bundle)), *(pa.array([squeeze(f(x[at[s] : at[s + 1]])) for s in some], pa.binary()) for f, x in ((deltas, h), (np.packbits, again)))]
+                cols = [pa.array(some, pa.int32()), pa.array(np.full(len(some), bundle)), *(pa.array([squeeze(f(x[at[s] : at[s + 1]])) for s in some], pa.binary()) for f, x in ((deltas, h), (np.packbits, n > 1)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "bundle", "anchors", "again"])
 
     def answer(group: pa.Table) -> pa.Table:
@@ -133,7 +136,7 @@ def repeated_anchors(held: DataFrame, shards: int) -> DataFrame:
         bits = [squeeze(np.packbits(twice[back[a:z]])) for a, z in zip(cut, cut[1:])]
         return pa.table({"bundle": group.column("bundle"), "shard": group.column("shard"), "repeated": pa.array(bits, pa.binary())})
 
-    asked = held.select("bundle", "anchors", "again").mapInArrow(X.tidy(ask), "shard int, bundle bigint, anchors binary, again binary")
+    asked = held.mapInArrow(X.tidy(ask), "shard int, bundle bigint, anchors binary, again binary")
     return asked.groupBy("shard").applyInArrow(X.tidy_group(answer), "bundle bigint, shard int, repeated binary")
 
 
@@ -180,17 +183,14 @@ def snippets(held: DataFrame, answers: DataFrame, length: int, shards: int) -> D
     """(shard, blob, marks): snippets whose anchor strings are repeated, and windows that are repeats already."""
 
     def pick(own: pa.Table, answered: pa.Table) -> pa.Table:
-        doc_all, tie_all, end = swell(own.column("head")[0].as_buffer(), np.int64).reshape(3, -1)
-        offs = np.concatenate([[0], end])
-        raw = memoryview(own.column("data")[0].as_buffer())
-        buf = np.frombuffer(pa.decompress(pa.py_buffer(raw[8:]), int(np.frombuffer(raw[:8], np.int64)[0]), "zstd", asbytes=True), np.uint8)
-        known = np.cumsum(swell(own.column("anchors")[0].as_buffer(), U64), dtype=U64)
+        doc_all, tie_all, buf, offs = unbundled(own.column("head")[0], own.column("data")[0])
+        row, first, last, h = anchors(buf, offs, length)
+        known = np.unique(h)
         at, wanted = exchange.cuts(known, shards), [known[:0]]
         for s, bits in zip(answered.column("shard").to_pylist(), answered.column("repeated")):
             u = known[at[s] : at[s + 1]]
             wanted.append(u[np.unpackbits(swell(bits.as_buffer(), np.uint8), count=len(u)).astype(bool)])
         wanted = np.sort(np.concatenate(wanted))
-        row, first, last, h = anchors(buf, offs, length)
         where = exchange.shard_of(h, shards)
         near = np.flatnonzero(X.lookup(wanted, h) >= 0)
         if not len(near):
@@ -226,7 +226,7 @@ def snippets(held: DataFrame, answers: DataFrame, length: int, shards: int) -> D
             out_m[0] = squeeze(again)
         return pa.table({"shard": pa.array(out_s, pa.int32()), "blob": pa.array(out_b, pa.binary()), "marks": pa.array(out_m, pa.binary())})
 
-    return held.select("bundle", "head", "data", "anchors").groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(X.tidy_group(pick), "shard int, blob binary, marks binary")
+    return held.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(X.tidy_group(pick), "shard int, blob binary, marks binary")
 
 
 class SuffixArray:
@@ -546,10 +546,25 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     shards = 4 * runtime.shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_SMALLEST)).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text"))
-    held, _ = runtime.written(bundled(rows, length), "bundles")
-    found = snippets(held, repeated_anchors(held, shards), length, shards)
+    held, _ = runtime.written(bundled(rows), "bundles")
+    found = snippets(held, repeated_anchors(held, length, shards), length, shards)
     spans = marks(found, length, block)
-    return rows.join(spans, ["doc", "tie"], "left")
+
+    def places(batches):
+        for b in batches:
+            for bundle, head in zip(b.column(0).to_pylist(), b.column(1)):
+                doc, tie, _ = swell(head.as_buffer(), np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(np.full(len(doc), bundle))], names=["doc", "tie", "bundle"])
+
+    def unpack(own: pa.Table, marked: pa.Table) -> pa.Table:
+        doc, tie, buf, offs = unbundled(own.column("head")[0], own.column("data")[0])
+        known = {(d, t): s for d, t, s in zip(marked.column("doc").to_pylist(), marked.column("tie").to_pylist(), marked.column("spans").to_pylist())}
+        texts = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(buf)])
+        return pa.table({"doc": pa.array(doc), "tie": pa.array(tie), "text": texts.cast(pa.string()), "spans": pa.array([known.get(x) for x in zip(doc.tolist(), tie.tolist())], pa.binary())})
+
+    where = held.select("bundle", "head").mapInArrow(X.tidy(places), "doc bigint, tie bigint, bundle bigint").distinct()
+    placed = spans.join(where, ["doc", "tie"])
+    return held.groupBy("bundle").cogroup(placed.groupBy("bundle")).applyInArrow(X.tidy_group(unpack), "doc bigint, tie bigint, text string, spans binary")
 
 
 def report(docs: DataFrame, *, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
