@@ -382,7 +382,8 @@ def candidates(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     sets = common.groupBy("ref", level.alias("lev")).agg(F.collect_set("key").alias("keys"), F.max("shared").alias("shared"))
     left = F.expr("slice(array_sort(keys), 1, size(keys) - shared + 1)")
     kept, _ = runtime.written(sets.filter(F.size("keys") >= F.col("shared")).select("ref", "lev", F.explode(left).alias("key")), "kept")
-    lead = kept.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("most")).filter("a != most").select("key", "a")
+    # aggregates are written before they are joined back, so that a key of many rows can be split in the join
+    lead, _ = runtime.written(kept.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("most")).filter("a != most").select("key", "a"), "leads")
     return kept.join(lead, "key").filter("ref != a").select("a", F.col("ref").alias("b"), "lev").distinct()
 
 
@@ -400,7 +401,8 @@ def parted(groups: DataFrame, sets: DataFrame, percent: int, most: int = PARTED)
 
     Every task has the points of one group, and up to ``most`` of its classes ask there.
     """
-    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
+    counts, _ = runtime.written(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sized = groups.join(counts, "grp")
     points = sets.filter("point is not null").groupBy("ref").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
     slices = F.expr(f"cast(ceil(size / {most}) as int)")
     dealt = sized.join(points, "ref").withColumn("mine", F.expr("cast(pmod(xxhash64(ref), {0}) as int)".format(f"cast(ceil(size / {most}) as bigint)"))).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
@@ -427,7 +429,7 @@ _MEMBER = "grp bigint, chunk int, ref bigint, blob binary"
 def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -> DataFrame:
     """(grp, chunk, ref, blob) of every class in each of its candidate groups; a class may come once a task."""
     spark = docs.sparkSession
-    sizes = labels.groupBy("grp").agg(F.sum(F.col("n") + SET).alias("size"))
+    sizes, _ = runtime.written(labels.groupBy("grp").agg(F.sum(F.col("n") + SET).alias("size")), "sizes")
     placed = labels.join(sizes, "grp").select("ref", "grp", F.expr(f"cast(pmod(xxhash64(ref), cast(ceil(size / {chunk}) as bigint)) as int)").alias("chunk"))
     placed, _ = runtime.written(placed, "placed")
     total = placed.count()

@@ -46,7 +46,7 @@ U64 = np.uint64
 LENGTH = 100
 GRAM = 24
 #: bytes of documents that are packed together
-BUNDLE = 2 << 20
+BUNDLE = 1 << 20
 #: bytes of snippets in one suffix array, and that are decided together
 BLOCK = 1 << 19
 #: bytes that are compared at a time
