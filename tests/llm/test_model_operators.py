@@ -1,5 +1,6 @@
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,13 +12,39 @@ import pytest
 import reference as ref
 from conftest import prose
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tidepanel.llm import bloom_lm, packing, pii, quality, tokens, toxicity, warc
+from tidepanel.llm import textops as X
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Taken:
+    """In the place of a DataFrame: takes the function that it is given."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *_):
+        return self
+
+    groupBy = agg = select
+    schema = {"doc_id": T.StructField("doc_id", T.LongType())}
+
+
+def most_held(rows):
+    """(MB that NumPy and Python hold at most while the rows are made, the rows)."""
+    tracemalloc.start()
+    try:
+        rows = list(rows)
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
 # operator 2
 
 
@@ -282,6 +309,34 @@ def test_own_ngrams_are_taken_out(spark):
         assert 2.0 ** got[offs[i] : offs[i + 1]] == pytest.approx([p(b[j : j + order]) for j in range(len(t.encode()))], rel=1e-4)
 
 
+def test_counting_task_holds_little(spark):
+    docs = Taken()
+    quality.count_grams(docs, 5)
+    r = np.random.default_rng(0)
+    texts = [r.integers(97, 123, 20_000, np.uint8).tobytes().decode() for _ in range(250)]
+    most, out = most_held(docs.run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    keys, n = np.unique(quality.grams(buf, np.arange(251) * 20_000, 5), return_counts=True)
+    g, c = (np.concatenate([b.column(i).to_numpy() for b in out]) for i in (0, 1))
+    own, back = np.unique(g.view(np.uint64), return_inverse=True)
+    assert (own == keys).all() and (np.bincount(back, c) == n).all()
+    assert most < 250 and max(b.num_rows for b in out) <= quality.HANDED
+
+
+def test_scoring_task_holds_little(spark):
+    texts = [prose(i, 100) for i in range(3000)]
+    fitted = quality.Fit(quality.tables(spark.createDataFrame([(t,) for t in texts[:200]], "text string")), [(0, quality.PAIRS)], {}, {})
+    model = fitted.model(0)
+    docs = spark.createDataFrame([(0, "")], "doc_id bigint, text string")
+    taken = {}
+    quality._with_bits(type("Docs", (), {"sparkSession": spark, "schema": docs.schema, "columns": docs.columns, "mapInArrow": lambda self, run, schema: taken.update(run=run) or docs})(), fitted, "text", {"bits": False})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    most, (out,) = most_held(taken["run"]([batch]))
+    each = [quality._by_row(model, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert out.column("bits").to_pylist() == each
+    assert most < 30
+
+
 # operator 5
 
 
@@ -411,6 +466,14 @@ def test_label_model_finds_planted_accuracies():
 # operator 9
 
 
+def test_workers_drop_what_tasks_of_another_kind_left():
+    enc = tokens.encoder(PATH)
+    list(X.tidy(iter, keeps=tokens.KIND)([]))
+    assert tokens.encoder(PATH) is enc
+    list(X.tidy(iter)([]))
+    assert not tokens._encoders
+
+
 def test_token_ids():
     r = np.random.default_rng(0)
     own = list(" '  \n\tabstdmlrev12!?é日 😀　\xa0ſ")

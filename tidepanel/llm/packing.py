@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from . import textops as X
+from . import tokens
 
 SIZE = 1024
 END_ID = 2
@@ -224,8 +225,6 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        from . import tokens
-
         enc = tokens.encoder(tokenizer)
         seen = np.zeros(size + 1, np.int64)
         task = TaskContext.get().partitionId()
@@ -259,7 +258,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
                 )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        X.tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint, ids binary"
+        X.tidy(run, keeps=tokens.KIND), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task bigint, rank bigint, ids binary"
     )
 
 

@@ -69,10 +69,28 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
-def tidy(run, *shared):
-    """A mapInArrow function that releases its memory, and the broadcast values ``shared``, when its task ends."""
+#: what tasks leave in their worker process for the next of their kind, by that kind, and how to drop it
+_left: dict[str, object] = {}
+
+
+def leave(kind: str, drop) -> None:
+    _left[kind] = drop
+
+
+def drop_left(keeps: str | None = None) -> None:
+    """Drop what tasks of other kinds left in this worker process."""
+    for kind in [x for x in _left if x != keeps]:
+        _left.pop(kind)()
+
+
+def tidy(run, *shared, keeps: str | None = None):
+    """A mapInArrow function that releases its memory, and the broadcast values ``shared``, when its task ends.
+
+    What tasks of another kind than ``keeps`` left in the worker goes before it begins.
+    """
 
     def tidied(batches):
+        drop_left(keeps)
         try:
             yield from run(batches)
         finally:
@@ -87,6 +105,7 @@ def tidy_group(run, least: int = 1 << 20):
     """An applyInArrow function that releases its memory after groups of at least so many bytes."""
 
     def tidied(*groups):
+        drop_left()
         out = run(*groups)
         if sum(g.nbytes for g in groups) >= least:
             release()

@@ -2,7 +2,7 @@
 
 The pre-tokens of a text are found with array operations over its code points;
 each distinct pre-token is encoded once by the library and kept in a bounded
-cache of the worker process.  Texts with code points outside the well-settled
+cache of the worker process, as long as its tasks encode.  Texts with code points outside the well-settled
 letter and digit ranges go to the library whole.
 """
 
@@ -17,6 +17,8 @@ from . import textops as X
 U64 = np.uint64
 #: distinct pre-tokens that a worker keeps
 CACHE = 1_500_000
+#: of tasks that go on with the encoder of the one before
+KIND = "tokens"
 
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: code points whose classes are the same in every Unicode version of the last years
@@ -176,6 +178,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """The worker's encoder, which stays until a task of another kind comes."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        X.leave(KIND, _encoders.clear)
     return _encoders[path]
