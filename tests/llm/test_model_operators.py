@@ -474,6 +474,27 @@ def test_workers_drop_what_tasks_of_another_kind_left():
     assert not tokens._encoders
 
 
+def test_packing_task_holds_little(monkeypatch, spark):
+    given = []
+
+    class Library:
+        def encode_batch_fast(self, words, **options):
+            given.append(len(words))
+            return real.encode_batch_fast(words, **options)
+
+    docs, texts = Taken(), [prose(i, 1500, 30_000) for i in range(400)]
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    packing.pieces(docs, PATH, keep_ids=False)
+    enc = tokens.encoder(PATH)
+    enc._clear()
+    real = enc.library
+    monkeypatch.setattr(enc, "library", Library())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    most, out = most_held(docs.run([batch]))
+    assert sum(b.num_rows for b in out) > len(texts) and sum(given) > 8192
+    assert most < 40 and max(given) <= 4096
+
+
 def test_token_ids():
     r = np.random.default_rng(0)
     own = list(" '  \n\tabstdmlrev12!?é日 😀　\xa0ſ")

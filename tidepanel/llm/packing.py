@@ -230,7 +230,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
         task = TaskContext.get().partitionId()
         for b in batches:
             buf, offs = X.column(b, 1)
-            for i, j in X.slices(offs):
+            for i, j in X.slices(offs, tokens.SLICE_BYTES):
                 ids, at = enc.encode(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 row, piece, start, length, crc, packed = [], [], [], [], [], []
                 for r in range(j - i):

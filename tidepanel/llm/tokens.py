@@ -8,6 +8,7 @@ letter and digit ranges go to the library whole.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import numpy as np
@@ -17,6 +18,10 @@ from . import textops as X
 U64 = np.uint64
 #: distinct pre-tokens that a worker keeps
 CACHE = 1_500_000
+#: pre-tokens given to the library at once: what it returns of each is large
+AT_ONCE = 4096
+#: bytes of text that are encoded at once, but one row at least
+SLICE_BYTES = 1 << 18
 #: of tasks that go on with the encoder of the one before
 KIND = "tokens"
 
@@ -155,7 +160,7 @@ class Encoder:
             new = np.flatnonzero(at < 0)
             if len(new):
                 words = [text[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist())]
-                self._store(unique[new], [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)])
+                self._store(unique[new], [x.ids for i in range(0, len(words), AT_ONCE) for x in self.library.encode_batch_fast(words[i : i + AT_ONCE], add_special_tokens=False)])
                 at, n = self._find(unique)
             n = n[back].astype(np.int64)
             ids = self.ids[X.ranges(at[back], n)]
@@ -180,6 +185,8 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The worker's encoder, which stays until a task of another kind comes."""
     if path not in _encoders:
+        # a task has one core, and each thread of the library would keep memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
         X.leave(KIND, _encoders.clear)
     return _encoders[path]
