@@ -209,6 +209,12 @@ def test_quantiles(spark):
     assert quality.quantiles(rows.limit(0), 0.5) == {}
 
 
+def test_quantiles_start_no_other_workers(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0)], "lang string, v double")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # a list's rows would be read by workers of their own kind
+    assert quality.quantiles(rows, 0.5) == {"a": 1.5, None: 3.0}
+
+
 def test_kneser_ney_probabilities(spark):
     """Every context's probabilities sum to one, and equal a dense computation."""
     texts = [prose(i, 12, 30) for i in range(12)]

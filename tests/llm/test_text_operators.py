@@ -1,12 +1,14 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import reference as ref
 from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from test_model_operators import Taken, most_held
 
 from tidepanel.llm import decontaminate, exact_dedup, ngram_join, runtime, suffix_dedup
 from tidepanel.llm import textops as X
@@ -208,6 +210,27 @@ def test_join_edges(hard, nothing, nameless):
     assert ngram_join.deduplicate(nameless).count() == 3
 
 
+def test_signature_task_holds_little(monkeypatch, spark):
+    docs, texts = Taken(), [prose(i, 400, 30_000) for i in range(2000)]
+    docs.sparkSession, docs.applyInArrow = spark, lambda run, schema: docs
+    ngram_join.common_signatures(docs, "text", 5, 80)
+    most, out = most_held(docs.run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    assert out and most < 60
+
+
+def test_workers_are_sent_few_bytes_at_a_time(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = spark.range(200).select(F.repeat(F.col("id").cast("string"), 50_000).alias("text")).coalesce(1)
+    got = runtime.written(docs.mapInArrow(sizes, "n long, bytes long"), "sizes")[0].collect()
+    assert sum(r["n"] for r in got) == 200 and max(r["bytes"] for r in got) < 5e6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+
 def test_components_by_shuffles(spark):
     r = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]

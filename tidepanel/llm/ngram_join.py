@@ -49,7 +49,10 @@ CHUNK = 1 << 20
 SET = 256
 #: classes in candidate groups whose labels are broadcast (16 bytes each)
 BROADCAST_LABELS = 4_000_000
-FLUSH = 1 << 19
+#: signatures that a task holds before it hands them on
+FLUSH = 1 << 18
+#: bytes of text that are hashed at once, but one row at least
+SLICE_BYTES = 1 << 18
 #: classes of one flush with the same signature that go to its shard; of more, one goes
 LOCAL = 64
 #: shingles that are compared at a time
@@ -273,7 +276,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, offs = X.column(b, 2)
-            for i, j in X.slices(offs):
+            for i, j in X.slices(offs, SLICE_BYTES):
                 row, x, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 end = np.cumsum(n)
                 for p in range(0, j - i, 4096):
@@ -343,7 +346,7 @@ def common_signatures(docs: DataFrame, text: str, k: int, percent: int) -> DataF
         keys, refs, shared, held = [], [], [], 0
         for b in batches:
             buf, offs = X.column(b, 0)
-            for i, j in X.slices(offs):
+            for i, j in X.slices(offs, SLICE_BYTES):
                 row, x, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 owner, key, least = signatures(row, x, n, layout)
                 keys.append(key)
@@ -446,7 +449,7 @@ def members(docs: DataFrame, text: str, k: int, labels: DataFrame, chunk: int) -
         seen: set[int] = set()
         for b in batches:
             buf, offs = X.column(b, 0)
-            for i, j in X.slices(offs):
+            for i, j in X.slices(offs, SLICE_BYTES):
                 row, x, n, ref = _sets(k, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 at = X.lookup(known, ref) if known is not None else np.where(n > 0, 0, -1)
                 start = np.cumsum(n) - n

@@ -48,6 +48,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 _tables: list[str] = []
 
 
+#: what a Python worker is sent at a time while a table is written: ten thousand rows, the default, can be any number of bytes
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -55,7 +59,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     w = df.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    before = spark.conf.get(BATCH[0], None)
+    spark.conf.set(*BATCH)
+    try:
+        w.parquet(path)
+    finally:
+        spark.conf.unset(BATCH[0]) if before is None else spark.conf.set(BATCH[0], before)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
